@@ -60,3 +60,37 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     if live.isEmpty():
         return label
     raise RuntimeError(f"components didn't settle in {max_rounds} rounds")
+
+
+def reachable(edges: DataFrame, max_depth: int = 2, least: float = 0.7) -> DataFrame:
+    """#129. (start, node, depth, confidence) of nodes reached over edges (src, dst, confidence) of at least
+    ``least``: the distinct paths by their product of confidences, up to ``max_depth`` edges."""
+    e = edges.filter(F.col("confidence") >= least).select("src", "dst", "confidence")
+    front = cut_lineage(e.select(F.col("src").alias("start"), F.col("dst").alias("node"), F.lit(1).alias("depth"), "confidence"), "reach")
+    found = front
+    for depth in range(2, max_depth + 1):
+        step = e.select(F.col("src").alias("node"), F.col("dst").alias("_n"), F.col("confidence").alias("_c"))
+        nxt = front.join(step, "node").select("start", F.col("_n").alias("node"), F.lit(depth).alias("depth"), (F.col("confidence") * F.col("_c")).alias("confidence"))
+        front = cut_lineage(nxt.distinct(), "reach")
+        if front.isEmpty():
+            break
+        found = found.union(front)
+    return found.distinct()
+
+
+def decayed(confidence, last_seen, as_of, rate, kind: str = "exponential"):
+    """#130. Confidence after the days since ``last_seen``: exp(-rate days), or 1 - rate days, 0 at least."""
+    days = F.greatest(F.datediff(as_of, last_seen), F.lit(0))
+    if kind == "linear":
+        return confidence * F.greatest(F.lit(0.0), 1 - rate * days)
+    return confidence * F.exp(-rate * days)
+
+
+def cross_group_components(links: DataFrame, members: DataFrame) -> DataFrame:
+    """#123. Claims that leave their page's unit: components of links between claims of different pages.
+    Returns per page how many of its claims migrate and remain.  ``members`` (claim_id, page_id)."""
+    a, b = members.select(F.col("claim_id").alias("src"), F.col("page_id").alias("_pa")), members.select(F.col("claim_id").alias("dst"), F.col("page_id").alias("_pb"))
+    cross = links.select("src", "dst").join(a, "src").join(b, "dst").filter(F.col("_pa") != F.col("_pb"))
+    comp = connected_components(cross, "src", "dst").withColumnRenamed("id", "claim_id")
+    j = members.join(comp, "claim_id", "left")
+    return j.groupBy("page_id").agg(F.count("component").alias("migrated"), F.count(F.when(F.col("component").isNull(), 1)).alias("remaining"))
