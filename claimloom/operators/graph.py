@@ -52,7 +52,7 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
             if parent.filter(F.col("above").isNotNull()).isEmpty():
                 parent = parent.select("hi", "to")
                 break
-            parent = cut_lineage(parent.select("hi", F.coalesce("above", "to").alias("to")), "components")
+            parent = parent.select("hi", F.coalesce("above", "to").alias("to"))
         label = cut_lineage(_lookup(label, "component", parent, "hi", "to", "up").select("id", F.coalesce("up", "component").alias("component")), "components")
         both = _lookup(_lookup(live, "a", parent, "hi", "to", "ra"), "b", parent, "hi", "to", "rb")
         both = both.select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"))

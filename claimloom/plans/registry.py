@@ -12,7 +12,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
 _ORACLES: dict[str, str] = {}
 #: Modules of this package that register queries.
-MODULES: tuple[str, ...] = ("relational", "text", "aggregates", "scoring", "clusters", "entities")
+MODULES: tuple[str, ...] = ("relational", "text", "aggregates", "scoring", "clusters", "entities", "streams")
 
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
