@@ -308,3 +308,50 @@ def generic_name(name: Column) -> Column:
     """#151. Names that say too little: under 2 characters, digits alone, articles or kinds alone."""
     n = F.lower(F.trim(name))
     return F.coalesce((F.length(n) < 2) | n.rlike(r"^\d+$") | n.rlike(r"^(the|a|an|police|officials?|government|authorities|residents|victims|people|company|city|country)$"), F.lit(True))
+
+
+# Patterns of a claim's attributes, in order, and phrases of an update.
+ATTRIBUTES = {
+    "death_toll": (
+        r"(\d+)\s*(?:people\s+)?(?:were\s+|have\s+been\s+)?killed",
+        r"(\d+)\s*(?:people\s+)?(?:have\s+)?died",
+        r"(\d+)\s*(?:people\s+)?dead",
+        r"death\s+toll[:\s]+(\d+)",
+        r"death\s+toll\s+(?:rises\s+to|hits|of)\s+(\d+)",
+        r"at\s+least\s+(\d+)\s+(?:people\s+)?(?:killed|dead|died)",
+    ),
+    "missing_count": (r"(\d+)\s+(?:people\s+)?(?:are\s+)?missing", r"(\d+)\s+(?:people\s+)?unaccounted"),
+}
+UPDATE_PHRASES = (
+    "rises to", "risen to", "increased to", "now", "updated", "latest", "climbed to", "reached", "has grown", "hits", "surpasses",
+)
+# Places by attribute, as patterns.
+PLACES = {"location": r"(wang\s+fuk\s+court|tai\s+po(?:\s+district)?)", "region": r"(hong\s+kong)"}
+
+# Credibility of domains.
+CREDIBILITY = {
+    "bbc.com": 0.90, "reuters.com": 0.88, "apnews.com": 0.88, "theguardian.com": 0.85, "dw.com": 0.85, "cnn.com": 0.80,
+    "scmp.com": 0.82, "aljazeera.com": 0.80, "newsweek.com": 0.70, "nypost.com": 0.60, "foxnews.com": 0.65,
+}
+
+
+def domain_credibility(url: Column, table: dict[str, float] | None = None, default: float = 0.5) -> Column:
+    """#76. Credibility of the first domain of the table that the URL contains."""
+    low = F.lower(url)
+    return F.coalesce(*[F.when(low.contains(d), F.lit(c)) for d, c in (table or CREDIBILITY).items()], F.lit(default))
+
+
+def relate_by_structure(a: Column, b: Column, places: dict[str, str] | None = None) -> Column:
+    """#67. Relation of two texts by shared attributes: INDEPENDENT without one; CORROBORATES if all agree;
+    CONTRADICTS if a place differs (numbers that differ always have a higher one); else UPDATES."""
+    parts = [(first_number(a, p), first_number(b, p), "UPDATES") for p in ATTRIBUTES.values()]
+    for p in (PLACES if places is None else places).values():
+        got = lambda t: F.nullif(F.regexp_extract(F.lower(t), p, 1), F.lit(""))  # noqa: B023, E731
+        parts.append((got(a), got(b), "CONTRADICTS"))
+    found = F.array_compact(F.array(*[F.when(x.isNotNull() & y.isNotNull(), F.when(x == y, "CORROBORATES").otherwise(kind)) for x, y, kind in parts]))
+    return F.when(F.size(found) == 0, "INDEPENDENT").when(F.array_contains(found, "CONTRADICTS"), "CONTRADICTS").when(F.array_contains(found, "UPDATES"), "UPDATES").otherwise("CORROBORATES")
+
+
+def is_update_language(text: Column) -> Column:
+    """#67. Whether a text has a phrase of an update."""
+    return any_of(F.lower(text), UPDATE_PHRASES)

@@ -370,3 +370,17 @@ def best_and_worst(scores: DataFrame, best: int = 3, worst: int = 3, low: float
     up = top_k(scores, ["event_id"], [F.desc("plausibility"), F.asc("claim_id")], best).withColumn("kind", F.lit("best"))
     down = top_k(scores.filter(F.col("plausibility") < low), ["event_id"], [F.asc("plausibility"), F.asc("claim_id")], worst).withColumn("kind", F.lit("worst"))
     return up.unionByName(down)
+
+
+def high_dependency(pairs: DataFrame, k: int = 10, least: float = 0.5) -> DataFrame:
+    """#139. The ``k`` pairs (src, dst, score) with the highest dependency over ``least``."""
+    return pairs.filter(F.col("score") > least).orderBy(F.desc("score"), "src", "dst").limit(k)
+
+
+def entropy_checks(scored: DataFrame) -> DataFrame:
+    """#194. Mean entropy of corroborated, isolated, contested and uncontested claims (entropy, n_corr,
+    n_contra), and whether corroboration lowers and contradiction raises it."""
+    m = lambda c: F.round(F.avg(F.when(c, F.col("entropy"))), 6)
+    good, bad = F.col("n_corr") > 0, F.col("n_contra") > 0
+    g = scored.agg(m(good).alias("corroborated"), m(~good & ~bad).alias("isolated"), m(bad).alias("contested"), m(good & ~bad).alias("uncontested"))
+    return g.withColumns({"corroboration_lowers": F.col("corroborated") < F.col("isolated"), "contradiction_raises": F.col("contested") > F.col("uncontested")})

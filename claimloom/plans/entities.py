@@ -177,3 +177,12 @@ def _(s, d):
 @q("q163_main_texts", None)
 def _(s, d):
     return IO.main_texts(X.read(s, d, "pages")).select("page_id", "method", F.length("content").cast("long").alias("chars"))
+
+
+@q("q139_high_dependency", """SELECT src, dst, round(0.2::DOUBLE * (a.page_id = b.page_id)::INT + 0.1::DOUBLE * (a.part_entity = b.part_entity)::INT + 0.5::DOUBLE, 6) AS score FROM kg_claim_edges JOIN kg_claims a ON src = a.claim_id JOIN kg_claims b ON dst = b.claim_id WHERE a.page_id = b.page_id OR a.part_entity = b.part_entity ORDER BY 3 DESC, src, dst LIMIT 10""")
+def _(s, d):
+    c = X.kg_claims(s, d)
+    side = lambda k: c.select(F.col("claim_id").alias(k), F.col("page_id").alias(f"p{k}"), F.col("part_entity").alias(f"e{k}"))
+    j = X.kg_claim_edges(s, d).join(side("src"), "src").join(side("dst"), "dst")
+    score = S.dependency(F.lit(1.0), F.lit(0.0), F.lit(False), F.col("psrc") == F.col("pdst"), (F.col("esrc") == F.col("edst")).cast("double"))
+    return S.high_dependency(j.select("src", "dst", F.round(score, 6).alias("score")), 10, 0.5)

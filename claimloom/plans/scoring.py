@@ -299,3 +299,25 @@ def _(s, d):
 @q("q215_specificity", "SELECT entity_id, n AS claims, CASE WHEN n::DOUBLE / t > 0.3 THEN 0.1 WHEN n::DOUBLE / t > 0.1 THEN 0.3 ELSE 1.0 END::DOUBLE AS stepped, round(1 - n::DOUBLE / max(n) OVER (), 6) AS linear FROM (SELECT entity_id, count(DISTINCT claim_id) AS n FROM kg_mentions GROUP BY ALL), (SELECT count(DISTINCT claim_id) AS t FROM kg_mentions)")
 def _(s, d):
     return S.specificity(X.kg_mentions(s, d))
+
+
+@q("q194_entropy_checks", """SELECT *, corroborated < isolated AS corroboration_lowers, contested > uncontested AS contradiction_raises FROM (SELECT round(avg(e) FILTER (WHERE corr > 0), 6) AS corroborated, round(avg(e) FILTER (WHERE corr = 0 AND contra = 0), 6) AS isolated, round(avg(e) FILTER (WHERE contra > 0), 6) AS contested, round(avg(e) FILTER (WHERE corr > 0 AND contra = 0), 6) AS uncontested
+FROM (SELECT corr, contra, greatest(0, least(1, 1 - 0.2::DOUBLE * ln(1 + corr) + 0.15::DOUBLE * ln(1 + contra))) AS e FROM kg_units))""", kg_units=UNITS)
+def _(s, d):
+    u = units(s, d).select(F.col("corr").alias("n_corr"), F.col("contra").alias("n_contra"), S.entropy("v2", F.col("corr"), F.col("contra")).alias("entropy"))
+    return S.entropy_checks(u)
+
+
+@q("q073_class_types", "SELECT publisher_id, CASE publisher_id % 4 WHEN 0 THEN 'newspaper' WHEN 1 THEN 'wire' WHEN 2 THEN 'magazine' END AS source_type FROM kg_publishers")
+def _(s, d):
+    p = F.col("publisher_id")
+    classes = F.when(F.pmod(p, F.lit(4)) == 0, F.array(F.lit("Q5"), F.lit("Q11032"))).when(F.pmod(p, F.lit(4)) == 1, F.array(F.lit("Q192283"), F.lit("Q11032"))).when(F.pmod(p, F.lit(4)) == 2, F.array(F.lit("Q41298"))).otherwise(F.array(F.lit("Q5")))
+    return X.kg_publishers(s, d).select("publisher_id", S.class_type(classes).alias("source_type"))
+
+
+@q("q079_date_outliers", """SELECT claim_id, year(event_time) <> y AS odd FROM kg_claims c JOIN (SELECT event_id, y FROM (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY n DESC, y) AS r FROM (SELECT event_id, year(event_time) AS y, count(*) AS n FROM kg_claims GROUP BY ALL)) WHERE r = 1) u ON c.event_id = u.event_id""")
+def _(s, d):
+    c = X.kg_claims(s, d)
+    n = c.groupBy("event_id", F.year("event_time").alias("y")).agg(F.count("*").alias("n"))
+    u = top_k(n, ["event_id"], [F.desc("n"), F.asc("y")], 1).select("event_id", "y")
+    return c.join(u, "event_id").select("claim_id", (F.year("event_time") != F.col("y")).alias("odd"))

@@ -216,3 +216,21 @@ def _(s, d):
 def _(s, d):
     m = V.mean_vectors(X.read(s, d, "embeddings"), "label", "embedding")
     return m.select("label", F.posexplode("centroid").alias("i", "m")).select("label", "i", F.round("m", 6).alias("mean"))
+
+
+@q("q067_structural_relations", """SELECT src, dst, CASE WHEN a.value % 4 <> b.value % 4 OR a.value % 4 NOT IN (0, 2) THEN 'INDEPENDENT' WHEN a.value = b.value THEN 'CORROBORATES' ELSE 'UPDATES' END AS relation FROM kg_claim_edges JOIN kg_claims a ON src = a.claim_id JOIN kg_claims b ON dst = b.claim_id""")
+def _(s, d):
+    c = X.kg_claims(s, d).select("claim_id", "text")
+    j = X.kg_claim_edges(s, d).join(c.select(F.col("claim_id").alias("src"), F.col("text").alias("ta")), "src").join(c.select(F.col("claim_id").alias("dst"), F.col("text").alias("tb")), "dst")
+    return j.select("src", "dst", T.relate_by_structure(F.col("ta"), F.col("tb")).alias("relation"))
+
+
+@q("q076_domain_credibility", "SELECT page_id, CASE WHEN contains(lower(url), 'example.com') THEN 0.9 WHEN contains(lower(url), 'example.org') THEN 0.6 ELSE 0.5 END::DOUBLE AS credibility FROM pages")
+def _(s, d):
+    return X.read(s, d, "pages").select("page_id", T.domain_credibility(F.col("url"), {"example.com": 0.9, "example.org": 0.6}).alias("credibility"))
+
+
+@q("q176_lexical_relations", """SELECT a, b, CASE WHEN j > 0.7 THEN 'CORROBORATES' WHEN j > 0.4 THEN 'CORROBORATES' ELSE 'RELATED' END AS relation FROM (SELECT a, b, CASE WHEN len(wa) = 0 OR len(wb) = 0 THEN 0 ELSE len(list_intersect(wa, wb))::DOUBLE / (len(wa) + len(wb) - len(list_intersect(wa, wb))) END AS j FROM kg_same)""", kg_texts=TEXTS, kg_same=SAME)
+def _(s, d):
+    a, b = F.col("ta"), F.col("tb")
+    return _pairs(s, d).select("a", "b", T.lexical_relation(a, b, T.jaccard(T.words(a), T.words(b))).alias("relation"))
