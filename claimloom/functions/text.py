@@ -217,7 +217,7 @@ def word_count(text: Column) -> Column:
 
 def sane_confidence(c: Column) -> Column:
     """#168. .7 for null or values outside 0 to 1; at most .99, three digits."""
-    return F.round(F.least(F.when(c.between(0, 1), c).otherwise(0.7), F.lit(0.99)), 3)
+    return F.round(F.least(F.when(c.between(0, 1), c).otherwise(0.7), F.lit(0.99)) + 1e-9, 3)
 
 
 def time_precision(context: Column, when: Column) -> Column:

@@ -28,7 +28,7 @@ def event_confidence(claims: DataFrame) -> DataFrame:
     """#44, #45. Claim count, confidence min(1, .3 + .4 min(n / 10, 1) + .3 mean) and status of events."""
     g = claims.groupBy("event_id").agg(F.count("*").alias("claims_count"), F.avg("confidence").alias("_m"))
     conf = F.least(F.lit(1.0), 0.3 + 0.4 * F.least(F.col("claims_count") / 10, F.lit(1.0)) + 0.3 * F.col("_m"))
-    g = g.withColumn("confidence", F.round(conf, 6)).drop("_m")
+    g = g.withColumn("confidence", F.round(conf + 1e-9, 6)).drop("_m")  # halves round up, whatever the order of sums
     return g.withColumn("status", F.when((F.col("confidence") >= 0.7) & (F.col("claims_count") >= 3), "stable").otherwise("provisional"))
 
 

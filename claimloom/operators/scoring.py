@@ -197,8 +197,9 @@ def story_coherence(mentions: DataFrame, claims: DataFrame) -> DataFrame:
     n = claims.groupBy("event_id").agg(F.count("*").alias("_n"))
     j = per.join(n, "event_id", "left").join(F.broadcast(n.agg(F.max("_n").alias("_m"))))
     density = 100 * F.coalesce("_n", F.lit(0)) / F.col("_m")
-    cols = {"overlap": F.round(100 * F.col("_s"), 2), "centrality": F.round("_c", 2), "density": F.round(density, 2)}
-    return j.select("event_id", *[v.alias(k) for k, v in cols.items()], F.round(0.5 * 100 * F.col("_s") + 0.3 * F.col("_c") + 0.2 * density, 2).alias("score"))
+    parts = {"overlap": 100 * F.col("_s"), "centrality": F.col("_c"), "density": density}
+    parts["score"] = 0.5 * parts["overlap"] + 0.3 * parts["centrality"] + 0.2 * density
+    return j.select("event_id", *[F.round(v + 1e-9, 2).alias(k) for k, v in parts.items()])  # halves round up, whatever the order of sums
 
 
 def feed_score(coherence: Column, updated: Column, funding: Column, as_of: Column) -> Column:

@@ -25,7 +25,7 @@ def _(s, d):
     return A.language_coverage(X.read(s, d, "documents").select("source", "lang", F.col("doc_id").alias("page_id")), "source")
 
 
-CONF = "SELECT event_id, count(*) AS claims_count, round(least(1.0::DOUBLE, 0.3::DOUBLE + 0.4::DOUBLE * least(count(*)::DOUBLE / 10, 1) + 0.3::DOUBLE * avg(confidence)), 6) AS confidence FROM kg_claims GROUP BY ALL"
+CONF = "SELECT event_id, count(*) AS claims_count, round(least(1.0::DOUBLE, 0.3::DOUBLE + 0.4::DOUBLE * least(count(*)::DOUBLE / 10, 1) + 0.3::DOUBLE * avg(confidence)) + 1e-9::DOUBLE, 6) AS confidence FROM kg_claims GROUP BY ALL"
 
 
 @q("q044_event_confidence", "SELECT *, CASE WHEN confidence >= 0.7 AND claims_count >= 3 THEN 'stable' ELSE 'provisional' END AS status FROM kg_conf", kg_conf=CONF)

@@ -190,7 +190,7 @@ def _(s, d):
     return _signals(s, d).select("claim_id", F.round(S.affinity(F.col("entity"), F.lit(0.6), F.pmod("value", F.lit(2)) == 0, F.pmod("value", F.lit(4))), 6).alias("affinity"))
 
 
-@q("q098_story_coherence", """SELECT event_id, round(overlap, 2) AS overlap, round(c, 2) AS centrality, round(dn, 2) AS density, round(0.5::DOUBLE * overlap + 0.3::DOUBLE * c + 0.2::DOUBLE * dn, 2) AS score FROM (SELECT p.event_id, 100 * s AS overlap, c, 100 * n::DOUBLE / max(n) OVER () AS dn FROM (
+@q("q098_story_coherence", """SELECT event_id, round(overlap + 1e-9::DOUBLE, 2) AS overlap, round(c + 1e-9::DOUBLE, 2) AS centrality, round(dn + 1e-9::DOUBLE, 2) AS density, round(0.5::DOUBLE * overlap + 0.3::DOUBLE * c + 0.2::DOUBLE * dn + 1e-9::DOUBLE, 2) AS score FROM (SELECT p.event_id, 100 * s AS overlap, c, 100 * n::DOUBLE / max(n) OVER () AS dn FROM (
 SELECT m.event_id, avg((e > 1)::INT) AS s, least(100.0::DOUBLE, 400 * avg(e::DOUBLE / t)) AS c FROM kg_dm m JOIN (SELECT entity_id, count(*) AS e FROM kg_dm GROUP BY ALL) f ON m.entity_id = f.entity_id, (SELECT count(DISTINCT event_id) AS t FROM kg_dm) GROUP BY ALL) p JOIN (SELECT event_id, count(*) AS n FROM kg_claims GROUP BY ALL) k ON p.event_id = k.event_id)""", kg_dm="SELECT DISTINCT event_id, entity_id FROM kg_mentions")
 def _(s, d):
     return S.story_coherence(X.kg_mentions(s, d), X.kg_claims(s, d)).select("event_id", "overlap", "centrality", "density", "score")

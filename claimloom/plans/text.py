@@ -141,7 +141,7 @@ def _(s, d):
     return c.select("claim_id", F.array_join("failed", ",").alias("failed"), T.premise_score(F.col("confidence"), F.col("failed")).alias("score"))
 
 
-@q("q168_sane_confidence", "SELECT event_id, round(least(CASE WHEN value / 100 BETWEEN 0 AND 1 THEN value / 100 ELSE 0.7 END, 0.99), 3)::DOUBLE AS confidence FROM events")
+@q("q168_sane_confidence", "SELECT event_id, round(least(CASE WHEN value / 100 BETWEEN 0 AND 1 THEN value / 100 ELSE 0.7 END, 0.99) + 1e-9::DOUBLE, 3)::DOUBLE AS confidence FROM events")
 def _(s, d):
     return X.read(s, d, "events").select("event_id", T.sane_confidence(F.col("value") / 100).alias("confidence"))
 
