@@ -5,20 +5,29 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def cut_lineage(df: DataFrame, name: str = "loop") -> DataFrame:
-    """Write ``df`` to the shared folder of ``spark.checkpoint.dir`` and read it back."""
-    spark = df.sparkSession
+_OWN_FOLDER: list[str] = []
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``, which driver and executors share; where that is unset, as in
+    tests, a temporary one of this process."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="claimloom-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+        if not _OWN_FOLDER:
+            _OWN_FOLDER.append("file://" + tempfile.mkdtemp(prefix="claimloom-"))
+        base = _OWN_FOLDER[0]
+    return base.rstrip("/")
+
+
+def cut_lineage(df: DataFrame, name: str = "loop") -> DataFrame:
+    """Write ``df`` to the shared folder and read it back."""
+    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def _lookup(df: DataFrame, key: str, names: DataFrame, name_key: str, value: str, out: str) -> DataFrame:

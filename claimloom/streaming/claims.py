@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from claimloom.operators.graph import shared_folder
+
 # Rules of an event's upkeep.
 MIN_CLAIMS_FOR_TOPOLOGY = 5
 ACTIVE_HOURS, HIBERNATE_HOURS, NARRATIVE_HOURS = 6, 24, 1
@@ -41,10 +43,7 @@ def arrivals(raw: DataFrame) -> DataFrame:
 def run_available(stream: DataFrame, mode: str = "append") -> DataFrame:
     """Run a stream over what is there, into a table in the shared folder, and read that."""
     spark = stream.sparkSession
-    from claimloom.operators.graph import cut_lineage
-
-    cut_lineage(spark.range(1), "stream-start")  # sets the shared folder where none is configured
-    base = f"{spark.conf.get('spark.checkpoint.dir').rstrip('/')}/stream-{uuid.uuid4().hex}"
+    base = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     q = stream.writeStream.outputMode(mode).format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{base}/out")
