@@ -6,8 +6,8 @@
    agree in a slot with the probability Jaccard similarity.
 2. Slots are banded; texts that agree in a band are candidates.  A bucket isn't expanded into pairs:
    its members are compared with its smallest member.  Members that this leaves apart are compared
-   by signature with the bucket's others, block by block, and only close ones become pairs.
-3. Candidates are verified on the texts, by the exact probability Jaccard similarity.
+   with the bucket's others block by block, inside a task, and only links leave it.
+3. Candidates are verified on whole texts, by the exact probability Jaccard similarity.
 4. Classes are the connected components; equal texts are one node from the start.
 """
 
@@ -28,8 +28,11 @@ SHINGLE_WORDS = 5
 SIMILARITY = 0.8
 #: 32 bands of 6 slots miss a pair at similarity 0.8 with a chance of 6e-5, and at 0.85 of 3e-7.
 BANDS, BAND_SLOTS = 32, 6
-#: Signatures of members that are compared in one block.
-BLOCK = 1024
+#: Bytes of shingles, on average, of a block of members that are compared in one task.
+BLOCK_BYTES = 256_000
+
+#: What rounding may take from a similarity.
+SLACK = 1e-9
 
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -44,7 +47,7 @@ def mixed_bits(x: np.ndarray) -> np.ndarray:
 class _WordHashes(dict):
     """64-bit hashes of words as bytes, kept for up to ``most`` words."""
 
-    most = 200_000
+    most = 100_000
 
     def __missing__(self, word: bytes) -> bytes:
         if len(self) >= self.most:
@@ -127,8 +130,8 @@ def probability_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, n
     return float((x / total).sum())
 
 
-def _signed(batch: pa.RecordBatch, slots: int) -> Iterator[tuple[list, np.ndarray]]:
-    """(nodes, signatures) of the texts with words in a batch of (node, text), exact copies once."""
+def _signed(batch: pa.RecordBatch, slots: int) -> Iterator[tuple[list, list, np.ndarray]]:
+    """(nodes, weighted sets, signatures) of the texts with words in a batch of (node, text), copies once."""
     nodes, texts, at = batch.column(0), batch.column(1).cast(pa.binary()), 0
     seen: set = set()
     while at < len(nodes):
@@ -144,7 +147,16 @@ def _signed(batch: pa.RecordBatch, slots: int) -> Iterator[tuple[list, np.ndarra
                     held += len(s[0]) + slots
             at += 1
         if sets:
-            yield own, signatures(sets, slots)
+            yield own, sets, signatures(sets, slots)
+
+
+def _band_hashes(signed: np.ndarray, bands: int) -> np.ndarray:
+    """A 64-bit hash for each text and band."""
+    sig = signed.reshape(len(signed), bands, -1)
+    h = np.broadcast_to(_times_gold(np.arange(1, bands + 1)), sig.shape[:2])
+    for i in range(sig.shape[2]):
+        h = mixed_bits(h + sig[:, :, i])
+    return h.view(np.int64)
 
 
 def bands_of(texts: DataFrame, bands: int, band_slots: int) -> DataFrame:
@@ -152,29 +164,26 @@ def bands_of(texts: DataFrame, bands: int, band_slots: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for own, signed in _signed(batch, bands * band_slots):
-                sig = signed.reshape(len(own), bands, band_slots)
-                h = np.broadcast_to(_times_gold(np.arange(1, bands + 1)), sig.shape[:2])
-                for i in range(band_slots):
-                    h = mixed_bits(h + sig[:, :, i])
+            for own, _, signed in _signed(batch, bands * band_slots):
                 which = pa.array(np.repeat(np.arange(len(own), dtype=np.int32), bands))
-                yield pa.RecordBatch.from_arrays([pa.array(h.reshape(-1).view(np.int64)), pa.array(own, pa.binary()).take(which)], ["bucket", "node"])
+                yield pa.RecordBatch.from_arrays([pa.array(_band_hashes(signed, bands).reshape(-1)), pa.array(own, pa.binary()).take(which)], ["bucket", "node"])
 
     common.bounded_batches(texts.sparkSession)
     return texts.select("node", "text").mapInArrow(run, "bucket long, node binary")
 
 
-def sketches_of(texts: DataFrame, slots: int) -> DataFrame:
-    """(node, sketch): a byte for each signature slot of a text."""
+def sketches_of(texts: DataFrame, bands: int, band_slots: int) -> DataFrame:
+    """(node, sketch, bands, shingles, counts): a byte for each slot, the band hashes, and the weighted set
+    as arrays of 64-bit hashes and 64-bit weights, all as binary."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for own, signed in _signed(batch, slots):
-                low = mixed_bits(signed).astype(np.uint8)
-                yield pa.RecordBatch.from_arrays([pa.array(own, pa.binary()), pa.array([x.tobytes() for x in low], pa.binary())], ["node", "sketch"])
+            for own, sets, signed in _signed(batch, bands * band_slots):
+                parts = [own, [x.tobytes() for x in mixed_bits(signed).astype(np.uint8)], [x.tobytes() for x in _band_hashes(signed, bands)], [d.tobytes() for d, _ in sets], [w.tobytes() for _, w in sets]]
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) for x in parts], ["node", "sketch", "bands", "shingles", "weights"])
 
     common.bounded_batches(texts.sparkSession)
-    return texts.select("node", "text").mapInArrow(run, "node binary, sketch binary")
+    return texts.select("node", "text").mapInArrow(run, "node binary, sketch binary, bands binary, shingles binary, weights binary")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
@@ -189,7 +198,7 @@ def verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame
                 tb = tb.as_py()
                 if tb != last:
                     last, sb = tb, shingles(tb)
-                keep.append(probability_jaccard(shingles(ta.as_py()), sb) >= similarity - 1e-9)
+                keep.append(probability_jaccard(shingles(ta.as_py()), sb) >= similarity - SLACK)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     one = common.spread_join(pairs, texts.select(F.col("node").alias("a"), F.col("text").alias("_ta")), "a")
@@ -215,7 +224,7 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY, bands: int = B
     shared = common.stored(common.spread_join(found, buckets, "bucket"), "near-buckets")
     star = shared.filter(F.col("node") != F.col("centre"))
     nodes = shared.select("node").distinct()
-    texts = d.join(nodes, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text"))
+    texts = common.spread_join(d, nodes, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text"))
     texts = common.stored(texts, "near-texts")
 
     # each text and the centre that it meets most often
@@ -229,9 +238,9 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY, bands: int = B
     more = verified(_apart(rest, label), texts, similarity)
     edges = common.stored(edges.unionByName(more), "near-edges")
     label = common.stored(connected_components(edges, "a", "b"), "near-labels")
-    within = common.stored(_apart_members(shared, label, texts, similarity, bands * band_slots), "near-within")
+    within = common.stored(_links_within(shared, label, texts, similarity, bands, band_slots), "near-within")
     if not within.isEmpty():
-        edges = common.stored(edges.unionByName(verified(within, texts, similarity)), "near-edges")
+        edges = common.stored(edges.unionByName(within), "near-edges")
         label = common.stored(connected_components(edges, "a", "b"), "near-labels")
 
     firsts = d.groupBy("node").agg(F.min("doc_id").alias("first"), F.count("*").alias("rows"))
@@ -254,46 +263,60 @@ def _apart(pairs: DataFrame, label: DataFrame) -> DataFrame:
     return both.filter(F.col("_ca") != F.col("_cb")).select("a", "b")
 
 
-def _apart_members(shared: DataFrame, label: DataFrame, texts: DataFrame, similarity: float, slots: int) -> DataFrame:
-    """Pairs (a, b) of members of a bucket that lie in different components and whose signatures agree
-    nearly as much as ``similarity`` asks (4 standard deviations below it).
+def _links_within(shared: DataFrame, label: DataFrame, texts: DataFrame, similarity: float, bands: int, band_slots: int) -> DataFrame:
+    """Links (a, b) between members of a bucket that lie in different components.
 
-    Of a bucket in several components, blocks of the members outside the largest one are compared
-    with blocks of all; a row is a pair of blocks, and only close pairs leave it.
+    Of a bucket in several components, blocks of the members outside the largest one meet blocks of
+    all; a row is a pair of blocks.  Inside, a pair is looked at in the first band that it shares;
+    where signatures agree to within 4 standard deviations of ``similarity``, the sets decide.
     """
-    least = similarity - 4 * (similarity * (1 - similarity) / slots) ** 0.5
+    slots = bands * band_slots
+    near = similarity - 4 * (similarity * (1 - similarity) / slots) ** 0.5
     own = common.stored(_component(shared.filter("members > 2"), "node", label, "part"), "near-parts")
     parts = own.groupBy("bucket", "part").agg(F.count("*").alias("n"))
     split = parts.groupBy("bucket").agg(F.max_by("part", F.struct("n", "part")).alias("largest"), F.count("*").alias("k")).filter("k > 1")
     own = common.stored(common.spread_join(own, split.select("bucket", "largest"), "bucket"), "near-split")
-    sketches = sketches_of(texts.join(own.select("node").distinct(), "node", "left_semi"), slots)
-    block = F.pmod(F.xxhash64("node"), F.ceil(F.col("members") / BLOCK)).alias("block")
-    own = common.spread_join(own, sketches, "node").select("bucket", block, "part", "largest", F.struct("node", "part", "sketch").alias("m"))
-    own = common.stored(own, "near-members")
+    needed = common.spread_join(texts, own.select("node").distinct(), "node", "left_semi")
+    sketches = common.stored(sketches_of(needed, bands, band_slots), "near-sketches")
+    sizes = common.spread_join(own.select("bucket", "node"), sketches.select("node", F.octet_length("shingles").alias("bytes")), "node")
+    blocks = sizes.groupBy("bucket").agg(F.ceil(F.sum("bytes") / BLOCK_BYTES).alias("blocks"))
+    own = common.spread_join(common.spread_join(own, blocks, "bucket"), sketches, "node")
+    block = F.pmod(F.xxhash64("node"), F.greatest(F.col("blocks"), F.lit(1))).alias("block")
+    member = F.struct("node", "part", "sketch", "bands", "shingles", "weights").alias("m")
+    own = common.stored(own.select("bucket", block, "part", "largest", member), "near-members")
     few = own.filter(F.col("part") != F.col("largest")).groupBy("bucket", "block").agg(F.collect_list("m").alias("few")).drop("block")
     many = own.groupBy("bucket", "block").agg(F.collect_list("m").alias("many")).drop("block")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for left, right in zip(batch.column(0), batch.column(1)):
-                (na, pa_, sa), (nb, pb, sb) = (_columns(x.values) for x in (left, right))
-                out_a, out_b = [], []
-                for i in range(len(na)):
-                    agree = ((sb == sa[i]).mean(1) * 256 - 1) / 255
-                    for j in np.flatnonzero(agree >= least):
-                        if pa_[i] != pb[j]:
-                            out_a.append(max(na[i], nb[j]))
-                            out_b.append(min(na[i], nb[j]))
-                if out_a:
-                    yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.binary()), pa.array(out_b, pa.binary())], ["a", "b"])
-
-    met = many.join(few, "bucket").select("few", "many").repartition(max(8, 2 * own.sparkSession.sparkContext.defaultParallelism))
-    return met.mapInArrow(run, "a binary, b binary").distinct()
-
-
-def _columns(members: pa.StructArray) -> tuple[list, list, np.ndarray]:
-    sketch = members.field("sketch").to_pylist()
-    return members.field("node").to_pylist(), members.field("part").to_pylist(), np.frombuffer(b"".join(sketch), np.uint8).reshape(len(sketch), -1)
+            for bucket, left, right in zip(*batch.columns):
+                a, b = _Members(left.values), _Members(right.values)
+                band = int(np.flatnonzero(b.bands[0] == bucket.as_py())[0])
+                out = []
+                for i, node in enumerate(a.nodes):
+                    agree = ((b.sketch == a.sketch[i]).mean(1) * 256 - 1) / 255
+                    first = (b.bands == a.bands[i]).argmax(1) == band
+                    for j in np.flatnonzero((agree >= near) & first):
+                        if a.parts[i] != b.parts[j] and probability_jaccard(a.set(i), b.set(j)) >= similarity - SLACK:
+                            out.append((max(node, b.nodes[j]), min(node, b.nodes[j])))
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) for x in zip(*out)], ["a", "b"])
+
+    # wide rows go from the join straight into Python, a few at a time
+    return many.join(few, "bucket").select("bucket", "few", "many").mapInArrow(run, "a binary, b binary").distinct()
+
+
+class _Members:
+    """A block of members, as arrays."""
+
+    def __init__(self, members: pa.StructArray) -> None:
+        rows = lambda name, kind: np.frombuffer(b"".join(members.field(name).to_pylist()), kind).reshape(len(members), -1)
+        self.nodes, self.parts = members.field("node").to_pylist(), members.field("part").to_pylist()
+        self.sketch, self.bands = rows("sketch", np.uint8), rows("bands", np.int64)
+        self.shingles, self.weights = members.field("shingles"), members.field("weights")
+
+    def set(self, i: int) -> tuple[np.ndarray, np.ndarray]:
+        return np.frombuffer(self.shingles[i].as_py(), np.uint64), np.frombuffer(self.weights[i].as_py(), np.float64)
 
 
 def deduplicated(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
