@@ -5,6 +5,10 @@ Greedy methods use a strict total order (score, then id), so that results don't
 
 from __future__ import annotations
 
+import itertools
+from collections.abc import Iterator
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -15,27 +19,49 @@ from claimloom.operators.graph import connected_components, cut_lineage
 from claimloom.operators.relational import top_k
 
 
-def exclusive_topics(candidates: DataFrame, min_claims: int, min_pages: int, max_rounds: int = 200) -> DataFrame:
+def _rounds(max_rounds: int | None) -> Iterator[int]:
+    """Numbers of rounds, without end; raises after ``max_rounds`` if that is given."""
+    yield from itertools.count() if max_rounds is None else range(max_rounds)
+    raise RuntimeError(f"rows are left after {max_rounds} rounds")
+
+
+def _fewer(live: DataFrame, before: int | None, why: str) -> int:
+    """The number of rows that are left; raises if a round has taken none."""
+    n = live.count()
+    if n == before:
+        raise RuntimeError(f"a round settled nothing: {why}")
+    return n
+
+
+def _gather(parts: list[DataFrame], more: DataFrame, name: str) -> list[DataFrame]:
+    """``parts`` and ``more``, written as one table every 50 rounds so that plans stay short."""
+    parts = [*parts, more]
+    return parts if len(parts) < 50 else [cut_lineage(reduce(DataFrame.unionByName, parts), name)]
+
+
+def exclusive_topics(candidates: DataFrame, min_claims: int, min_pages: int, max_rounds: int | None = None) -> DataFrame:
     """#111-#113. Greedy exclusive assignment: anchors by their order, each takes its claims that are still
     free if these are enough, on enough pages.  ``candidates`` (anchor, claim_id, page_id, score).
 
     The anchors that no better live anchor shares a free claim with are settled together, which gives the
-    result of going through them one by one.
+    result of going through them one by one.  Goes on until no anchor has enough; raises if ``max_rounds``
+    is given and doesn't suffice, or if an anchor's rows differ in score so that none can be settled.
     """
     live = cut_lineage(candidates.select("anchor", "claim_id", "page_id", "score").distinct(), "topics")
-    out = None
-    for _ in range(max_rounds):
+    out, left = [], None
+    for _ in _rounds(max_rounds):
         counts = live.groupBy("anchor").agg(F.countDistinct("claim_id").alias("_c"), F.countDistinct("page_id").alias("_p"))
         good = counts.filter((F.col("_c") >= min_claims) & (F.col("_p") >= min_pages)).select("anchor")
         live = cut_lineage(live.join(good, "anchor", "left_semi"), "topics")
-        if live.isEmpty():
+        left = _fewer(live, left, "anchors have more than one score")
+        if not left:
             break
         best = live.groupBy("claim_id").agg(F.max_by("anchor", F.struct("score", "anchor")).alias("_best"))
         contested = live.join(best, "claim_id").filter(F.col("anchor") != F.col("_best")).select("anchor").distinct()
         won = cut_lineage(live.join(contested, "anchor", "left_anti"), "topics")
-        out = won if out is None else out.unionByName(won)
-        live = cut_lineage(live.join(won.select("claim_id").distinct(), "claim_id", "left_anti"), "topics")
-    return out if out is not None else candidates.select("anchor", "claim_id", "page_id", "score").limit(0)
+        out = _gather(out, won, "topics")
+        live = cut_lineage(live.join(won.select("anchor").distinct(), "anchor", "left_anti").join(won.select("claim_id").distinct(), "claim_id", "left_anti"), "topics")
+    return reduce(DataFrame.unionByName, out) if out else candidates.select("anchor", "claim_id", "page_id", "score").limit(0)
 
 
 def gravity_topics(mentions: DataFrame, min_claims: int = 3, min_pages: int = 2) -> DataFrame:
@@ -174,24 +200,27 @@ def merged_units(units: DataFrame, least: float = 0.60, min_size: int = 3) -> Da
     return units.join(comp, "id", "left").select("id", F.coalesce("component", "id").alias("event"))
 
 
-def greedy_matching(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
+def greedy_matching(edges: DataFrame, max_rounds: int | None = None) -> DataFrame:
     """Best-first disjoint pairs of (a, b, score): pairs that are the best of both ends are taken, their ends
-    leave, and so on until none is left; the same as going through all pairs from the best down."""
-    live = cut_lineage(edges.select("a", "b", "score"), "matching")
-    out = None
-    for _ in range(max_rounds):
-        if live.isEmpty():
+    leave, and so on until none is left; the same as going through all pairs from the best down.
+    A row with a null end or equal ends is no pair.  Ties go by (a, b), so that n tied units take up to n / 2
+    rounds; raises if ``max_rounds`` is given and doesn't suffice."""
+    live = cut_lineage(edges.select("a", "b", "score").filter("a <> b"), "matching")
+    out, left = [], None
+    for _ in _rounds(max_rounds):
+        left = _fewer(live, left, "no pair is the best of both ends")
+        if not left:
             break
         ends = live.select(F.col("a").alias("v"), "a", "b", "score").unionByName(live.select(F.col("b").alias("v"), "a", "b", "score"))
         # the order: score down, then a and b up
         best = ends.groupBy("v").agg(F.min(F.struct((-F.col("score")).alias("s"), "a", "b")).alias("p")).select("v", "p.a", "p.b")
         both = best.groupBy("a", "b").agg(F.count("*").alias("_n")).filter("_n = 2").select("a", "b")
         won = cut_lineage(both.join(live, ["a", "b"]), "matching")
-        out = won if out is None else out.unionByName(won)
+        out = _gather(out, won, "matching")
         gone = won.select(F.col("a").alias("v")).union(won.select("b"))
         live = live.join(gone.withColumnRenamed("v", "a"), "a", "left_anti").join(gone.withColumnRenamed("v", "b"), "b", "left_anti")
         live = cut_lineage(live.select("a", "b", "score"), "matching")
-    return out if out is not None else edges.select("a", "b", "score").limit(0)
+    return reduce(DataFrame.unionByName, out) if out else edges.select("a", "b", "score").limit(0)
 
 
 def unit_links(units: DataFrame, edges: DataFrame, mentions: DataFrame) -> DataFrame:
@@ -273,16 +302,18 @@ def best_pair_agglomeration(units: DataFrame, edges: DataFrame, mentions: DataFr
     return units.select("id").distinct().join(F.broadcast(names), "id", "left").select("id", F.coalesce("_to", "id").alias("unit"))
 
 
-def seed_clusters(pairs: DataFrame, weights: DataFrame, size: int = 2, max_rounds: int = 200) -> DataFrame:
+def seed_clusters(pairs: DataFrame, weights: DataFrame, size: int = 2, max_rounds: int | None = None) -> DataFrame:
     """#217. (id, seed): greedy seeds by weight (most entities first, then id) take their unassigned
-    neighbours among ``pairs`` (a, b); clusters of under ``size`` are dropped."""
+    neighbours among ``pairs`` (a, b), until no id is free; clusters of under ``size`` are dropped.  Null ids
+    are none.  Raises if ``max_rounds`` is given and doesn't suffice."""
     both = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
     rank = lambda c: F.struct(-F.col("weight"), F.col(c))
-    free = cut_lineage(weights.select("id", "weight"), "seeds")
+    free = cut_lineage(weights.select("id", "weight").filter("id IS NOT NULL"), "seeds")
     e = cut_lineage(both, "seeds")
-    out = None
-    for _ in range(max_rounds):
-        if free.isEmpty():
+    out, left = [], None
+    for _ in _rounds(max_rounds):
+        left = _fewer(free, left, "no id is a seed")
+        if not left:
             break
         w = free.select(F.col("id").alias("b"), F.col("weight").alias("_wb"))
         near = e.join(free.withColumnRenamed("id", "a"), "a").join(w, "b")
@@ -290,10 +321,11 @@ def seed_clusters(pairs: DataFrame, weights: DataFrame, size: int = 2, max_round
         seeds = free.join(better, "id", "left_anti").select("id")
         taken = near.join(seeds.withColumnRenamed("id", "a"), "a", "left_semi").groupBy("b").agg(F.min(rank("a")).alias("_s")).select(F.col("b").alias("id"), F.col("_s.a").alias("seed"))
         got = cut_lineage(seeds.select("id", F.col("id").alias("seed")).unionByName(taken.join(seeds, "id", "left_anti")), "seeds")
-        out = got if out is None else out.unionByName(got)
+        out = _gather(out, got, "seeds")
         free = cut_lineage(free.join(got.select("id"), "id", "left_anti"), "seeds")
-    if out is None:
+    if not out:
         return weights.select("id", F.col("id").alias("seed")).limit(0)
+    out = reduce(DataFrame.unionByName, out)
     keep = out.groupBy("seed").agg(F.count("*").alias("_n")).filter(F.col("_n") >= size).select("seed")
     return out.join(keep, "seed", "left_semi").select("id", "seed")
 

@@ -172,6 +172,31 @@ def test_seed_clusters_are_those_of_a_sorted_scan(spark):
     assert got == want
 
 
+def test_greedy_matching_goes_on_until_no_pair_is_left(spark):
+    """A tied clique and a tied path of over 200 units give one pair a round."""
+    clique = [(a, b, 1.0) for a in range(206) for b in range(a + 1, 206)]
+    path = [(a, a + 1, 1.0) for a in range(1000, 1205)]
+    odd = [(7, 7, 9.0), (None, 3, 9.0), (3, None, 9.0)]
+    got = {(r.a, r.b) for r in C.greedy_matching(spark.createDataFrame(clique + path + odd, "a long, b long, score double").coalesce(1)).collect()}
+    assert got == {(a, a + 1) for a in [*range(0, 206, 2), *range(1000, 1205, 2)]}
+
+
+def test_greedy_loops_raise_where_a_bound_leaves_rows(spark):
+    path = spark.createDataFrame([(a, a + 1, 1.0) for a in range(9)], "a long, b long, score double")
+    with pytest.raises(RuntimeError, match="rows are left"):
+        C.greedy_matching(path, max_rounds=2)
+    chain = spark.createDataFrame([(a, c, c, float(-a)) for a in range(9) for c in (2 * a, 2 * a + 1, 2 * a + 2)], "anchor long, claim_id long, page_id long, score double")
+    with pytest.raises(RuntimeError, match="rows are left"):
+        C.exclusive_topics(chain, 2, 2, max_rounds=2)
+    assert C.exclusive_topics(chain, 2, 2).select("anchor").distinct().count() == 9
+    weights = spark.createDataFrame([(i, 1) for i in range(10)], "id long, weight long")
+    with pytest.raises(RuntimeError, match="rows are left"):
+        C.seed_clusters(path, weights, max_rounds=2)
+    two = spark.createDataFrame([("x", 1, 1, 5.0), ("x", 2, 2, 1.0), ("y", 1, 1, 1.0), ("y", 2, 2, 5.0)], "anchor string, claim_id long, page_id long, score double")
+    with pytest.raises(RuntimeError, match="settled nothing"):
+        C.exclusive_topics(two, 1, 1)
+
+
 def test_chains_and_levels(spark):
     links = spark.createDataFrame([(1, 2), (2, 3), (5, 6), (6, 5)], "id long, next long")
     got = {r.id: (r.last, r.steps) for r in A.follow_chains(links).collect()}
