@@ -183,7 +183,7 @@ def _page_units(s, d, keep):
 
 @q("q122_layered_matching", None)
 def _(s, d):
-    return C.layered_matching(*_page_units(s, d, F.lit(True)), "progressive", layers=3)
+    return C.layered_matching(*_page_units(s, d, F.lit(True)), "progressive")
 
 
 @q("q123_page_dissolution", """SELECT page_id, count(component) AS migrated, count(*) FILTER (WHERE component IS NULL) AS remaining FROM kg_claims LEFT JOIN (SELECT DISTINCT unnest([src, dst]) AS component FROM kg_corr JOIN kg_claims a ON src = a.claim_id JOIN kg_claims b ON dst = b.claim_id WHERE a.page_id <> b.page_id) ON claim_id = component GROUP BY page_id""", kg_corr=CORR)
@@ -286,7 +286,7 @@ def _(s, d):
 
 @q("q223_best_pair_agglomeration", None)
 def _(s, d):
-    return C.best_pair_agglomeration(*_page_units(s, d, F.lit(True)), merges=4)
+    return C.best_pair_agglomeration(*_page_units(s, d, F.lit(True)))
 
 
 @q("q224_budgeted_agglomeration", None)

@@ -1,5 +1,6 @@
 """Column functions and operators on literal rows: worked examples and edge cases."""
 
+import itertools
 import random
 
 import pytest
@@ -12,6 +13,8 @@ from claimloom.operators import clustering as C
 from claimloom.operators import entities as N
 from claimloom.operators import graph as G
 from claimloom.operators import scoring as S
+from claimloom.plans import clusters as plans_clusters
+from claimloom.plans import registry
 from claimloom.sources import tables as IO
 
 
@@ -197,6 +200,62 @@ def test_greedy_loops_raise_where_a_bound_leaves_rows(spark):
         C.exclusive_topics(two, 1, 1)
 
 
+def page_units_of(spark, monkeypatch, units, edges, mentions):
+    """Let the registered queries run over these rows."""
+    frames = (
+        spark.createDataFrame(units, "id long, member long"),
+        spark.createDataFrame(edges, "src long, dst long, rel string"),
+        spark.createDataFrame(mentions, "claim_id long, entity_id string"),
+    )
+    monkeypatch.setattr(plans_clusters, "_page_units", lambda s, d, keep: tuple(f.coalesce(1) for f in frames))
+
+
+def energies(unit, edges, mentions, wc, wx, ws):
+    """Energy of pairs of units, by (smaller, larger)."""
+    out, entities = {}, {}
+    for a, b, rel in edges:
+        if unit[a] != unit[b]:
+            p = tuple(sorted((unit[a], unit[b])))
+            out[p] = out.get(p, 0) + {"CORROBORATES": wc, "CONTRADICTS": wx}[rel]
+    for c, e in mentions:
+        entities.setdefault(unit[c], set()).add(e)
+    for p in itertools.combinations(sorted(entities), 2):
+        if k := len(entities[p[0]] & entities[p[1]]):
+            out[p] = out.get(p, 0) + ws * k
+    return out
+
+
+def test_layers_of_matching_are_those_of_brute_force(spark, monkeypatch):
+    """Claims that merge along another bit of their number in each of six layers."""
+    edges = [(i, i ^ 1 << k, "CORROBORATES") for k in range(6) for i in range(64) if i < i ^ 1 << k for _ in range(6 - k)] + [(3, 60, "CONTRADICTS")]
+    mentions = [(i, f"P{i % 7}") for i in range(0, 64, 9)]
+    unit = {i: i for i in range(64)}
+    for least in (1, 2, 3, 4, 5, 6):
+        used, to = set(), {}
+        for (a, b), e in sorted(energies(unit, edges, mentions, 2, 1, 0.5).items(), key=lambda x: (-x[1], x[0])):
+            if e >= least and a not in used and b not in used:
+                used |= {a, b}
+                to[b] = a
+        unit = {c: to.get(u, u) for c, u in unit.items()}
+    page_units_of(spark, monkeypatch, [(i, i) for i in range(64)], edges, mentions)
+    got = {r.member: r.unit for r in registry.queries()["q122_layered_matching"](spark, "").collect()}
+    assert got == unit and set(unit.values()) == {0}
+
+
+def test_agglomeration_is_that_of_brute_force(spark, monkeypatch):
+    """A chain and pairs of units; 20 merges of the 26 that have enough energy."""
+    edges = [(2 * i, 2 * i + 1, "CORROBORATES") for i in range(20) for _ in range(1 + i % 3)] + [(i, i + 1, "CONTRADICTS") for i in range(40, 46)]
+    mentions = [(40, "P1"), (43, "P1"), (44, "P1"), (0, "P2"), (3, "P2")]
+    unit = {i: i for i in range(47)}
+    for _ in range(20):
+        (a, b), e = min(energies(unit, edges, mentions, 2, 1, 0.3).items(), key=lambda x: (-x[1], x[0]))
+        assert e >= 1
+        unit = {c: a if u == b else u for c, u in unit.items()}
+    page_units_of(spark, monkeypatch, [(i, i) for i in range(47)], edges, mentions)
+    got = {r.id: r.unit for r in registry.queries()["q223_best_pair_agglomeration"](spark, "").collect()}
+    assert got == unit
+
+
 def test_chains_and_levels(spark):
     links = spark.createDataFrame([(1, 2), (2, 3), (5, 6), (6, 5)], "id long, next long")
     got = {r.id: (r.last, r.steps) for r in A.follow_chains(links).collect()}
