@@ -8,6 +8,7 @@ outside the band of its language, or else of its script, is rejected.
 from __future__ import annotations
 
 from array import array
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -120,9 +121,9 @@ class Fertility:
 
 
 def script_of(text: str) -> str:
-    """"latin" if most letters are below U+0250, else "other"."""
-    letters = [c for c in text[:: max(1, len(text) // 2000)] if c.isalpha()]
-    return "latin" if 2 * sum(c < "ɐ" for c in letters) >= len(letters) else "other"
+    """"latin" if at least half of the text's letters are below U+0250, else "other"."""
+    letters = {c: n for c, n in Counter(text).items() if c.isalpha()}
+    return "latin" if 2 * sum(n for c, n in letters.items() if c < "ɐ") >= sum(letters.values()) else "other"
 
 
 def accepted(measures: tuple[float, float, float], band: Band) -> bool:

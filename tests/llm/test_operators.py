@@ -369,6 +369,14 @@ def test_fertility_measures_are_those_of_the_whole_text(texts):
         assert abs(share - sum(f.model.is_byte(i) for i in ids) / len(ids)) < 1e-9
 
 
+def test_script_is_that_of_the_whole_text(spark):
+    """A layout in step with a stride: each third character is of another script."""
+    text = "жab" * 2000
+    assert fertility.script_of(text) == fertility.script_of("жab") == "latin"
+    assert fertility.script_of("aжж" * 2000) == fertility.script_of("aжж") == "other"
+    assert fertility.script_of("aж" * 5000) == fertility.script_of("") == "latin"  # half is enough
+
+
 def test_fertility_keeps_good_and_rejects_marked_texts(spark):
     d = "/root/testdata/sf0.01"
     got = queries.op8_fertility(spark, d).join(spark.read.parquet(f"{d}/labels.parquet"), "doc_id").filter("NOT base_failed").toPandas()
