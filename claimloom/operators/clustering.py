@@ -122,7 +122,8 @@ def cluster_scores(members: DataFrame, mentions: DataFrame, edges: DataFrame) ->
 def average_link(df: DataFrame, group: str, key: str, vector: str, distance: float = 0.3, most: int = 2_000) -> DataFrame:
     """#117. (group, key, theme): average-link clusters of each group's vectors, cut at cosine ``distance``.
 
-    Quadratic in a group: groups of over ``most`` rows go by components of pairs within the distance.
+    The theme is the cluster's smallest key; similarities count to 9 decimals, and ties go by key.  Groups of
+    up to ``most`` rows are clustered in a task each, larger ones by rounds of joins with the same result.
     """
     sizes = df.groupBy(group).agg(F.count("*").alias("_n"))
     sized = df.join(sizes, group)
@@ -136,6 +137,7 @@ def average_link(df: DataFrame, group: str, key: str, vector: str, distance: flo
         size, alive, theme = np.ones(n), list(range(n)), np.arange(n)
         while len(alive) > 1:
             s = sims[np.ix_(alive, alive)].copy()
+            s = s.round(9)
             np.fill_diagonal(s, -2)
             i, j = divmod(int(s.argmax()), len(alive))
             if s[i, j] < 1 - distance:
@@ -152,10 +154,41 @@ def average_link(df: DataFrame, group: str, key: str, vector: str, distance: flo
     large = sized.filter(F.col("_n") > most).select(group, key, vector)
     if large.isEmpty():
         return small
-    from claimloom.operators.similarity import pairs_within
+    rows = large.select(F.col(group).alias("g"), F.col(key).alias("c"), F.col(vector).alias("v"))
+    return small.unionByName(_average_link_rounds(rows, 1 - distance).select(F.col("g").alias(group), F.col("k").alias(key), F.col("c").alias("theme")))
+
 
-    comp = connected_components(pairs_within(large, key, group, vector, 1 - distance), "a", "b").withColumnRenamed("id", key)
-    return small.unionByName(large.select(group, key).join(comp, key, "left").select(group, key, F.coalesce("component", key).alias("theme")))
+def _average_link_rounds(rows: DataFrame, least: float) -> DataFrame:
+    """(g, k, c): the average-link clusters of ``rows`` (g, c, v), by rounds that merge all pairs of clusters
+    that are each other's nearest.  A merged cluster is nowhere nearer than its nearer half was, so this
+    gives the clusters of merging one pair at a time, and pairs under ``least`` never come back.
+    """
+    norm = F.greatest(F.sqrt(V.dot(F.col("v"), F.col("v"))), F.lit(1e-12))
+    unit = rows.select("g", "c", norm.alias("_n"), F.col("v").cast("array<double>").alias("v"))
+    # the mean of all cosines of two clusters is the product of their sums of unit vectors over n m
+    clusters = cut_lineage(unit.select("g", "c", F.lit(1).cast("long").alias("n"), F.transform("v", lambda x: x / F.col("_n")).alias("s")), "links")
+    themes = clusters.select("g", F.col("c").alias("k"), "c")
+    side = lambda c: clusters.select("g", F.col("c").alias(c), F.col("n").alias(f"n{c}"), F.col("s").alias(f"s{c}"))
+    cosine = F.round(V.dot(F.col("sa"), F.col("sb")) / (F.col("na") * F.col("nb")), 9).alias("e")
+    near = lambda met: met.select("g", "a", "b", cosine).filter(F.col("e") >= least)
+    pairs = cut_lineage(near(side("a").join(side("b"), "g").filter("a < b")), "links")
+    left = None
+    while left := _fewer(pairs, left, "no pair is the nearest of both"):
+        ends = pairs.select("g", F.col("a").alias("v"), "a", "b", "e").unionByName(pairs.select("g", F.col("b").alias("v"), "a", "b", "e"))
+        best = ends.groupBy("g", "v").agg(F.min(F.struct((-F.col("e")).alias("e"), "a", "b")).alias("p")).select("g", "p.a", "p.b")
+        won = cut_lineage(best.groupBy("g", "a", "b").agg(F.count("*").alias("_n")).filter("_n = 2").select("g", "a", "b"), "links")
+        moved = won.select("g", F.col("a").alias("c"), F.col("a").alias("_to")).unionByName(won.select("g", F.col("b").alias("c"), F.col("a").alias("_to")))
+        both = won.join(side("a"), ["g", "a"]).join(side("b"), ["g", "b"])
+        both = both.select("g", F.col("a").alias("c"), (F.col("na") + F.col("nb")).alias("n"), F.zip_with("sa", "sb", lambda x, y: x + y).alias("s"))
+        clusters = cut_lineage(clusters.join(moved, ["g", "c"], "left_anti").unionByName(both), "links")
+        themes = cut_lineage(themes.join(moved, ["g", "c"], "left").select("g", "k", F.coalesce("_to", "c").alias("c")), "links")
+        to = lambda c: moved.select("g", F.col("c").alias(c), F.col("_to").alias(f"t{c}"))
+        named = pairs.join(to("a"), ["g", "a"], "left").join(to("b"), ["g", "b"], "left")
+        same = named.filter("ta IS NULL AND tb IS NULL").select("g", "a", "b", "e")
+        x, y = F.coalesce("ta", "a"), F.coalesce("tb", "b")
+        again = named.filter("ta IS NOT NULL OR tb IS NOT NULL").select("g", F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).filter("a <> b").distinct()
+        pairs = cut_lineage(same.unionByName(near(again.join(side("a"), ["g", "a"]).join(side("b"), ["g", "b"]))), "links")
+    return themes
 
 
 def leader_clusters(df: DataFrame, key: str, order: list[Column], vector: str, shard: Column, least: float = 0.70) -> DataFrame:

@@ -1,6 +1,7 @@
 """Column functions and operators on literal rows: worked examples and edge cases."""
 
 import itertools
+import math
 import random
 
 import pytest
@@ -273,6 +274,18 @@ def test_average_link_falls_back_to_components(spark):
     assert small == large == {0: 0, 1: 0, 2: 0, 3: 0, 9: 9}
 
 
+def test_average_link_of_large_groups_is_that_of_small_ones(spark):
+    """A chain on which single link gives one theme, and random vectors in two groups."""
+    chain = [(0, i, [math.cos(a), math.sin(a)]) for i, a in enumerate(math.radians(40 * i) for i in range(4))]
+    rng = random.Random(12)
+    rows = chain + [(g, 10 + i, [rng.gauss(0, 1) for _ in range(3)]) for g in (1, 2) for i in range(30)]
+    df = spark.createDataFrame(rows, "g long, k long, v array<double>").coalesce(1)
+    small = {(r.g, r.k): r.theme for r in C.average_link(df, "g", "k", "v", 0.3).collect()}
+    large = {(r.g, r.k): r.theme for r in C.average_link(df, "g", "k", "v", 0.3, most=1).collect()}
+    assert small == large and len(large) == 64
+    assert [large[0, i] for i in range(4)] == [0, 0, 2, 2]
+
+
 def test_authors(spark):
     rows = [(1, "By Jane Roe and John Doe, Reuters"), (2, "display: flex; width: 10px"), (3, None), (4, "Ann Poe covers trade in Bonn"), (5, "jane roe, Jane Roe")]
     got = {}
