@@ -214,6 +214,11 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY, bands: int = B
     A null doc_id gets its class by its text; a class of null doc_ids alone has a null class_id.
     Rows that repeat a doc_id with another text are classed by text.
     """
+    return _classes(docs, similarity, bands, band_slots).select("doc_id", "class_id", "class_size", "node")
+
+
+def _classes(docs: DataFrame, similarity: float, bands: int, band_slots: int) -> DataFrame:
+    """``near_classes`` and the component, which tells classes of null doc_ids apart."""
     spark = docs.sparkSession
     node = F.unhex(F.md5(F.col("text")))
     d = docs.select("doc_id", F.coalesce(node, F.unhex(F.lit("00"))).alias("node"), "text")
@@ -247,7 +252,7 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY, bands: int = B
     named = firsts.join(label.withColumnRenamed("id", "node"), "node", "left").withColumn("component", F.coalesce("component", "node"))
     named = common.stored(named, "near-named")
     classes = named.groupBy("component").agg(F.min("first").alias("class_id"), F.sum("rows").alias("class_size"))
-    named = common.spread_join(named.select("node", "component"), classes, "component").select("node", "class_id", "class_size")
+    named = common.spread_join(named.select("node", "component"), classes, "component").select("node", "component", "class_id", "class_size")
     return common.spread_join(d.select("doc_id", "node"), named, "node")
 
 
@@ -320,12 +325,18 @@ class _Members:
 
 
 def deduplicated(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """One row of each class of ``docs``: of the smallest doc_id, and of its repeats the first by text.
-    Null texts are a class like any other."""
-    classes = near_classes(docs, similarity)
-    keep = classes.filter(F.col("doc_id").eqNullSafe(F.col("class_id"))).select("doc_id", "node").distinct()
+    """One row of each class of ``docs``: of the smallest doc_id (null if there is no other), of its texts the
+    first by MD5, and of rows equal in both the first by the MD5 of the row as JSON.  Null texts are a class
+    like any other."""
+    classes = _classes(docs, similarity, BANDS, BAND_SLOTS)
+    rows = classes.groupBy("component", "doc_id", "node").agg(F.count("*").alias("n"))
+    first = rows.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "node", "n")).alias("f"))
+    keep = common.stored(first.select("f.doc_id", "f.node", "f.n"), "near-kept")
     names = docs.columns
     d = docs.select(F.struct(*[f"`{c}`" for c in names]).alias("_row"), "doc_id", F.coalesce(F.unhex(F.md5("text")), F.unhex(F.lit("00"))).alias("node"))
-    k = keep.select(F.col("doc_id").alias("_d"), F.col("node").alias("_n"))
-    kept = d.join(k, d["doc_id"].eqNullSafe(k["_d"]) & (d["node"] == k["_n"]), "left_semi")
+    k = keep.select(F.col("doc_id").alias("_d"), F.col("node").alias("_n"), "n")
+    kept = d.join(k, d["doc_id"].eqNullSafe(k["_d"]) & (d["node"] == k["_n"]))
+    if not keep.filter("n > 1").isEmpty():
+        again = kept.filter("n > 1").groupBy("_d", "_n").agg(F.min_by("_row", F.md5(F.to_json("_row"))).alias("_row"))
+        kept = kept.filter("n = 1").select("_row").unionByName(again.select("_row"))
     return kept.select([F.col(f"_row.`{c}`").alias(c) for c in names])

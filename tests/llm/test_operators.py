@@ -181,6 +181,20 @@ def test_near_odd_rows(spark):
     assert near_dedup.near_classes(odd_documents(spark).limit(0)).count() == 0
 
 
+def test_near_keeps_one_row_a_class(spark):
+    """Equal rows, null doc_ids and near copies under one doc_id."""
+    odd = near_dedup.deduplicated(odd_documents(spark)).collect()
+    assert sorted((-1 if r.doc_id is None else r.doc_id, r.text and r.text[:1]) for r in odd) == [
+        (-1, "o"), (1, None), (3, ""), (4, "w"), (5, "s"), (7, " "), (8, "é"), (9, "<"),
+    ]
+    words = [f"w{i}" for i in range(100)]
+    near = [" ".join([*words[:-1], f"x{i}"]) for i in range(4)]
+    rows = [(5, t, "en", s, 1) for t in near for s in "ab"] + [(None, f"only null ids {i}", "en", "a", 1) for i in (0, 0, 1)] + [(None, near[0], "en", "a", 1)]
+    got = near_dedup.deduplicated(spark.createDataFrame(rows, DOCS)).collect()
+    assert sorted(str(r.doc_id) for r in got) == ["5", "None", "None"]
+    assert {r.text for r in got if r.doc_id is None} == {"only null ids 0", "only null ids 1"}
+
+
 # 4 and 5 ------------------------------------------------------------------------------------------
 
 
