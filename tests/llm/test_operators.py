@@ -8,10 +8,12 @@ import io
 import itertools
 import random
 import re
+import sys
 import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -198,17 +200,17 @@ def test_near_keeps_one_row_a_class(spark):
 # 4 and 5 ------------------------------------------------------------------------------------------
 
 
-def tokenizer():
+def tokenizer(special_as_text=False):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
+    t.encode_special_tokens = special_as_text
     return t
 
 
 def test_edited_counts_match_full_encoding(texts):
     rng = random.Random(4)
-    counter, full = token_counts.Counter(public_tokenizers.path("byte_bpe_50k.tiktoken")), tokenizer()
+    counter, full = token_counts.Counter(public_tokenizers.path("byte_bpe_50k.tiktoken")), tokenizer(special_as_text=True)
     spices = ["", "x", " ", "  \n", "'s", "12 a", "é ü", "word word ", "\t\n  q", "!!!"]
     for text in [t[:3000] for t in texts[:40]] + ["", " ", "\n\n", "a", "it's  2 b"]:
         tree = token_counts.Tree(text, counter)
@@ -237,6 +239,49 @@ def expected_ids(rows):
     return out
 
 
+def check_encoder(encode, texts):
+    t = tokenizer()
+    ids, n = encode(pa.array(texts, pa.string()))
+    ends = np.cumsum(n)
+    assert len(ids) == (ends[-1] if len(texts) else 0)
+    for text, a, b in zip(texts, ends - n, ends):
+        assert list(ids[a:b]) == t.encode(text or "", add_special_tokens=False).ids, repr(text)
+
+
+def test_encoder_is_the_library(texts, monkeypatch):
+    """Words encoded once against whole texts: all kinds of characters and of white space."""
+    encode = token_ids.Encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    assert list(encode(pa.array(["hello <|endoftext|> world"]))[0]) == [31373, 220, 50256, 995]
+    check_encoder(encode, texts[:60])
+    rng = random.Random(5)
+    every = [chr(c) for c in range(sys.maxunicode + 1) if not 0xD800 <= c < 0xE000]
+    marks = ["a", "it's", "12", "!!", "<|endoftext|>", "é", "ß,", "don't", "x\n", " ", " ", "\n", "  ", "\n\n", " \n", "\n ", "\t", "\r"]
+    check_encoder(encode, ["", None, " ", "\n", " a", "\na", "a ", "a\n", "\n\n", " \n", "\ra", "  a", "a  b"])
+    check_encoder(encode, ["".join(rng.choice(rng.choice((marks, [" "], every))) for _ in range(rng.randrange(12))) for _ in range(3000)])
+    monkeypatch.setattr(token_ids, "CACHE_WORDS", 300)  # forgets, and keeps what is frequent
+    for i in range(0, 60, 10):
+        check_encoder(encode, texts[i : i + 10])
+    monkeypatch.setattr(token_ids, "CACHE_CHARS", 10)
+    check_encoder(encode, texts[:3])
+    check_encoder(encode, texts[:3])
+
+
+def test_long_texts_are_put_together():
+    starts, lengths = np.array([4, 0, 2, 2]), np.array([2, 1, 0, 3])
+    for step in (1, 2, 100):
+        assert list(token_ids._gather(np.arange(10), starts, lengths, step)) == [4, 5, 0, 2, 3, 4]
+
+
+def test_ids_themselves(spark, texts, monkeypatch, tmp_path):
+    monkeypatch.setattr(token_ids, "FILE_IDS", 3000)
+    monkeypatch.setattr(token_ids, "BLOCK_IDS", 1000)
+    manifest = token_ids.write_ids(documents(spark, texts[:40]), f"file://{tmp_path}/ids", public_tokenizers.path("byte_bpe_50k.json"), end_id=7, partitions=2)
+    assert manifest.count() > 4 and manifest.agg(F.sum("docs")).first()[0] == 40
+    t = tokenizer()
+    for r in token_ids.read_ids(spark, manifest, "bigint", ids=True).collect():
+        assert r.ids == [*t.encode(texts[r.doc_id], add_special_tokens=False).ids, 7]
+
+
 @pytest.mark.parametrize("odd", [False, True])
 def test_ids_round_trip(spark, texts, odd, monkeypatch, tmp_path):
     monkeypatch.setattr(token_ids, "BLOCK_IDS", 5000)
@@ -262,18 +307,19 @@ def test_blocks_and_damage():
         assert (token_ids.decode_block(token_ids.encode_block(ids[:n], table), n, again) == ids[:n]).all()
     out = io.BytesIO()
     w = token_ids.FileWriter(out, table)
-    w.add(1, ids)
-    w.close()
+    w.add(token_ids._ipc(pa.table({"doc": [1, 2], "n": [8000, 1000]})), ids)
+    assert w.close() == (2, 9000)
     data = bytearray(out.getvalue())
 
     class Source(io.BytesIO):
         def size(self):
             return len(self.getvalue())
 
-    assert [len(x[2]) for x in token_ids.decode_documents(Source(bytes(data)))] == [9000]
+    ((docs, back),) = token_ids.decode_groups(Source(bytes(data)))
+    assert (back == ids).all() and docs.to_pydict() == {"doc": [1, 2], "n": [8000, 1000]}
     data[len(data) // 2] ^= 1
     with pytest.raises(ValueError):
-        list(token_ids.decode_documents(Source(bytes(data))))
+        list(token_ids.decode_groups(Source(bytes(data))))
 
 
 # 6 ------------------------------------------------------------------------------------------------
