@@ -31,6 +31,9 @@ BANDS, BAND_SLOTS = 32, 6
 #: Bytes of shingles, on average, of a block of members that are compared in one task.
 BLOCK_BYTES = 256_000
 
+#: Texts that a task remembers as signed already, so that copies in its rows are signed once.
+SEEN = 200_000
+
 #: What rounding may take from a similarity.
 SLACK = 1e-9
 
@@ -130,15 +133,17 @@ def probability_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, n
     return float((x / total).sum())
 
 
-def _signed(batch: pa.RecordBatch, slots: int) -> Iterator[tuple[list, list, np.ndarray]]:
-    """(nodes, weighted sets, signatures) of the texts with words in a batch of (node, text), copies once."""
+def _signed(batch: pa.RecordBatch, slots: int, seen: set) -> Iterator[tuple[list, list, np.ndarray]]:
+    """(nodes, weighted sets, signatures) of the texts with words in a batch of (node, text), copies once.
+    ``seen`` has the nodes of the task's batches before, and is emptied once it is full."""
     nodes, texts, at = batch.column(0), batch.column(1).cast(pa.binary()), 0
-    seen: set = set()
     while at < len(nodes):
         sets, own, held = [], [], 0
         while at < len(nodes) and held < 200_000:
             node = nodes[at].as_py()
             if node not in seen:
+                if len(seen) >= SEEN:
+                    seen.clear()
                 seen.add(node)
                 s = shingles(texts[at].as_py())
                 if len(s[0]):
@@ -163,8 +168,9 @@ def bands_of(texts: DataFrame, bands: int, band_slots: int) -> DataFrame:
     """(bucket, node): a row per band of each text of (node, text) that has words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set = set()
         for batch in batches:
-            for own, _, signed in _signed(batch, bands * band_slots):
+            for own, _, signed in _signed(batch, bands * band_slots, seen):
                 which = pa.array(np.repeat(np.arange(len(own), dtype=np.int32), bands))
                 yield pa.RecordBatch.from_arrays([pa.array(_band_hashes(signed, bands).reshape(-1)), pa.array(own, pa.binary()).take(which)], ["bucket", "node"])
 
@@ -178,7 +184,7 @@ def sketches_of(texts: DataFrame, bands: int, band_slots: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for own, sets, signed in _signed(batch, bands * band_slots):
+            for own, sets, signed in _signed(batch, bands * band_slots, set()):
                 parts = [own, [x.tobytes() for x in mixed_bits(signed).astype(np.uint8)], [x.tobytes() for x in _band_hashes(signed, bands)], [d.tobytes() for d, _ in sets], [w.tobytes() for _, w in sets]]
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) for x in parts], ["node", "sketch", "bands", "shingles", "weights"])
 
@@ -187,23 +193,24 @@ def sketches_of(texts: DataFrame, bands: int, band_slots: int) -> DataFrame:
 
 
 def verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """The (a, b) of ``pairs`` whose texts are at least as similar.  A text may be in many pairs: both
-    joins have one text a node on the right, and split a node with very many pairs."""
+    """The rows of ``pairs`` (a, b, ...) whose texts are at least as similar.  A text may be in many pairs:
+    both joins have one text a node on the right, and split a node with very many pairs."""
+    names = pairs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, sb = None, None
         for batch in batches:
             keep = []
-            for ta, tb in zip(batch.column(2), batch.column(3)):
+            for ta, tb in zip(batch.column("_ta"), batch.column("_tb")):
                 tb = tb.as_py()
                 if tb != last:
                     last, sb = tb, shingles(tb)
                 keep.append(probability_jaccard(shingles(ta.as_py()), sb) >= similarity - SLACK)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            yield batch.select(names).filter(pa.array(keep, pa.bool_()))
 
     one = common.spread_join(pairs, texts.select(F.col("node").alias("a"), F.col("text").alias("_ta")), "a")
     two = common.spread_join(one, texts.select(F.col("node").alias("b"), F.col("text").alias("_tb")), "b")
-    return two.select("a", "b", "_ta", "_tb").mapInArrow(run, "a binary, b binary")
+    return two.select(*names, "_ta", "_tb").mapInArrow(run, pairs.schema)
 
 
 def near_classes(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, band_slots: int = BAND_SLOTS) -> DataFrame:
@@ -219,9 +226,9 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY, bands: int = B
 
 def _classes(docs: DataFrame, similarity: float, bands: int, band_slots: int) -> DataFrame:
     """``near_classes`` and the component, which tells classes of null doc_ids apart."""
-    spark = docs.sparkSession
     node = F.unhex(F.md5(F.col("text")))
     d = docs.select("doc_id", F.coalesce(node, F.unhex(F.lit("00"))).alias("node"), "text")
+    ids = common.stored(d.select("doc_id", "node"), "near-ids")
 
     found = bands_of(d.filter(F.col("text").isNotNull()), bands, band_slots)
     found = common.stored(found.distinct(), "near-bands")
@@ -229,31 +236,24 @@ def _classes(docs: DataFrame, similarity: float, bands: int, band_slots: int) ->
     shared = common.stored(common.spread_join(found, buckets, "bucket"), "near-buckets")
     star = shared.filter(F.col("node") != F.col("centre"))
     nodes = shared.select("node").distinct()
-    texts = common.spread_join(d, nodes, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text"))
+    texts = common.spread_join(d.drop("doc_id"), nodes, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text"))
     texts = common.stored(texts, "near-texts")
 
     # each text and the centre that it meets most often
     first = star.groupBy("node", "centre").agg(F.count("*").alias("n")).groupBy("node").agg(F.max_by("centre", F.struct("n", "centre")).alias("centre"))
-    tried = first.select(F.col("node").alias("a"), F.col("centre").alias("b"))
-    edges = common.stored(verified(tried, texts, similarity), "near-edges")
-    label = common.stored(connected_components(edges, "a", "b"), "near-labels")
+    tried = common.stored(first.select(F.col("node").alias("a"), F.col("centre").alias("b")), "near-tried")
+    label = common.stored(connected_components(common.stored(verified(tried, texts, similarity), "near-edges"), "a", "b"), "near-labels")
 
     # the other centres, then members of a bucket that are still apart
     rest = star.select(F.col("node").alias("a"), F.col("centre").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
-    more = verified(_apart(rest, label), texts, similarity)
-    edges = common.stored(edges.unionByName(more), "near-edges")
-    label = common.stored(connected_components(edges, "a", "b"), "near-labels")
-    within = common.stored(_links_within(shared, label, texts, similarity, bands, band_slots), "near-within")
-    if not within.isEmpty():
-        edges = common.stored(edges.unionByName(within), "near-edges")
-        label = common.stored(connected_components(edges, "a", "b"), "near-labels")
-
-    firsts = d.groupBy("node").agg(F.min("doc_id").alias("first"), F.count("*").alias("rows"))
-    named = firsts.join(label.withColumnRenamed("id", "node"), "node", "left").withColumn("component", F.coalesce("component", "node"))
-    named = common.stored(named, "near-named")
+    label = _joined(label, verified(_apart(rest, label), texts, similarity))
+    label = _joined(label, _links_within(shared, label, texts, similarity, bands, band_slots))
+
+    firsts = ids.groupBy("node").agg(F.min("doc_id").alias("first"), F.count("*").alias("rows"))
+    named = common.stored(_component(firsts, "node", label, "component"), "near-named")
     classes = named.groupBy("component").agg(F.min("first").alias("class_id"), F.sum("rows").alias("class_size"))
     named = common.spread_join(named.select("node", "component"), classes, "component").select("node", "component", "class_id", "class_size")
-    return common.spread_join(d.select("doc_id", "node"), named, "node")
+    return common.spread_join(ids, named, "node")
 
 
 def _component(df: DataFrame, column: str, label: DataFrame, out: str) -> DataFrame:
@@ -262,18 +262,29 @@ def _component(df: DataFrame, column: str, label: DataFrame, out: str) -> DataFr
     return joined.withColumn(out, F.coalesce(out, column))
 
 
+def _joined(label: DataFrame, links: DataFrame) -> DataFrame:
+    """``label`` after ``links`` between its components (ca, cb): only these are put together anew."""
+    links = common.stored(links.select("ca", "cb").distinct(), "near-edges")
+    if links.isEmpty():
+        return label
+    more = connected_components(links, "ca", "cb")
+    moved = _component(label, "component", more, "_up").select("id", F.col("_up").alias("component"))
+    return common.stored(moved.unionByName(more.join(label, "id", "left_anti")), "near-labels")
+
+
 def _apart(pairs: DataFrame, label: DataFrame) -> DataFrame:
-    """The pairs (a, b) that ``label`` has not in one component."""
-    both = _component(_component(pairs, "a", label, "_ca"), "b", label, "_cb")
-    return both.filter(F.col("_ca") != F.col("_cb")).select("a", "b")
+    """The pairs (a, b) that ``label`` has not in one component, and their components (ca, cb)."""
+    both = _component(_component(pairs, "a", label, "ca"), "b", label, "cb")
+    return both.filter(F.col("ca") != F.col("cb")).select("a", "b", "ca", "cb")
 
 
 def _links_within(shared: DataFrame, label: DataFrame, texts: DataFrame, similarity: float, bands: int, band_slots: int) -> DataFrame:
-    """Links (a, b) between members of a bucket that lie in different components.
+    """Links between members of a bucket that lie in different components, as pairs of these (ca, cb).
 
     Of a bucket in several components, blocks of the members outside the largest one meet blocks of
-    all; a row is a pair of blocks.  Inside, a pair is looked at in the first band that it shares;
-    where signatures agree to within 4 standard deviations of ``similarity``, the sets decide.
+    all; a row is a pair of blocks, and pairs of blocks are dealt out one by one.  Inside, a pair of
+    members is looked at in the first band that it shares; where signatures agree to within 4
+    standard deviations of ``similarity``, the sets decide.
     """
     slots = bands * band_slots
     near = similarity - 4 * (similarity * (1 - similarity) / slots) ** 0.5
@@ -284,31 +295,36 @@ def _links_within(shared: DataFrame, label: DataFrame, texts: DataFrame, similar
     needed = common.spread_join(texts, own.select("node").distinct(), "node", "left_semi")
     sketches = common.stored(sketches_of(needed, bands, band_slots), "near-sketches")
     sizes = common.spread_join(own.select("bucket", "node"), sketches.select("node", F.octet_length("shingles").alias("bytes")), "node")
-    blocks = sizes.groupBy("bucket").agg(F.ceil(F.sum("bytes") / BLOCK_BYTES).alias("blocks"))
+    blocks = sizes.groupBy("bucket").agg(F.greatest(F.ceil(F.sum("bytes") / BLOCK_BYTES), F.lit(1)).alias("blocks"))
     own = common.spread_join(common.spread_join(own, blocks, "bucket"), sketches, "node")
-    block = F.pmod(F.xxhash64("node"), F.greatest(F.col("blocks"), F.lit(1))).alias("block")
+    block = F.pmod(F.xxhash64("node"), F.col("blocks")).alias("block")
     member = F.struct("node", "part", "sketch", "bands", "shingles", "weights").alias("m")
     own = common.stored(own.select("bucket", block, "part", "largest", member), "near-members")
-    few = own.filter(F.col("part") != F.col("largest")).groupBy("bucket", "block").agg(F.collect_list("m").alias("few")).drop("block")
-    many = own.groupBy("bucket", "block").agg(F.collect_list("m").alias("many")).drop("block")
+    few = own.filter(F.col("part") != F.col("largest")).groupBy("bucket", F.col("block").alias("x")).agg(F.collect_list("m").alias("few"))
+    many = own.groupBy("bucket", F.col("block").alias("y")).agg(F.collect_list("m").alias("many"))
+    meet = own.filter(F.col("part") != F.col("largest")).select("bucket", F.col("block").alias("x")).distinct()
+    meet = meet.join(own.select("bucket", F.col("block").alias("y")).distinct(), "bucket")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for bucket, left, right in zip(*batch.columns):
                 a, b = _Members(left.values), _Members(right.values)
                 band = int(np.flatnonzero(b.bands[0] == bucket.as_py())[0])
-                out = []
-                for i, node in enumerate(a.nodes):
+                found = set()
+                for i, part in enumerate(a.parts):
                     agree = ((b.sketch == a.sketch[i]).mean(1) * 256 - 1) / 255
-                    first = (b.bands == a.bands[i]).argmax(1) == band
-                    for j in np.flatnonzero((agree >= near) & first):
-                        if a.parts[i] != b.parts[j] and probability_jaccard(a.set(i), b.set(j)) >= similarity - SLACK:
-                            out.append((max(node, b.nodes[j]), min(node, b.nodes[j])))
-                if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) for x in zip(*out)], ["a", "b"])
-
-    # wide rows go from the join straight into Python, a few at a time
-    return many.join(few, "bucket").select("bucket", "few", "many").mapInArrow(run, "a binary, b binary").distinct()
+                    at = np.flatnonzero(agree >= near)
+                    at = at[(b.bands[at] == a.bands[i]).argmax(1) == band]
+                    for j in at:
+                        link = (max(part, b.parts[j]), min(part, b.parts[j]))
+                        if part != b.parts[j] and link not in found and probability_jaccard(a.set(i), b.set(j)) >= similarity - SLACK:
+                            found.add(link)
+                if found:
+                    yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) for x in zip(*found)], ["ca", "cb"])
+
+    # wide rows go from the last join straight into Python, a few at a time
+    pairs = meet.join(few, ["bucket", "x"]).join(many, ["bucket", "y"])
+    return pairs.select("bucket", "few", "many").mapInArrow(run, "ca binary, cb binary")
 
 
 class _Members:
