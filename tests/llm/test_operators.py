@@ -466,18 +466,42 @@ def test_contamination_against_brute_force(spark, group_chars):
     rng = random.Random(9)
     make = lambda n: " ".join(rng.choices(["aa", "B", "cé", "d9"], k=n))
     items = [(i, make(n)) for i, n in enumerate((1, 2, 3, 12, 13, 14, 20, 30, 30))] + [(9, None), (10, "..."), (11, "aa B, aa-cé")]
-    items.append((12, items[7][1]))
+    items += [(12, items[7][1]), (12, items[4][1]), (5, None)]
     texts = [make(rng.randrange(60)) for _ in range(30)] + [None, "", f"x {items[6][1].upper()}, y", f"{items[7][1]} {items[8][1]}"]
     items = [x for x in items if x[0] not in (0, 1)] + [(13, "zz"), (14, "aa zz")]
     docs = documents(spark, texts).withColumn("n_hit", F.lit("clash"))
-    got = {r.doc_id: r for r in decontaminate.find_contamination(docs, spark.createDataFrame(items, "item_id long, text string"), group_chars=group_chars).collect()}
+    items = [(f"{i},{i}" if i % 2 else str(i), t) for i, t in items] + [(None, texts[0])]  # ids with commas
+    got = {r.doc_id: r for r in decontaminate.find_contamination(docs, spark.createDataFrame(items, "item_id string, text string"), group_chars=group_chars).collect()}
+    items.pop()
     for i, t in enumerate(texts):
         assert tuple(got[i][c] for c in ("n_words", "n_hit", "n_items", "items_sha256", "contaminated")) == brute_hits(t, items)
     none = spark.createDataFrame([], "item_id long, text string")
+    assert decontaminate.find_contamination(odd_documents(spark), none).count() == 11
     assert decontaminate.find_contamination(docs, none).filter("contaminated OR n_hit > 0").count() == 0
     assert decontaminate.find_contamination(docs.limit(0), none).count() == 0
 
 
+def test_search_skips_and_compares():
+    """Long items among frequent words, against all windows."""
+    rng = random.Random(10)
+    make = lambda n: " ".join(rng.choices(["of", "the", "a", "x", "y9"], k=n))
+    items = [(str(i), make(40)) for i in range(30)] + [("again", "of the " * 40), ("again", make(13))]
+    texts = [make(300) for _ in range(20)] + [f"{make(20)} {t[4:60]} {make(20)}" for _, t in items]
+    found = decontaminate.Searches(items).search([t.encode() for t in texts])
+    for text, (n, hit, own) in zip(texts, found):
+        want = brute_hits(text, items)
+        assert (n, int(hit.sum()), len(own)) == want[:3] and hashlib.sha256(",".join(sorted(own)).encode()).hexdigest() == want[3]
+
+
+def test_search_tables_are_small():
+    """Memory of the tables per character of a benchmark of different words, measured."""
+    rng = random.Random(11)
+    items = [(str(i), " ".join("".join(rng.choices("abcdefghij", k=5)) for _ in range(200))) for i in range(500)]
+    s = decontaminate.Searches(items)
+    arrays = sum(a.nbytes for t in s.tables for a in (t.suffix, t.whole, t.at, t.items, t.keys, t.shift)) + s.tables[0].ids.nbytes
+    assert arrays / sum(len(t) for _, t in items) < 12
+
+
 # 10 -----------------------------------------------------------------------------------------------
 
 
