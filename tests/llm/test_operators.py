@@ -223,6 +223,35 @@ def test_edited_counts_match_full_encoding(texts):
             assert tree.tokens == len(full.encode(text, add_special_tokens=False).ids)
 
 
+def test_kept_trees_through_rounds_of_edits(spark, texts):
+    """Trees are stored after each round; what an edit doesn't touch isn't read."""
+    rng, file, full = random.Random(6), public_tokenizers.path("byte_bpe_50k.tiktoken"), tokenizer(special_as_text=True)
+    now = {i: t[:4000] for i, t in enumerate(texts[:20])} | {20: "", 21: "\n\nab \n\n" * 40, 22: "x" * 5000 + " y"}
+    trees = token_counts.common.stored(token_counts.build_trees(documents(spark, list(now.values())).withColumn("cuts", F.lit(1)), file), "trees")
+    for _ in range(3):
+        rows = []
+        for i in rng.sample(sorted(now), 8):
+            for seq in range(rng.randrange(1, 5)):
+                at, gone, new = rng.randrange(len(now[i]) + 2), rng.choice((0, 2, 30, 700)), rng.choice(["", "q", "  ", "\n", "é'll 12", "new words " * 600])
+                rows.append((i, seq, at, gone, new))
+                at = min(at, len(now[i]))
+                now[i] = now[i][:at] + new + now[i][at + gone :]
+        rng.shuffle(rows)
+        edits = spark.createDataFrame([*rows, (None, 0, 0, 0, "x"), (99, 0, 0, 0, "x")], "doc_id long, seq int, pos int, deleted int, inserted string")
+        trees = token_counts.common.stored(token_counts.apply_edits(trees, edits, file), "trees")
+        got = {r.doc_id: r for r in trees.collect()}
+        assert len(got) == len(now)
+        for i, text in now.items():
+            assert "".join(got[i].leaves) == text and got[i].n_tokens == len(full.encode(text, add_special_tokens=False).ids) == sum(got[i].tokens)
+            assert got[i].n_edits == sum(r[0] == i for r in rows) and (got[i].n_edits or not got[i].n_reencoded)
+    tree = token_counts.Tree("many words in a text " * 2000, token_counts.Counter(file))
+    chars, tokens, leaves, cuts = tree.row()
+    kept = token_counts.Tree.kept(chars, tokens, list(zip(pa.array(leaves), pa.array(cuts))), tree.counter)
+    for at in (0, 20_000, 20_010, 41_000):
+        kept.replace(at, 3, "edited")
+    assert sum(x is not None for x in kept.leaves) <= 8 and kept.encoded < 60
+
+
 def test_edited_counts_of_odd_rows(spark):
     d = odd_documents(spark).withColumn("edits", F.when(F.col("doc_id") != 3, token_counts.derived_edits()))
     got = token_counts.count_edits(d, public_tokenizers.path("byte_bpe_50k.tiktoken")).collect()
