@@ -177,12 +177,14 @@ def fit(x: np.ndarray, y: np.ndarray, rounds: int = 200, rate: float = 0.1, bins
 
 def fit_on(features: DataFrame, labels: DataFrame, label: str, train: Column, max_train_rows: int) -> Model:
     """Fit on the labelled rows where ``train`` holds; of more than ``max_train_rows``, those whose
-    hash of doc_id falls in the share that makes as many."""
-    rows = features.join(labels.filter(F.col(label).isNotNull()).select("doc_id", F.col(label).alias("y")), "doc_id").filter(train)
-    n = rows.count()
+    hash of doc_id falls in the share that makes as many.  A doc_id with several labels, or several
+    texts, gives a row for each; null labels and null doc_ids give none."""
+    known = labels.filter(F.col(label).isNotNull()).select("doc_id", F.col(label).alias("y")).filter(train)
+    n = known.count()
     if n > max_train_rows:
         share = int(max_train_rows / n * 1_000_000)
-        rows = rows.filter(F.pmod(F.xxhash64("doc_id", F.lit(8)), F.lit(1_000_000)) < share)
+        known = known.filter(F.pmod(F.xxhash64("doc_id", F.lit(8)), F.lit(1_000_000)) < share)
+    rows = features.join(known, "doc_id")
     got = rows.select("doc_id", "f", "y").toArrow().sort_by("doc_id")
     x = np.array(got.column("f").to_pylist(), np.float64).reshape(-1, len(FEATURES))
     return fit(x, np.array(got.column("y").to_pylist(), np.float64))

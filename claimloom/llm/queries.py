@@ -48,7 +48,8 @@ DAYS = 360
 
 def captures_of(pages: DataFrame) -> DataFrame:
     """A fetch time for each page, from its id."""
-    second = F.pmod(F.col("page_id") * 7919, F.lit(DAYS * 86_400))
+    span = F.lit(DAYS * 86_400)
+    second = F.pmod(F.pmod(F.col("page_id"), span) * 7919, span)
     return pages.select("page_id", "url", F.timestamp_seconds(F.lit(1_704_067_200) + second).alias("fetched_at"))
 
 

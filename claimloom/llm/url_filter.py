@@ -55,7 +55,8 @@ def filter_urls(captures: DataFrame, entries: DataFrame, period: int = PERIOD, h
     (page_id, url, fetched_at), with the entry that decides, if any; kept unless its action is block.
 
     No entry decides on a null or hostless URL or a null time.  Entries of one pattern never overlap;
-    of several patterns the most specific decides.  ``horizon`` ends open intervals for the cut into
+    of several patterns the most specific decides.  Repeated rows are each returned, with the same
+    result.  Other columns of ``captures`` are left out; join them by page_id and fetched_at.  ``horizon`` ends open intervals for the cut into
     periods; by default the last fetch time.
     """
     iv = intervals(entries)

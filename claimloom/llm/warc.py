@@ -26,6 +26,8 @@ REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-dig
 CRLF = b"\r\n"
 
 CHUNK = 1 << 16
+#: Bytes after which a task closes an archive and begins the next, so that a reader's work is bounded.
+ARCHIVE_BYTES = 1 << 30
 MANIFEST = "path string, records long, bytes long"
 RECORDS = (
     "path string, offset long, record_id string, record_type string, target_uri string, refers_to_id string,"
@@ -172,29 +174,27 @@ def with_revisits(pages: DataFrame, min_payload_bytes: int = 0) -> DataFrame:
 
 
 def write_archives(records: DataFrame, path: str) -> DataFrame:
-    """Write ``records`` (page_id, url, html, refers_to) as gzipped WARC files under ``path``, one per
-    task, and return the manifest (path, records, bytes).  An empty partition writes none."""
+    """Write ``records`` (page_id, url, html, refers_to) as gzipped WARC files under ``path``, one per task
+    and ``ARCHIVE_BYTES``, and return the manifest (path, records, bytes).  An empty partition writes none."""
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        name = f"{path}/part-{TaskContext.get().partitionId():06d}.warc.gz"
-        first = next((b for b in batches if b.num_rows), None)
-        if first is None:
-            return
-        count = 0
+        rows = (tuple(x.as_py() for x in row) for b in batches for row in zip(*(b.column(i) for i in range(4))))
+        row, count, number = next(rows, None), 0, 0
 
         def put(out) -> None:
-            nonlocal count
-            batch = first
-            while batch is not None:
-                for page_id, url, html, refers_to in zip(*(batch.column(i) for i in range(4))):
-                    key, ref = page_id.as_py(), refers_to.as_py()
-                    body = (html.as_py() or "").encode("utf-8")
-                    out.write(gzip_member(record_bytes("" if key is None else str(key), url.as_py(), body, None if ref is None else str(ref))))
-                    count += 1
-                batch = next(batches, None)
-
-        size = common.publish(name, put)
-        yield pa.RecordBatch.from_pydict({"path": [name], "records": [count], "bytes": [size]})
+            nonlocal row, count
+            count = 0
+            while row is not None and out.tell() < ARCHIVE_BYTES:
+                key, url, html, ref = row
+                out.write(gzip_member(record_bytes("" if key is None else str(key), url, (html or "").encode("utf-8"), None if ref is None else str(ref))))
+                count += 1
+                row = next(rows, None)
+
+        while row is not None:
+            name = f"{path}/part-{TaskContext.get().partitionId():06d}-{number:04d}.warc.gz"
+            size = common.publish(name, put)
+            number += 1
+            yield pa.RecordBatch.from_pydict({"path": [name], "records": [count], "bytes": [size]})
 
     spark = records.sparkSession
     common.bounded_batches(spark)
@@ -235,7 +235,11 @@ def read_archives(spark: SparkSession, manifest: DataFrame, payloads: bool = Tru
 
 def archive_pages(pages: DataFrame, min_payload_bytes: int = 0) -> DataFrame:
     """Write ``pages`` to archives, read them back, and return a row per record: page_id,
-    payload_bytes, payload_digest, record_type, refers_to, target_uri, path, offset."""
+    payload_bytes, payload_digest, record_type, refers_to, target_uri, path, offset.
+
+    Repeated rows are records of their own.  A page_id that is null or, as a string, empty reads back
+    as null.  Other columns of ``pages`` than page_id, url and html aren't archived.
+    """
     spark = pages.sparkSession
     manifest = write_archives(with_revisits(pages, min_payload_bytes), common.shared_dir(spark, "warc"))
     back = read_archives(spark, manifest, payloads=False)

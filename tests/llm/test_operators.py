@@ -69,6 +69,15 @@ def test_warc_round_trip(spark):
     assert warc.archive_pages(pages(spark, [])).count() == 0
 
 
+def test_warc_archives_are_bounded(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(warc, "ARCHIVE_BYTES", 2000)
+    records = pages(spark, [(i, "u", f"page {i}") for i in range(40)]).coalesce(1).withColumn("refers_to", F.lit(None).cast("long"))
+    manifest = warc.write_archives(records, f"file://{tmp_path}/warc")
+    assert manifest.count() > 5 and manifest.agg(F.max("bytes")).first()[0] < 3000
+    back = warc.read_archives(spark, manifest).collect()
+    assert sorted((int(r.record_id), r.payload.decode()) for r in back) == [(i, f"page {i}") for i in range(40)]
+
+
 def test_warc_small_payloads_stay_responses(spark):
     got = warc.archive_pages(pages(spark, [(1, "u", "ab"), (2, "u", "ab")]), min_payload_bytes=3).collect()
     assert [r.record_type for r in got] == ["response"] * 2
