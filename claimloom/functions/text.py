@@ -13,6 +13,7 @@ TOPIC_PATTERNS = {
         r"(\d+)\s+(?:people\s+)?(?:were\s+)?killed",
         r"(?:death\s+toll|fatalities)(?:\s+(?:rises?|jumps?)\s+to\s+)?[:\s]*(\d+)",
         r"claimed?\s+(?:at\s+least\s+)?(\d+)\s+lives",
+        r"(?:at\s+least\s+)?(\d+)\s+(?:people\s+)?(?:have\s+been\s+)?(?:confirmed\s+)?dead",
     ),
     "missing_count": (r"(\d+)\s+(?:people\s+)?(?:are\s+)?missing", r"(\d+)\s+unaccounted\s+for"),
     "injured_count": (r"(\d+)\s+(?:people\s+)?(?:were\s+)?injured", r"(\d+)\s+(?:people\s+)?(?:have\s+been\s+)?wounded"),
@@ -188,21 +189,71 @@ def urls_in(text: Column) -> Column:
     return F.transform(F.regexp_extract_all(text, F.lit(r"(https?://[^\s<>\"]+)"), 1), lambda u: F.regexp_replace(u, r"[.,;:!?)]+$", ""))
 
 
+# Where a page says when it was published, in order; then fields of JSON-LD, in order.
+PUBLISHED_PATTERNS = (
+    r"""<meta[^>]+property=["']article:published_time["'][^>]+content=["']([^"']+)["']""",
+    r"""<meta[^>]+content=["']([^"']+)["'][^>]+property=["']article:published_time["']""",
+    r"""<meta[^>]+name=["']datePublished["'][^>]+content=["']([^"']+)["']""",
+    r"""<meta[^>]+content=["']([^"']+)["'][^>]+name=["']datePublished["']""",
+    r"""<meta[^>]+itemprop=["']datePublished["'][^>]+content=["']([^"']+)["']""",
+    r"""<meta[^>]+name=["']dcterms\.created["'][^>]+content=["']([^"']+)["']""",
+    r"""<meta[^>]+content=["']([^"']+)["'][^>]+name=["']dcterms\.created["']""",
+    r"""<meta[^>]+name=["']dc\.date["'][^>]+content=["']([^"']+)["']""",
+    r"""<meta[^>]+content=["']([^"']+)["'][^>]+name=["']dc\.date["']""",
+    r"""<time[^>]+datetime=["']([^"']+)["']""",
+)
+PUBLISHED_FIELDS = ("datePublished", "publishDate", "dateCreated", "uploadDate")
+# Kinds of JSON-LD items that name a site.
+SITE_TYPES = ("NewsMediaOrganization", "Organization", "WebSite")
+LD_PATTERN = r"""(?is)<script[^>]+type=["']application/ld\+json["'][^>]*>(.*?)</script>"""
+#: Forms of dates that are read besides ISO 8601, after a weekday or not.
+DATE_FORMS = ("d MMM yyyy HH:mm:ss Z", "MMMM d, yyyy", "MMM d, yyyy", "d MMMM yyyy", "d MMM yyyy", "MM/dd/yyyy")
+
+
+def read_time(text: Column) -> Column:
+    """A timestamp from a date as pages write it, or null."""
+    day = F.regexp_replace(text, r"^\s*[A-Za-z]+,\s*", "")
+    return F.coalesce(F.try_to_timestamp(text), *[F.try_to_timestamp(day, F.lit(f)) for f in DATE_FORMS])
+
+
+def _ld_items(html: Column) -> Column:
+    """The JSON-LD scripts of a page; of one that is an array, its first item."""
+    scripts = F.regexp_extract_all(html, F.lit(LD_PATTERN), 1)
+    return F.transform(scripts, lambda x: F.coalesce(F.get_json_object(x, "$[0]"), x))
+
+
 def published(html: Column) -> Column:
-    """#161. Publication time from meta tags, time tags and JSON-LD, the first that gives one."""
-    meta = [rf'<meta[^>]+(?:property|name|itemprop)="{k}"[^>]+content="([^"]+)"' for k in ("article:published_time", "og:published_time", "publishdate", "date", "pubdate", "datePublished", "DC.date.issued", "publish_date")]
-    time = [r'<time[^>]+datetime="([^"]+)"']
-    ld = F.regexp_extract(html, r'(?s)<script[^>]+application/ld\+json[^>]*>(.*?)</script>', 1)
-    found = [F.nullif(F.regexp_extract(html, "(?i)" + p, 1), F.lit("")) for p in meta + time]
-    found += [F.get_json_object(ld, p) for p in ("$.datePublished", "$.dateCreated", "$.@graph[0].datePublished")]
-    return F.coalesce(*[F.try_to_timestamp(x) for x in found])
+    """#161. Publication time: the first of the meta and time tags that gives one, then of the JSON-LD
+    scripts, where the first item of a graph stands for the script."""
+    tags = [read_time(F.nullif(F.regexp_extract(html, "(?i)" + p, 1), F.lit(""))) for p in PUBLISHED_PATTERNS]
+    items = F.transform(_ld_items(html), lambda x: F.coalesce(F.get_json_object(x, "$.@graph[0]"), x))
+    times = F.transform(items, lambda x: F.coalesce(*[read_time(F.get_json_object(x, f"$.{k}")) for k in PUBLISHED_FIELDS]))
+    return F.coalesce(*tags, F.get(F.array_compact(times), F.lit(0)))
 
 
 def site_name(html: Column) -> Column:
-    """#162. Site name: og:site_name, application-name, JSON-LD publisher."""
-    ld = F.regexp_extract(html, r'(?s)<script[^>]+application/ld\+json[^>]*>(.*?)</script>', 1)
-    tags = [F.nullif(F.regexp_extract(html, rf'(?i)<meta[^>]+(?:property|name)="{k}"[^>]+content="([^"]+)"', 1), F.lit("")) for k in ("og:site_name", "application-name")]
-    return F.coalesce(*tags, F.get_json_object(ld, "$.publisher.name"))
+    """#162. Site name: og:site_name, application-name, then of each JSON-LD script the first named item of
+    ``SITE_TYPES`` in its graph, or else its publisher."""
+
+    def tag(attribute: str, key: str) -> Column:
+        a, c = rf"""{attribute}=["']{key}["']""", r"""content=["']([^"']+)["']"""
+        return F.coalesce(*[F.nullif(F.trim(F.regexp_extract(html, f"(?i)<meta[^>]+{x}", 1)), F.lit("")) for x in (f"{a}[^>]+{c}", f"{c}[^>]+{a}")])
+
+    def of_script(x: Column) -> Column:
+        graph = F.from_json(F.get_json_object(x, "$.@graph"), "array<struct<`@type`:string,name:string>>")
+        named = F.filter(graph, lambda i: i["@type"].isin(*SITE_TYPES) & (i["name"] != ""))
+        return F.coalesce(F.get(named, F.lit(0))["name"], F.nullif(F.get_json_object(x, "$.publisher.name"), F.lit("")))
+
+    return F.coalesce(tag("property", "og:site_name"), tag("name", "application-name"), F.get(F.array_compact(F.transform(_ld_items(html), of_script)), F.lit(0)))
+
+
+def is_update_of(newer: Column, older: Column) -> Column:
+    """#62. Whether one claim updates another, as structs (topic, value, reported_time, event_time): the same
+    topic and another value, not reported earlier, and of reports of one time not about an earlier
+    event.  Unknown times forbid nothing; an unknown topic or value is no update."""
+    same = newer["reported_time"] == older["reported_time"]
+    early = (newer["reported_time"] < older["reported_time"]) | (same & (newer["event_time"] < older["event_time"]))
+    return F.coalesce((newer["topic"] == older["topic"]) & (newer["value"] != older["value"]), F.lit(False)) & ~F.coalesce(early, F.lit(False))
 
 
 def filled_share(*columns: Column) -> Column:
@@ -325,8 +376,8 @@ ATTRIBUTES = {
 UPDATE_PHRASES = (
     "rises to", "risen to", "increased to", "now", "updated", "latest", "climbed to", "reached", "has grown", "hits", "surpasses",
 )
-# Places by attribute, as patterns.
-PLACES = {"location": r"(wang\s+fuk\s+court|tai\s+po(?:\s+district)?)", "region": r"(hong\s+kong)"}
+# Places by attribute, as patterns; of those that match the last one holds.
+PLACES = {"location": (r"(wang\s+fuk\s+court)", r"(tai\s+po(?:\s+district)?)"), "region": (r"(hong\s+kong)",)}
 
 # Credibility of domains.
 CREDIBILITY = {
@@ -341,17 +392,24 @@ def domain_credibility(url: Column, table: dict[str, float] | None = None, defau
     return F.coalesce(*[F.when(low.contains(d), F.lit(c)) for d, c in (table or CREDIBILITY).items()], F.lit(default))
 
 
-def relate_by_structure(a: Column, b: Column, places: dict[str, str] | None = None) -> Column:
+def relate_by_structure(a: Column, b: Column, places: dict[str, tuple[str, ...]] | None = None) -> Column:
     """#67. Relation of two texts by shared attributes: INDEPENDENT without one; CORROBORATES if all agree;
     CONTRADICTS if a place differs (numbers that differ always have a higher one); else UPDATES."""
     parts = [(first_number(a, p), first_number(b, p), "UPDATES") for p in ATTRIBUTES.values()]
     for p in (PLACES if places is None else places).values():
-        got = lambda t: F.nullif(F.regexp_extract(F.lower(t), p, 1), F.lit(""))  # noqa: B023, E731
+        got = lambda t: F.coalesce(*[F.nullif(F.regexp_extract(F.lower(t), x, 1), F.lit("")) for x in reversed(p)])  # noqa: B023, E731
         parts.append((got(a), got(b), "CONTRADICTS"))
     found = F.array_compact(F.array(*[F.when(x.isNotNull() & y.isNotNull(), F.when(x == y, "CORROBORATES").otherwise(kind)) for x, y, kind in parts]))
     return F.when(F.size(found) == 0, "INDEPENDENT").when(F.array_contains(found, "CONTRADICTS"), "CONTRADICTS").when(F.array_contains(found, "UPDATES"), "UPDATES").otherwise("CORROBORATES")
 
 
+def newer_by_structure(a: Column, b: Column) -> Column:
+    """#67. Which of two texts, "a" or "b", updates the other by the first number that they share and differ
+    in: b if it speaks of an update or has the higher number, else a; null if no number differs."""
+    numbers = [(first_number(a, p), first_number(b, p)) for p in ATTRIBUTES.values()]
+    return F.coalesce(*[F.when(x != y, F.when(is_update_language(b) | (y > x), "b").otherwise("a")) for x, y in numbers])
+
+
 def is_update_language(text: Column) -> Column:
     """#67. Whether a text has a phrase of an update."""
     return any_of(F.lower(text), UPDATE_PHRASES)

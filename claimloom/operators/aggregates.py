@@ -133,11 +133,13 @@ def distribution(df: DataFrame, column: str, high: float) -> DataFrame:
 
 
 def update_chains(claims: DataFrame) -> DataFrame:
-    """#63, #64. Per event and topic: claims in the order of their report, and the current value."""
+    """#63, #64. Per event and topic: claims in the order of their report, and the current value: that of
+    the last claim that none supersedes (``is_superseded``, if there is such a column), else of the last."""
     at = F.coalesce("reported_time", "event_time")
+    gone = F.coalesce("is_superseded", F.lit(False)) if "is_superseded" in claims.columns else F.lit(False)
     return claims.groupBy("event_id", "topic_key").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(at.alias("at"), "claim_id", "value"))), lambda x: x["value"].cast("string")), ">").alias("chain"),
-        F.max_by("value", F.struct(at, "claim_id")).alias("current"),
+        F.max_by("value", F.struct(~gone, at, "claim_id")).alias("current"),
         F.count("*").alias("length"),
     )
 

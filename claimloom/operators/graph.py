@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -14,9 +15,12 @@ _OWN_FOLDER: list[str] = []
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder of ``spark.checkpoint.dir``, which driver and executors share; where that is unset, as in
-    tests, a temporary one of this process."""
+    tests, a temporary one of this process.  Raises if it is unset and executors run elsewhere."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        master = spark.conf.get("spark.master", "")
+        if not re.fullmatch(r"local(\[.*\])?", master):
+            raise ValueError(f"set spark.checkpoint.dir to a folder that all executors share (master {master})")
         if not _OWN_FOLDER:
             _OWN_FOLDER.append("file://" + tempfile.mkdtemp(prefix="claimloom-"))
         base = _OWN_FOLDER[0]

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from claimloom.functions import text as T
+
 DEFAULT_CONFIDENCE, DEFAULT_MODALITY = 0.8, "observation"
 
 
@@ -184,13 +186,10 @@ def not_yet_seen(incoming: DataFrame, known: DataFrame, key: str) -> DataFrame:
 def newer_on_topic(claims: DataFrame) -> DataFrame:
     """#37. Pairs (newer, older) of an event's claims on one topic with another value, reported later (or
     at the same time of an event not earlier)."""
-    c = claims.select("event_id", "topic_key", "claim_id", "value", "reported_time", "event_time")
-    n = c.select("event_id", "topic_key", *[F.col(x).alias(f"n_{x}") for x in ("claim_id", "value", "reported_time", "event_time")])
-    o = c.select("event_id", "topic_key", *[F.col(x).alias(f"o_{x}") for x in ("claim_id", "value", "reported_time", "event_time")])
-    same = (F.col("n_reported_time") == F.col("o_reported_time")) & (F.col("n_event_time") >= F.col("o_event_time"))
-    later = (F.col("n_reported_time") > F.col("o_reported_time")) | same
-    met = n.join(o, ["event_id", "topic_key"]).filter(later & (F.col("n_value") != F.col("o_value")))
-    return met.select(F.col("n_claim_id").alias("newer"), F.col("o_claim_id").alias("older"), "event_id", "topic_key")
+    c = claims.filter("reported_time IS NOT NULL")
+    side = lambda name: c.select("event_id", "topic_key", F.col("claim_id").alias(name), F.struct(F.col("topic_key").alias("topic"), "value", "reported_time", "event_time").alias(f"_{name}"))
+    met = side("newer").join(side("older"), ["event_id", "topic_key"]).filter(T.is_update_of(F.col("_newer"), F.col("_older")))
+    return met.select("newer", "older", "event_id", "topic_key")
 
 
 def within_days(claims: DataFrame, events: DataFrame, low: int, high: int, anchor: str) -> DataFrame:

@@ -86,8 +86,11 @@ def posteriors(claims: DataFrame, pairs: DataFrame) -> DataFrame:
 
 def superseded(scores: DataFrame, links: DataFrame) -> DataFrame:
     """#81. Plausibility after updates: a claim that a plausible (> .5) newer one replaces has at most .45;
-    the newer gets a tenth more, at most .95, once for each that it replaces.  ``links`` (older, newer)
-    are judged on the plausibilities before any change."""
+    the newer gets a tenth more, at most .95, once for each that it replaces.
+
+    This is the result of going through the ``links`` (older, newer) one by one in chain order: a claim is
+    judged as the newer one before it is replaced itself, and a rise never takes it to or from .5; so
+    what counts are the plausibilities before any change."""
     p = scores.select("claim_id", "plausibility")
     ok = links.join(p.withColumnRenamed("claim_id", "newer"), "newer").filter("plausibility > 0.5").select("older", "newer")
     old = ok.select(F.col("older").alias("claim_id"), F.lit(True).alias("_old")).distinct()

@@ -127,6 +127,19 @@ def _(s, d):
     return A.update_chains(X.kg_claims(s, d))
 
 
+GONE = "SELECT src AS claim_id FROM kg_claim_edges WHERE rel = 'UPDATES' UNION SELECT dst FROM kg_claim_edges WHERE rel = 'CONTRADICTS'"
+
+
+@q("q064_current_values", """SELECT event_id, topic_key, COALESCE(arg_max(value, (reported_time, claim_id)) FILTER (WHERE NOT gone), arg_max(value, (reported_time, claim_id))) AS current, count(*) FILTER (WHERE gone) AS superseded
+FROM (SELECT *, claim_id IN (SELECT claim_id FROM kg_gone) AS gone FROM kg_claims) GROUP BY ALL""", kg_gone=GONE)
+def _(s, d):
+    e = X.kg_claim_edges(s, d)
+    gone = e.filter("rel = 'UPDATES'").select(F.col("src").alias("claim_id")).union(e.filter("rel = 'CONTRADICTS'").select("dst")).distinct().withColumn("is_superseded", F.lit(True))
+    c = X.kg_claims(s, d).join(gone, "claim_id", "left")
+    n = c.groupBy("event_id", "topic_key").agg(F.count("is_superseded").alias("superseded"))
+    return A.update_chains(c).select("event_id", "topic_key", "current").join(n, ["event_id", "topic_key"])
+
+
 @q("q065_differing_topics", "SELECT claim_id FROM kg_claims c WHERE EXISTS (SELECT 1 FROM kg_claims o WHERE o.event_id = c.event_id AND o.topic_key = c.topic_key AND o.value <> c.value)")
 def _(s, d):
     return A.differing_topics(X.kg_claims(s, d)).select("claim_id")

@@ -37,6 +37,10 @@ CTES: dict[str, str] = {
 }
 
 
+#: Expressions that are computed once, since several others name them.
+COSTLY = ("kg_claims", "kg_claim_edges", "kg_pairs", "kg_prior", "kg_post")
+
+
 def with_tables(body: str, **more: str) -> str:
     """``body`` after the expressions that it names, directly or through others; ``more`` adds its own."""
     tables = CTES | more
@@ -52,4 +56,4 @@ def with_tables(body: str, **more: str) -> str:
     visit(body)
     if not need:
         return body
-    return "WITH " + ",\n".join(f"{n} AS ({tables[n]})" for n in need) + "\n" + body
+    return "WITH " + ",\n".join(f"{n} AS {'MATERIALIZED ' if n in COSTLY else ''}({tables[n]})" for n in need) + "\n" + body

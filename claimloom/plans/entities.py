@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from claimloom.functions import text as T
 from claimloom.operators import entities as N
 from claimloom.operators import scoring as S
+from claimloom.operators.graph import shared_folder
 from claimloom.plans.ctes import with_tables
 from claimloom.plans.registry import query
 from claimloom.sources import fixtures as X
@@ -68,6 +71,15 @@ def _(s, d):
     return N.fuzzy_matches(_mentioned(s, d), X.kg_entities(s, d), 85.0)
 
 
+@q("q003_saved_snapshot", "SELECT c.claim_id, c.page_id, c.event_id, COALESCE(o.n, 0) AS n_out FROM kg_claims c LEFT JOIN (SELECT src, count(*) AS n FROM kg_claim_edges GROUP BY ALL) o ON c.claim_id = o.src")
+def _(s, d):
+    path = f"{shared_folder(s)}/snapshot-{uuid.uuid4().hex}"
+    IO.save_snapshot(IO.build_snapshot(X.kg_claims(s, d), X.kg_mentions(s, d), X.kg_claim_edges(s, d)), path)
+    claims, edges = IO.load_snapshot(s, path)
+    n = edges.groupBy(F.col("src").alias("claim_id")).agg(F.count("*").alias("n_out"))
+    return claims.select("claim_id", "page_id", "event_id").join(n, "claim_id", "left").withColumn("n_out", F.coalesce("n_out", F.lit(0)))
+
+
 @q("q149_identified", None)
 def _(s, d):
     e = X.kg_entities(s, d)
@@ -117,10 +129,26 @@ def _(s, d):
     return N.proper_names(X.read(s, d, "documents").select(F.col("doc_id").alias("id"), "text"), "text")
 
 
-@q("q155_authors", None)
+# bylines around a name made of a part's, by kind; the SQL says who is in each
+BYLINES = (
+    "By {} and Ann Poe, Reuters", "{} and Ann", "display: flex {}", "{} covers trade in Bonn", "{} (Berlin); ann@x.org Ann Poe / ANN POE",
+    "Written by {} | Staff Writer", "the {}, Jr", "More {} of The Old House Press Club",
+)
+BYLINE_SQL = """SELECT id, a.author, a.is_organisation, a.confidence FROM (SELECT p_partkey AS id, unnest(CASE p_partkey % 8
+  WHEN 0 THEN [{'author': n, 'is_organisation': FALSE, 'confidence': 0.95::DOUBLE}, {'author': 'Ann Poe', 'is_organisation': FALSE, 'confidence': 0.95::DOUBLE}, {'author': 'Reuters', 'is_organisation': TRUE, 'confidence': 0.9::DOUBLE}]
+  WHEN 1 THEN [{'author': n || ' and Ann', 'is_organisation': FALSE, 'confidence': 0.8::DOUBLE}]
+  WHEN 3 THEN [{'author': n, 'is_organisation': FALSE, 'confidence': 0.95::DOUBLE}]
+  WHEN 4 THEN [{'author': n, 'is_organisation': FALSE, 'confidence': 0.95::DOUBLE}, {'author': 'Ann Poe', 'is_organisation': FALSE, 'confidence': 0.95::DOUBLE}]
+  WHEN 5 THEN [{'author': n, 'is_organisation': FALSE, 'confidence': 0.95::DOUBLE}, {'author': 'Staff Writer', 'is_organisation': TRUE, 'confidence': 0.9::DOUBLE}]
+  END) AS a FROM (SELECT p_partkey, upper(p_name[1]) || split_part(p_name, ' ', 1)[2:] || ' ' || upper(split_part(p_name, ' ', 2)[1]) || split_part(p_name, ' ', 2)[2:] AS n FROM part))"""
+
+
+@q("q155_authors", BYLINE_SQL)
 def _(s, d):
-    line = F.concat(F.lit("By "), "s_name", F.lit(" and Desk Press; staff, "), "s_name", F.lit(" | covers trade"))
-    return N.authors(X.read(s, d, "supplier").select(F.col("s_suppkey").alias("id"), line.alias("byline")))
+    name = F.initcap("p_name")
+    kind = F.pmod("p_partkey", F.lit(8))
+    line = F.coalesce(*[F.when(kind == i, F.concat(F.lit(x.split("{}")[0]), name, F.lit(x.split("{}")[1]))) for i, x in enumerate(BYLINES)])
+    return N.authors(X.read(s, d, "part").select(F.col("p_partkey").alias("id"), line.alias("byline")))
 
 
 @q("q156_valid_relations", "SELECT DISTINCT subject, predicate, object FROM kg_rel WHERE predicate IN ('PART_OF', 'LOCATED_IN') AND subject IN (SELECT entity_id FROM kg_entities) AND object IN (SELECT entity_id FROM kg_entities)", kg_rel=REL)

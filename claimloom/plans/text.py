@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from claimloom.functions import text as T
 from claimloom.functions import vectors as V
+from claimloom.operators import scoring as S
 from claimloom.plans.ctes import with_tables
 from claimloom.plans.registry import query
 from claimloom.sources import fixtures as X
@@ -234,3 +235,62 @@ def _(s, d):
 def _(s, d):
     a, b = F.col("ta"), F.col("tb")
     return _pairs(s, d).select("a", "b", T.lexical_relation(a, b, T.jaccard(T.words(a), T.words(b))).alias("relation"))
+
+
+# pages with a tag that says when they were published, by kind; what the SQL expects is that time
+TIME_TAGS = (
+    '<meta property="article:published_time" content="{}">', "<meta content='{}' name='datePublished'>", '<meta itemprop="datePublished" content="{}">',
+    '<meta name="DCTERMS.created" content="{}">', '<meta content="{}" name="dc.date">', '<time datetime="{}">',
+    '<script type="application/ld+json">[{{"datePublished": "{}"}}]</script>', '<script type="application/ld+json">{{"@graph": [{{"dateCreated": "{}"}}, 1]}}</script>',
+    '<meta name="dc.date" content="soon"><time datetime="{}">', '<meta name="pubdate" content="{}">',
+)
+SITE_TAGS = (
+    '<meta content="The {0}" property="og:site_name"><meta name="application-name" content="other">', "<meta name='application-name' content=' The {0} '>",
+    '<script type="application/ld+json">{{"publisher": {{"name": "The {0}"}}}}</script>',
+    '<script type="application/ld+json">[{{"@graph": [{{"@type": "Person", "name": "Ann"}}, {{"@type": "WebSite", "name": "The {0}"}}]}}]</script>', "<title>The {0}</title>",
+)
+
+
+def _tagged(s, d, tags, value):
+    kind = F.pmod("page_id", F.lit(len(tags)))
+    around = lambda t: [F.lit(x.replace("{{", "{").replace("}}", "}")) for x in t.replace("{0}", "\0").replace("{}", "\0").split("\0")]
+    tag = F.coalesce(*[F.when(kind == i, F.concat(around(t)[0], value, around(t)[1])) for i, t in enumerate(tags)])
+    return X.read(s, d, "pages").select("page_id", F.concat(tag, F.coalesce("html", F.lit(""))).alias("html"))
+
+
+@q("q161_published", "SELECT page_id, CASE WHEN page_id % 10 <> 9 THEN make_timestamp(CAST((1704103200 + page_id % 300 * 86400) * 1000000 AS BIGINT)) END AS published FROM pages")
+def _(s, d):
+    at = F.date_format(F.timestamp_seconds(F.lit(1_704_103_200) + F.pmod("page_id", F.lit(300)) * 86_400), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    return _tagged(s, d, TIME_TAGS, at).select("page_id", T.published(F.col("html")).alias("published"))
+
+
+@q("q162_site_names", "SELECT page_id, CASE WHEN page_id % 5 <> 4 THEN 'The Paper ' || page_id % 7 END AS site FROM pages")
+def _(s, d):
+    return _tagged(s, d, SITE_TAGS, F.concat(F.lit("Paper "), F.pmod("page_id", F.lit(7)).cast("string"))).select("page_id", T.site_name(F.col("html")).alias("site"))
+
+
+@q("q062_updates_of", """SELECT count(*) AS pairs, count(*) FILTER (WHERE a.topic = b.topic AND a.value <> b.value AND (a.reported_time > b.reported_time OR (a.reported_time = b.reported_time AND a.event_time >= b.event_time))) AS updates, a.event_id
+FROM kg_told a JOIN kg_told b ON a.event_id = b.event_id AND a.claim_id <> b.claim_id GROUP BY a.event_id""",
+   kg_told="SELECT event_id, claim_id, value, reported_time, event_time, CASE value % 4 WHEN 0 THEN 'casualty_count' WHEN 1 THEN 'injured_count' WHEN 2 THEN 'missing_count' ELSE 'alarm_level' END AS topic FROM kg_claims")
+def _(s, d):
+    topic = T.topic_of(F.col("text"))
+    c = X.kg_claims(s, d).select("event_id", "claim_id", F.struct(topic.alias("topic"), T.topic_value(F.col("text"), topic).alias("value"), "reported_time", "event_time").alias("a"))
+    j = c.join(c.select("event_id", F.col("claim_id").alias("other"), F.col("a").alias("b")), "event_id").filter("claim_id <> other")
+    return j.groupBy("event_id").agg(F.count("*").alias("pairs"), F.count(F.when(T.is_update_of(F.col("a"), F.col("b")), 1)).alias("updates"))
+
+
+@q("q097_citations", "SELECT event_id, len(list_distinct(list('cl_' || page_id))) AS cited FROM kg_claims GROUP BY ALL")
+def _(s, d):
+    story = F.array_join(F.collect_list(F.concat(F.lit("as told [cl_"), "page_id", F.lit("] and not [x_"), "page_id", F.lit("]"))), ". ")
+    return X.kg_claims(s, d).groupBy("event_id").agg(story.alias("story")).select("event_id", F.size(T.cited_claims(F.col("story"))).cast("long").alias("cited"))
+
+
+@q("q091_event_references", """SELECT claim_id, contains(lower(text), p_name) OR contains(lower(text), lower(p_brand)) OR (contains(text, 'the fire') AND (value % 3 = 1 OR abs(date_diff('day', reported_time, event_time)) <= 2)) AS refers
+FROM (SELECT claim_id, value, reported_time, event_time, text || CASE value % 5 WHEN 0 THEN ' after the fire' WHEN 1 THEN ' of brand#1' ELSE '' END AS text, CAST(substr(part_entity, 2) AS BIGINT) // 2 * 2 AS other FROM kg_claims) JOIN part ON p_partkey = other""")
+def _(s, d):
+    extra = F.when(F.pmod("value", F.lit(5)) == 0, " after the fire").when(F.pmod("value", F.lit(5)) == 1, " of brand#1").otherwise("")
+    c = X.kg_claims(s, d).select("claim_id", "value", "reported_time", "event_time", F.concat("text", extra).alias("text"), (F.floor(F.substring("part_entity", 2, 20).cast("long") / 2) * 2).alias("p_partkey"))
+    j = c.join(X.read(s, d, "part").select("p_partkey", "p_name", "p_brand"), "p_partkey")
+    days = F.abs(F.datediff("event_time", "reported_time"))
+    refers = S.references_event(F.col("text"), F.col("p_name"), F.col("p_brand"), (F.pmod("value", F.lit(3)) == 1).cast("int"), days)
+    return j.select("claim_id", refers.alias("refers"))

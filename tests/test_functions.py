@@ -287,11 +287,98 @@ def test_average_link_of_large_groups_is_that_of_small_ones(spark):
 
 
 def test_authors(spark):
-    rows = [(1, "By Jane Roe and John Doe, Reuters"), (2, "display: flex; width: 10px"), (3, None), (4, "Ann Poe covers trade in Bonn"), (5, "jane roe, Jane Roe")]
+    rows = [
+        (1, "By Jane Roe and John Doe, Reuters"), (2, "Jane Roe width: 1"), (3, None), (4, "Ann Poe covers trade in Bonn"), (5, "jane roe, Jane Roe"), (6, ""),
+        (7, "Ann and Bob"), (8, "Li Wei Chen; Mary-Ann O'Neil | A B | Prince"), (9, "Jane Roe, editor for news since 2020"), (10, "Joined Up, Ann Poe graduated 2020"),
+        (11, "More Jane Roe. (Bonn) x@y.de & STAFF"), (12, "Jane van der Roe, Jane X9, A Very Long Name Of Six Words"), (13, "Jane Roe, M.A. and Bob Poe"),
+    ]
     got = {}
     for r in N.authors(spark.createDataFrame(rows, "id long, byline string")).collect():
-        got.setdefault(r.id, []).append((r.author, r.is_organisation))
-    assert got == {1: [("Jane Roe", False), ("John Doe", False), ("Reuters", True)], 4: [("Ann Poe", False)], 5: [("jane roe", False)]}
+        got.setdefault(r.id, []).append((r.author, r.is_organisation, r.confidence))
+    assert got == {
+        1: [("Jane Roe", False, 0.95), ("John Doe", False, 0.95), ("Reuters", True, 0.9)], 4: [("Ann Poe", False, 0.95)],
+        7: [("Ann and Bob", False, 0.8)], 8: [("Li Wei Chen", False, 0.95), ("Mary-Ann O'Neil", False, 0.95), ("A B", False, 0.95)],
+        9: [("Jane Roe", False, 0.95)], 11: [("Jane Roe.", False, 0.95), ("STAFF", True, 0.9)], 12: [("Jane van der Roe", False, 0.8)], 13: [("Jane Roe", False, 0.95)],
+    }
+
+
+def brute_lcs(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        new = [0]
+        for j, y in enumerate(b):
+            new.append(row[j] + 1 if x == y else max(row[j + 1], new[j]))
+        row = new
+    return row[-1]
+
+
+def test_name_ratios_against_brute_force():
+    rng = random.Random(3)
+    for _ in range(300):
+        a, b = ("".join(rng.choices("abc ", k=rng.randrange(1, 12))).strip() for _ in "ab")
+        a, b = " ".join(a.split()), " ".join(b.split())
+        x, y = " ".join(sorted(a.split())), " ".join(sorted(b.split()))
+        want = 100.0 if not x and not y else 200 * brute_lcs(x, y) / (len(x) + len(y))
+        assert abs(N.name_ratio(a, b, False) - want) < 1e-9
+    assert N.name_ratio("michael mo", "michael mo kwan tai", True) == 100
+    assert N.name_ratio("a b", "c d", True) == N.name_ratio("a b", "c d", False) and N.name_ratio("", "a", True) == 0
+
+
+def test_fuzzy_matches_over_labels_and_aliases(spark):
+    entities = spark.createDataFrame(
+        [("E1", "PERSON", "Michael Mo", "Michael Mo Kwan Tai", ["M. Mo"]), ("E2", "ORGANIZATION", "Acme Corp", None, ["Acme Corporation", None]), ("E3", "ORGANIZATION", None, None, None)],
+        "entity_id string, entity_type string, canonical_name string, wikidata_label string, aliases array<string>",
+    )
+    mentions = spark.createDataFrame([(1, "Kwan Tai Michael Mo", "PERSON"), (2, "corporation acme", "ORGANIZATION"), (3, "Corporation Acme", "PERSON"), (4, "Acme Ltd", "ORGANIZATION"), (5, None, "PERSON")], "mention_id long, name string, kind string")
+    got = {r.mention_id: (r.entity_id, r.score) for r in N.fuzzy_matches(mentions, entities).collect()}
+    assert got == {1: ("E1", 100.0), 2: ("E2", 100.0)}
+    assert N.fuzzy_matches(mentions, entities.drop("wikidata_label", "aliases")).count() == 1
+
+
+def test_superseded_is_the_loop_in_chain_order(spark):
+    rng = random.Random(4)
+    scores = {f"c{i:02}": round(rng.uniform(0.1, 0.95), 6) for i in range(30)}
+    links = sorted({tuple(sorted(rng.sample(sorted(scores), 2))) for _ in range(40)})  # older first
+    want = dict(scores)
+    for older, newer in links:
+        if want[newer] > 0.5:
+            want[older] = min(want[older], 0.45)
+            want[newer] = min(0.95, want[newer] * 1.1)
+    got = S.superseded(spark.createDataFrame(sorted(scores.items()), "claim_id string, plausibility double"), spark.createDataFrame(links, "older string, newer string"))
+    assert {r.claim_id: round(r.plausibility, 5) for r in got.collect()} == {k: round(v, 5) for k, v in want.items()}
+
+
+def test_current_value_is_the_last_that_none_supersedes(spark):
+    rows = [(1, "t", "a", 5, 1, False), (1, "t", "b", 6, 2, None), (1, "t", "c", 7, 3, True), (2, "t", "d", 8, 1, True), (2, "t", "e", 9, 2, True)]
+    c = spark.createDataFrame(rows, "event_id long, topic_key string, claim_id string, value long, k long, is_superseded boolean").withColumn("reported_time", F.timestamp_seconds("k")).withColumn("event_time", F.timestamp_seconds("k"))
+    assert {r.event_id: (r.chain, r.current) for r in A.update_chains(c).collect()} == {1: ("5>6>7", 6), 2: ("8>9", 9)}
+
+
+def test_is_update_of(spark):
+    kind = "struct<topic:string,value:long,reported_time:int,event_time:int>"
+    cases = [
+        (("t", 2, 2, 0), ("t", 1, 1, 0), True), (("t", 2, 1, 0), ("t", 1, 2, 0), False), (("t", 1, 2, 0), ("t", 1, 1, 0), False), (("u", 2, 2, 0), ("t", 1, 1, 0), False),
+        (("t", 2, 1, 0), ("t", 1, 1, 1), False), (("t", 2, 1, 1), ("t", 1, 1, 0), True), (("t", 2, 1, None), ("t", 1, 1, 0), True), (("t", 2, None, 0), ("t", 1, 1, 0), True),
+        ((None, 2, 2, 0), (None, 1, 1, 0), False), (("t", None, 2, 0), ("t", 1, 1, 0), False),
+    ]
+    got = spark.createDataFrame(cases, f"a {kind}, b {kind}, want boolean").select("want", T.is_update_of(F.col("a"), F.col("b")).alias("got")).collect()
+    assert all(r.got == r.want for r in got)
+
+
+@pytest.mark.parametrize("tag, want", [
+    ("""<META name='dcterms.created' content='2024-05-01'>""", "2024-05-01 00:00"), ('<meta content="2024-05-02T10:00:00Z" name="dc.date">', "2024-05-02 10:00"),
+    ('<time datetime="2024-05-03 07:00">', "2024-05-03 07:00"), ('<meta name="date" content="2024-05-04">', "None"), ('<meta name="dc.date" content="x"><time datetime="May 5, 2024">', "2024-05-05 00:00"), ('<time datetime="Sun, 5 May 2024 10:00:00 +0200">', "2024-05-05 08:00"),
+    ('<script type="application/ld+json">{"a": 1}</script><script type="application/ld+json">[{"uploadDate": "2024-05-06", "publishDate": "?"}]</script>', "2024-05-06 00:00"),
+    ('<time datetime="2024-05-07"><meta property="article:published_time" content="2024-05-08">', "2024-05-08 00:00"),
+])
+def test_published_in_order(spark, tag, want):
+    assert str(value(spark, T.published(F.col("h")), h=tag)).startswith(want)
+
+
+def test_direction_of_structural_updates(spark):
+    for a, b, want in [("36 people were killed", "Death toll rises to 128", "b"), ("40 people died", "36 people died", "a"), ("40 died", "now 36 died", "b"), ("5 died", "5 died", None), ("5 died", "6 missing", None)]:
+        assert value(spark, T.newer_by_structure(F.col("a"), F.col("b")), a=a, b=b) == want
+    assert value(spark, T.relate_by_structure(F.col("a"), F.col("b")), a="Wang Fuk Court in Tai Po", b="Tai Po") == "CORROBORATES"
 
 
 def test_snapshot_round_trip(spark, tmp_path):
