@@ -6,6 +6,7 @@ Greedy methods use a strict total order (score, then id), so that results don't
 from __future__ import annotations
 
 import itertools
+import math
 from collections.abc import Iterator
 from functools import reduce
 
@@ -17,6 +18,7 @@ from pyspark.sql import functions as F
 from claimloom.functions import vectors as V
 from claimloom.operators.graph import connected_components, cut_lineage
 from claimloom.operators.relational import top_k
+from claimloom.operators.similarity import pairs_within
 
 
 def _rounds(max_rounds: int | None) -> Iterator[int]:
@@ -226,8 +228,6 @@ def leader_clusters(df: DataFrame, key: str, order: list[Column], vector: str, s
 def merged_units(units: DataFrame, least: float = 0.60, min_size: int = 3) -> DataFrame:
     """#119. (id, event): units (id, size, group, vector) of a group with ``min_size`` members whose centroids
     have cosine ``least``, by components."""
-    from claimloom.operators.similarity import pairs_within
-
     big = units.filter(F.col("size") >= min_size)
     comp = connected_components(pairs_within(big, "id", "group", "vector", least), "a", "b")
     return units.join(comp, "id", "left").select("id", F.coalesce("component", "id").alias("event"))
@@ -256,16 +256,39 @@ def greedy_matching(edges: DataFrame, max_rounds: int | None = None) -> DataFram
     return reduce(DataFrame.unionByName, out) if out else edges.select("a", "b", "score").limit(0)
 
 
-def unit_links(units: DataFrame, edges: DataFrame, mentions: DataFrame) -> DataFrame:
-    """(a, b, corr, contra, shared) of pairs of units (id, member) with links across or shared entities."""
+def unit_links(units: DataFrame, edges: DataFrame, mentions: DataFrame, least_shared: int = 1) -> DataFrame:
+    """(a, b, corr, contra, shared) of pairs of units (id, member) with links across, or with at least
+    ``least_shared`` entities in common.
+
+    Of two sets with t members in common each has one of them besides its t - 1 most frequent ones: only
+    the other entities route pairs, the frequent ones are counted alone.  A pair is made at the first
+    such entity that it shares.  Entities are told apart by 64-bit hashes.
+    """
     m = units.select("id", "member")
     x = edges.select("src", "dst", "rel").join(m.select(F.col("member").alias("src"), F.col("id").alias("_a")), "src").join(m.select(F.col("member").alias("dst"), F.col("id").alias("_b")), "dst").filter("_a <> _b")
     n = lambda r: F.count(F.when(F.col("rel") == r, 1))
     cross = x.groupBy(F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b")).agg(n("CORROBORATES").alias("corr"), n("CONTRADICTS").alias("contra"))
-    e = m.join(mentions.select(F.col("claim_id").alias("member"), "entity_id"), "member").select("id", "entity_id").distinct()
-    shared = e.select(F.col("id").alias("a"), "entity_id").join(e.select(F.col("id").alias("b"), "entity_id"), "entity_id").filter("a < b").groupBy("a", "b").agg(F.count("*").alias("shared"))
-    j = cross.join(shared, ["a", "b"], "left")  # a pair without links across has too little energy for any criterion unless many entities are shared
-    return j.unionByName(shared.join(cross, ["a", "b"], "left_anti").select("a", "b", F.lit(0).cast("long").alias("corr"), F.lit(0).cast("long").alias("contra"), "shared")).withColumn("shared", F.coalesce("shared", F.lit(0)))
+    e = m.join(mentions.select(F.col("claim_id").alias("member"), F.xxhash64("entity_id").alias("t")), "member").select("id", "t").distinct()
+    ranked = e.join(e.groupBy("t").agg(F.count("*").alias("n")), "t").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("n", "t"))).alias("_r"))
+    own = cut_lineage(ranked.select("id", F.transform("_r", lambda r: r["t"]).alias("_e")), "units")
+    side = lambda c: own.select(F.col("id").alias(c), F.col("_e").alias(f"_{c}"))
+    shared = F.coalesce(F.size(F.array_intersect("_a", "_b")), F.lit(0)).cast("long")
+    linked = cross.join(side("a"), "a", "left").join(side("b"), "b", "left").select("a", "b", "corr", "contra", shared.alias("shared"))
+    met = side("a").select("a", "_a", rare_of("_a", least_shared)).join(side("b").select("b", "_b", rare_of("_b", least_shared)), "t").filter("a < b")
+    met = met.select("a", "b", "t", F.array_intersect("_a", "_b").alias("_c")).filter((F.size("_c") >= least_shared) & (F.get("_c", F.lit(0)) == F.col("t")))
+    alike = met.join(cross.select("a", "b"), ["a", "b"], "left_anti")
+    none = F.lit(0).cast("long")
+    return linked.unionByName(alike.select("a", "b", none.alias("corr"), none.alias("contra"), F.size("_c").cast("long").alias("shared")))
+
+
+def rare_of(column: str, least_shared: int) -> Column:
+    """A row for each but the last ``least_shared`` - 1 members of a sorted set."""
+    return F.explode(F.slice(column, F.lit(1), F.greatest(F.size(column) - (least_shared - 1), F.lit(0)))).alias("t")
+
+
+def _least_shared(least: float, weight: float) -> int:
+    """How many shared entities alone give energy ``least``."""
+    return max(1, math.ceil(least / weight - 1e-9))
 
 
 # Energy weights (corroborations, contradictions, shared entities), thresholds by layer, layers.
@@ -283,7 +306,7 @@ def layered_matching(units: DataFrame, edges: DataFrame, mentions: DataFrame, cr
     now = cut_lineage(units.select("id", "member", F.col("id").alias("unit")), "layers")
     for layer in range(layers or most):
         least = threshold if threshold is not None else steps[min(layer, len(steps) - 1)]
-        links = unit_links(now.select(F.col("unit").alias("id"), "member"), edges, mentions)
+        links = unit_links(now.select(F.col("unit").alias("id"), "member"), edges, mentions, _least_shared(least, ws))
         energy = wc * F.col("corr") + wx * F.col("contra") + ws * F.col("shared")
         won = greedy_matching(links.withColumn("score", energy).filter(F.col("score") >= least))
         if won.isEmpty():
@@ -295,7 +318,7 @@ def layered_matching(units: DataFrame, edges: DataFrame, mentions: DataFrame, cr
 
 def energy_components(units: DataFrame, edges: DataFrame, mentions: DataFrame, least: float = 2.0) -> DataFrame:
     """#222. (id, unit): components of units over pairs with energy 2 corr + contra + .5 shared of ``least``."""
-    links = unit_links(units, edges, mentions).filter(2 * F.col("corr") + F.col("contra") + 0.5 * F.col("shared") >= least)
+    links = unit_links(units, edges, mentions, _least_shared(least, 0.5)).filter(2 * F.col("corr") + F.col("contra") + 0.5 * F.col("shared") >= least)
     comp = connected_components(links.select("a", "b"), "a", "b")
     return units.select("id").distinct().join(comp, "id", "left").select("id", F.coalesce("component", "id").alias("unit"))
 
@@ -303,7 +326,8 @@ def energy_components(units: DataFrame, edges: DataFrame, mentions: DataFrame, l
 def best_pair_agglomeration(units: DataFrame, edges: DataFrame, mentions: DataFrame, merges: int = 20, weights: tuple[float, float, float] = (2.0, 1.0, 0.3), least: float = 1.0) -> DataFrame:
     """#223, #224. One merge a round, of the pair with most energy, up to ``merges`` (a budget)."""
     wc, wx, ws = weights
-    links = cut_lineage(unit_links(units, edges, mentions), "pairs")
+    # pairs under ``least`` stay so until one of them merges, and then all pairs of the merged one are made anew
+    links = cut_lineage(unit_links(units, edges, mentions, _least_shared(least, ws)), "pairs")
     ents = cut_lineage(units.join(mentions.select(F.col("claim_id").alias("member"), "entity_id"), "member").select("id", "entity_id").distinct(), "pairs")
     to: dict = {}
     for _ in range(merges):
@@ -321,7 +345,7 @@ def best_pair_agglomeration(units: DataFrame, edges: DataFrame, mentions: DataFr
         own = ents.filter(F.col("id") == F.lit(a)).select("entity_id")
         shared = ents.filter(F.col("id") != F.lit(a)).join(own, "entity_id", "left_semi").groupBy("id").agg(F.count("*").alias("shared"))
         shared = shared.select(F.least(F.col("id"), F.lit(a)).alias("a"), F.greatest(F.col("id"), F.lit(a)).alias("b"), "shared")
-        new = moved.join(shared, ["a", "b"], "left").withColumn("shared", F.coalesce("shared", F.lit(0)))
+        new = moved.join(shared, ["a", "b"], "full").select("a", "b", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("corr", "contra", "shared")])
         links = cut_lineage(links.filter(~touched).unionByName(new), "pairs")
     spark = units.sparkSession
 

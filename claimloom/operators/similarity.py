@@ -40,20 +40,38 @@ def keyword_keys(df: DataFrame, text: str, longer: int = 4, rarest: int | None =
     return top_k(w.join(df_, "token"), ["id"], [F.asc("_df"), F.asc("token")], rarest).select("id", "token")
 
 
-def routed_pairs(keys: DataFrame, most: int | None = None) -> DataFrame:
-    """#33, #34. Candidate pairs (a < b) that share a token of (id, token): an inverted-index join.  Tokens of
-    over ``most`` rows route nothing, which bounds the pairs; a caller that sets it must cover the rest."""
-    if most is not None:
-        keys = keys.join(keys.groupBy("token").agg(F.count("*").alias("_n")).filter(F.col("_n") <= most).select("token"), "token", "left_semi")
-    a, b = keys.select(F.col("id").alias("a"), "token"), keys.select(F.col("id").alias("b"), "token")
-    return a.join(b, "token").filter("a < b").select("a", "b").distinct()
+#: Rows of a token that meet all of its rows in one block.
+BLOCK_ROWS = 2_000
+
+
+def sharing_pairs(keys: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """(a, b, common): the pairs a < b that share tokens of (id, token), and the sorted array of these.
+
+    A pair is made once, at the first token that it shares, so that pairs aren't shuffled or told apart
+    afterwards.  The rows of a frequent token are dealt out in blocks, each of which meets all rows of
+    the token: its pairs, whose number grows with the square of its rows, are spread over as many
+    tasks.  An id's tokens travel with each of its rows: ids have few.  Null ids and tokens share nothing.
+    """
+    known = keys.select("id", "token").filter("id IS NOT NULL AND token IS NOT NULL").distinct()
+    sets = known.groupBy("id").agg(F.array_sort(F.collect_list("token")).alias("_all"))
+    n = known.groupBy("token").agg(F.ceil(F.count("*") / block_rows).alias("_blocks")).filter("_blocks > 1")
+    rows = sets.select("id", "_all", F.explode("_all").alias("token")).join(n, "token", "left").withColumn("_blocks", F.coalesce("_blocks", F.lit(1)))
+    left = rows.select(F.col("id").alias("a"), F.col("_all").alias("_ta"), "token", F.pmod(F.xxhash64("id"), "_blocks").alias("_block"))
+    right = rows.select(F.col("id").alias("b"), F.col("_all").alias("_tb"), "token", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_blocks") - 1)).alias("_block"))
+    met = left.join(right, ["token", "_block"]).filter("a < b").select("a", "b", "token", F.array_intersect("_ta", "_tb").alias("common"))
+    return met.filter(F.get("common", F.lit(0)) == F.col("token")).select("a", "b", "common")
+
+
+def routed_pairs(keys: DataFrame) -> DataFrame:
+    """#33. Candidate pairs (a < b) that share a token of (id, token): an inverted-index join."""
+    return sharing_pairs(keys).select("a", "b")
 
 
 def capped_candidates(keys: DataFrame, k: int = 20) -> DataFrame:
     """#34. Each row's first ``k`` candidates by shared tokens, then id."""
-    a, b = keys.select(F.col("id").alias("a"), "token"), keys.select(F.col("id").alias("b"), "token")
-    met = a.join(b, "token").filter("a <> b").groupBy("a", "b").agg(F.count("*").alias("shared"))
-    return top_k(met, ["a"], [F.desc("shared"), F.asc("b")], k)
+    p = sharing_pairs(keys).select("a", "b", F.size("common").cast("long").alias("shared"))
+    both = p.unionByName(p.select(F.col("b").alias("a"), F.col("a").alias("b"), "shared"))
+    return top_k(both, ["a"], [F.desc("shared"), F.asc("b")], k)
 
 
 def relate(numbers_a: Column, numbers_b: Column, cosine: Column, specificity: Column) -> Column:
@@ -68,9 +86,9 @@ def shared_specificity(mentions: DataFrame) -> DataFrame:
     """(a, b, specificity, shared): pairs of claims with shared entities, each counting 1 - frequency / most."""
     f = mentions.groupBy("entity_id").agg(F.count("*").alias("_f"))
     f = f.join(F.broadcast(f.agg(F.max("_f").alias("_m")))).select("entity_id", (1 - F.col("_f") / F.col("_m")).alias("_s"))
-    m = mentions.select("claim_id", "entity_id").distinct()
-    met = m.select(F.col("claim_id").alias("a"), "entity_id").join(m.select(F.col("claim_id").alias("b"), "entity_id"), "entity_id").filter("a < b").join(f, "entity_id")
-    return met.groupBy("a", "b").agg(F.round(F.sum("_s"), 6).alias("specificity"), F.count("*").alias("shared"))
+    keys = mentions.join(f, "entity_id").select(F.col("claim_id").alias("id"), F.struct("entity_id", "_s").alias("token"))
+    total = F.aggregate("common", F.lit(0.0), lambda x, t: x + t["_s"])
+    return sharing_pairs(keys).select("a", "b", F.round(total, 6).alias("specificity"), F.size("common").cast("long").alias("shared"))
 
 
 def band(pairs: DataFrame, low: float, high: float) -> DataFrame:
@@ -84,7 +102,8 @@ def gravity(pairs: DataFrame, sizes: DataFrame) -> DataFrame:
     j = pairs.join(sizes.select(F.col("id").alias("a"), F.col("n").alias("_na")), "a").join(sizes.select(F.col("id").alias("b"), F.col("n").alias("_nb")), "b")
     g = F.col("specificity") / F.sqrt(F.greatest(F.col("_na") + F.col("_nb") - F.col("shared"), F.lit(1)))
     s = F.col("cosine")
-    return j.withColumn("gravity", F.round(g, 6)).withColumn("boosted", F.round(F.when(g > 0.3, F.greatest(s, F.lit(0.5)) + 0.4 * g).when(g > 0.1, s + 0.3 * g).otherwise(s), 6)).drop("_na", "_nb")
+    boosted = F.when(g > 0.3, F.greatest(s, F.lit(0.5)) + 0.4 * g).when(g > 0.1, s + 0.3 * g).otherwise(s)
+    return j.withColumn("gravity", F.round(g + 1e-9, 6)).withColumn("boosted", F.round(boosted + 1e-9, 6)).drop("_na", "_nb")
 
 
 def idf(keys: DataFrame) -> DataFrame:

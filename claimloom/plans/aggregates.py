@@ -210,9 +210,9 @@ def _(s, d):
 
 
 @q("q192_event_overlap", """SELECT x.event_id AS a, y.event_id AS b, count(*) AS shared, round(count(*)::DOUBLE / (any_value(x.n) + any_value(y.n) - count(*)), 6) AS jaccard FROM kg_em x JOIN kg_em y ON x.entity_id = y.entity_id AND x.event_id < y.event_id GROUP BY ALL HAVING round(count(*)::DOUBLE / (any_value(x.n) + any_value(y.n) - count(*)), 6) >= 0.05""",
-   kg_em="SELECT event_id, entity_id, count(*) OVER (PARTITION BY event_id) AS n FROM (SELECT DISTINCT event_id, entity_id FROM kg_mentions WHERE entity_id LIKE 'P%')")
+   kg_em="SELECT event_id, entity_id, count(*) OVER (PARTITION BY event_id) AS n FROM (SELECT DISTINCT event_id, entity_id FROM kg_mentions)")
 def _(s, d):
-    m = X.kg_mentions(s, d).filter("entity_id LIKE 'P%'").select(F.col("event_id").alias("id"), F.col("entity_id").alias("member"))
+    m = X.kg_mentions(s, d).select(F.col("event_id").alias("id"), F.col("entity_id").alias("member"))
     return A.group_overlap(m, 0.05)
 
 

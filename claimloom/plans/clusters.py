@@ -57,12 +57,13 @@ def _(s, d):
     return vpairs(s, d).filter("b >= 150").select("a", "b", "cosine")  # new: ids from 150 on, against all
 
 
-ENT = "SELECT claim_id AS id, entity_id AS token FROM kg_mentions WHERE entity_id LIKE 'P%'"
+ENT = "SELECT claim_id AS id, entity_id AS token FROM kg_mentions"
 
 
-@q("q033_entity_routing", "SELECT DISTINCT x.id AS a, y.id AS b FROM kg_ent x JOIN kg_ent y ON x.token = y.token AND x.id < y.id", kg_ent=ENT)
+@q("q033_entity_routing", "SELECT a, count(DISTINCT b) AS partners, max(b) AS last FROM (SELECT x.id AS a, y.id AS b FROM kg_ent x JOIN kg_ent y ON x.token = y.token AND x.id < y.id) GROUP BY a", kg_ent=ENT)
 def _(s, d):
-    return M.routed_pairs(X.kg_mentions(s, d).filter("entity_id LIKE 'P%'").select(F.col("claim_id").alias("id"), F.col("entity_id").alias("token")))
+    pairs = M.routed_pairs(X.kg_mentions(s, d).select(F.col("claim_id").alias("id"), F.col("entity_id").alias("token")))
+    return pairs.groupBy("a").agg(F.count("*").alias("partners"), F.max("b").alias("last"))
 
 
 @q("q033_keyword_routing", r"""SELECT DISTINCT x.id AS a, y.id AS b FROM kg_key x JOIN kg_key y ON x.token = y.token AND x.id < y.id""",
@@ -74,7 +75,7 @@ def _(s, d):
 
 @q("q034_capped_candidates", "SELECT a, b, shared, CAST(r AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY shared DESC, b) AS r FROM (SELECT x.id AS a, y.id AS b, count(*) AS shared FROM kg_ent x JOIN kg_ent y ON x.token = y.token AND x.id <> y.id GROUP BY ALL)) WHERE r <= 20", kg_ent=ENT)
 def _(s, d):
-    return M.capped_candidates(X.kg_mentions(s, d).filter("entity_id LIKE 'P%'").select(F.col("claim_id").alias("id"), F.col("entity_id").alias("token")))
+    return M.capped_candidates(X.kg_mentions(s, d).select(F.col("claim_id").alias("id"), F.col("entity_id").alias("token")))
 
 
 CORR = "SELECT src, dst FROM kg_claim_edges WHERE rel = 'CORROBORATES'"
@@ -97,24 +98,20 @@ def _(s, d):
     return A.hub_coverage(X.kg_mentions(s, d), 2).join(n, "event_id").select("event_id", F.round(0.6 * F.col("hub_coverage") + 0.4 / F.col("_n") + 1e-12, 6).alias("coherence"))
 
 
-@q("q110_relations", """SELECT a, b, CASE WHEN na > 0 AND nb > 0 AND na = nb THEN 'CORROBORATES' WHEN na > 0 AND nb > 0 THEN 'CONTRADICTS' WHEN specificity > 0.5 AND cosine > 0.65 OR specificity > 0.8 AND cosine > 0.5 OR cosine > 0.85 THEN 'CORROBORATES' ELSE 'INDEPENDENT' END AS relation FROM (
+@q("q110_relations", """SELECT a, relation, count(*) AS pairs, max(b) AS last FROM (SELECT a, b, CASE WHEN na > 0 AND nb > 0 AND na = nb THEN 'CORROBORATES' WHEN na > 0 AND nb > 0 THEN 'CONTRADICTS' WHEN specificity > 0.5 AND cosine > 0.65 OR specificity > 0.8 AND cosine > 0.5 OR cosine > 0.85 THEN 'CORROBORATES' ELSE 'INDEPENDENT' END AS relation FROM (
 SELECT x.claim_id AS a, y.claim_id AS b, round(sum(s), 6) AS specificity, any_value(CASE WHEN p.value % 4 = 0 THEN p.value END) AS na, any_value(CASE WHEN o.value % 4 = 0 THEN o.value END) AS nb, any_value(((p.value + o.value) % 10)::DOUBLE / 10) AS cosine FROM kg_pm x JOIN kg_pm y ON x.entity_id = y.entity_id AND x.claim_id < y.claim_id
-JOIN (SELECT entity_id, 1 - n::DOUBLE / max(n) OVER () AS s FROM (SELECT entity_id, count(*) AS n FROM kg_pm GROUP BY ALL)) f ON x.entity_id = f.entity_id JOIN kg_claims p ON x.claim_id = p.claim_id JOIN kg_claims o ON y.claim_id = o.claim_id GROUP BY x.claim_id, y.claim_id)""", kg_pm="SELECT * FROM kg_mentions WHERE entity_id LIKE 'P%'")
+JOIN (SELECT entity_id, 1 - n::DOUBLE / max(n) OVER () AS s FROM (SELECT entity_id, count(*) AS n FROM kg_pm GROUP BY ALL)) f ON x.entity_id = f.entity_id JOIN kg_claims p ON x.claim_id = p.claim_id JOIN kg_claims o ON y.claim_id = o.claim_id GROUP BY x.claim_id, y.claim_id)) GROUP BY ALL""", kg_pm="SELECT * FROM kg_mentions")
 def _(s, d):
     c = X.kg_claims(s, d).select("claim_id", "value")
     side = lambda k: c.select(F.col("claim_id").alias(k), F.col("value").alias(f"v{k}"), F.when(F.pmod("value", F.lit(4)) == 0, F.col("value")).alias(f"n{k}"))
-    p = M.shared_specificity(X.kg_mentions(s, d).filter("entity_id LIKE 'P%'")).join(side("a"), "a").join(side("b"), "b")
+    p = M.shared_specificity(X.kg_mentions(s, d)).join(side("a"), "a").join(side("b"), "b")
     cos = F.pmod(F.col("va") + F.col("vb"), F.lit(10)) / 10
-    return p.select("a", "b", M.relate(F.col("na"), F.col("nb"), cos, F.col("specificity")).alias("relation"))
-
-
-def products(s, d):
-    return X.kg_mentions(s, d).filter("entity_id LIKE 'P%'")
+    return p.select("a", "b", M.relate(F.col("na"), F.col("nb"), cos, F.col("specificity")).alias("relation")).groupBy("a", "relation").agg(F.count("*").alias("pairs"), F.max("b").alias("last"))
 
 
 @q("q111_gravity_topics", None)
 def _(s, d):
-    return C.gravity_topics(products(s, d), 3, 2).select("anchor", "claim_id")
+    return C.gravity_topics(X.kg_mentions(s, d), 3, 2).select("anchor", "claim_id")
 
 
 @q("q112_constellations", None)
@@ -127,18 +124,18 @@ def _(s, d):
     return C.anchor_context(X.kg_mentions(s, d), 5, 3).select("anchor", "claim_id")
 
 
-SEEDED = "SELECT DISTINCT entity_id AS id, claim_id AS member FROM kg_mentions WHERE entity_id LIKE 'P%' AND entity_id IN (SELECT entity_id FROM kg_mentions GROUP BY ALL HAVING count(*) >= 5)"
+SEEDED = "SELECT DISTINCT entity_id AS id, claim_id AS member FROM kg_mentions WHERE entity_id IN (SELECT entity_id FROM kg_mentions GROUP BY ALL HAVING count(*) >= 5)"
 
 
 @q("q114_seeded_clusters", "SELECT id, member FROM kg_seeded", kg_seeded=SEEDED)
 def _(s, d):
-    return C.seeded_clusters(products(s, d), 5, 5)
+    return C.seeded_clusters(X.kg_mentions(s, d), 5, 5)
 
 
 @q("q115_merged_clusters", None)
 def _(s, d):
     m = X.kg_mentions(s, d).groupBy("entity_id", "event_id").count().select(F.col("entity_id").alias("id"), F.col("event_id").alias("member"))
-    return C.merged_clusters(m.filter("id LIKE 'P%'"), 0.3, 0.6)
+    return C.merged_clusters(m, 0.3, 0.6)
 
 
 @q("q116_cluster_scores", """SELECT n.id, size, COALESCE(links, 0) AS links, round(0.5::DOUBLE * s + 0.5::DOUBLE * least(1, COALESCE(links, 0)::DOUBLE / size), 6) AS coherence FROM (SELECT event_id AS id, count(*) AS size FROM kg_claims GROUP BY ALL) n
@@ -177,7 +174,7 @@ def _(s, d):
 def _page_units(s, d, keep):
     u = X.kg_claims(s, d).filter(keep).select(F.col("page_id").alias("id"), F.col("claim_id").alias("member"))
     kept = u.select(F.col("member").alias("claim_id"))
-    m = X.kg_mentions(s, d).filter("entity_id LIKE 'P%'").join(kept, "claim_id", "left_semi")
+    m = X.kg_mentions(s, d).join(kept, "claim_id", "left_semi")
     return u, X.kg_claim_edges(s, d), m
 
 
@@ -215,9 +212,9 @@ def _(s, d):
 
 
 @q("q128_frames", """SELECT entity_id, round(min(i), 6) AS least, round(avg(i), 6) AS mean, round(avg(i), 6) > 0.9 AS frame FROM (SELECT p.entity_id, j.i FROM (SELECT x.entity_id, x.event_id AS a, y.event_id AS b FROM kg_pe x JOIN kg_pe y ON x.entity_id = y.entity_id AND x.event_id < y.event_id) p
-JOIN (SELECT x.event_id AS a, y.event_id AS b, 1 - count(*)::DOUBLE / (any_value(x.n) + any_value(y.n) - count(*)) AS i FROM kg_pe x JOIN kg_pe y ON x.entity_id = y.entity_id AND x.event_id < y.event_id GROUP BY ALL) j ON p.a = j.a AND p.b = j.b) GROUP BY ALL""", kg_pe="SELECT *, count(*) OVER (PARTITION BY event_id) AS n FROM (SELECT DISTINCT event_id, entity_id FROM kg_mentions WHERE entity_id LIKE 'P%')")
+JOIN (SELECT x.event_id AS a, y.event_id AS b, 1 - count(*)::DOUBLE / (any_value(x.n) + any_value(y.n) - count(*)) AS i FROM kg_pe x JOIN kg_pe y ON x.entity_id = y.entity_id AND x.event_id < y.event_id GROUP BY ALL) j ON p.a = j.a AND p.b = j.b) GROUP BY ALL""", kg_pe="SELECT *, count(*) OVER (PARTITION BY event_id) AS n FROM (SELECT DISTINCT event_id, entity_id FROM kg_mentions)")
 def _(s, d):
-    return C.independent_frames(products(s, d), 0.9)
+    return C.independent_frames(X.kg_mentions(s, d), 0.9)
 
 
 @q("q129_reachable", """SELECT start, node, depth, round(confidence, 6) AS confidence FROM (SELECT src AS start, dst AS node, 1 AS depth, confidence FROM kg_entity_edges WHERE confidence >= 0.6 UNION
@@ -265,11 +262,14 @@ def _(s, d):
     return M.band(vpairs(s, d), 0.2, 0.3).select("a", "b", "cosine")
 
 
-@q("q216_gravity", None)
+@q("q216_gravity", """SELECT a, count(*) AS pairs, round(max(round(g + 1e-9::DOUBLE, 6)) + 1e-7::DOUBLE, 4) AS gravity, round(1e-7::DOUBLE + max(round(1e-9::DOUBLE + CASE WHEN g > 0.3 THEN greatest(0.2::DOUBLE, 0.5::DOUBLE) + 0.4::DOUBLE * g WHEN g > 0.1 THEN 0.2::DOUBLE + 0.3::DOUBLE * g ELSE 0.2::DOUBLE END, 6)), 4) AS boosted FROM (
+SELECT x.claim_id AS a, y.claim_id AS b, round(sum(s), 6) / sqrt(any_value(x.k) + any_value(y.k) - count(*)) AS g FROM kg_m x JOIN kg_m y ON x.entity_id = y.entity_id AND x.claim_id < y.claim_id
+JOIN (SELECT entity_id, 1 - n::DOUBLE / max(n) OVER () AS s FROM (SELECT entity_id, count(*) AS n FROM kg_m GROUP BY ALL)) f ON x.entity_id = f.entity_id GROUP BY x.claim_id, y.claim_id) GROUP BY a""",
+   kg_m="SELECT claim_id, entity_id, count(*) OVER (PARTITION BY claim_id) AS k FROM kg_mentions")
 def _(s, d):
-    sp = M.shared_specificity(products(s, d)).withColumn("cosine", F.lit(0.2))
-    n = products(s, d).groupBy(F.col("claim_id").alias("id")).agg(F.countDistinct("entity_id").alias("n"))
-    return M.gravity(sp, n).select("a", "b", "gravity", "boosted")
+    sp = M.shared_specificity(X.kg_mentions(s, d)).withColumn("cosine", F.lit(0.2))
+    n = X.kg_mentions(s, d).groupBy(F.col("claim_id").alias("id")).agg(F.countDistinct("entity_id").alias("n"))
+    return M.gravity(sp, n).groupBy("a").agg(F.count("*").alias("pairs"), F.round(F.max("gravity") + 1e-7, 4).alias("gravity"), F.round(F.max("boosted") + 1e-7, 4).alias("boosted"))
 
 
 @q("q220_fragmentation_causes", """SELECT event_id, count(*) AS entities, count(*) FILTER (WHERE n >= 2) AS shared, round(count(*) FILTER (WHERE n >= 2)::DOUBLE / count(*), 6) AS coverage FROM (SELECT event_id, entity_id, count(DISTINCT claim_id) AS n FROM kg_mentions GROUP BY ALL) GROUP BY ALL""")
@@ -291,13 +291,13 @@ def _(s, d):
 
 @q("q224_budgeted_agglomeration", None)
 def _(s, d):
-    return C.best_pair_agglomeration(*_page_units(s, d, F.lit(True)), merges=3, weights=(1.0, 0.5, 0.3))
+    return C.best_pair_agglomeration(*_page_units(s, d, F.lit(True)), merges=10, weights=(1.0, 0.5, 0.3))
 
 
-@q("q120_event_merge", """SELECT a, b, score FROM (SELECT x.id AS a, y.id AS b, round(0.6::DOUBLE * (1 - abs(x.claims - y.claims)::DOUBLE / greatest(x.claims, y.claims)) + 0.25::DOUBLE * k::DOUBLE / (x.entities + y.entities - k), 6) AS score FROM (SELECT p.event_id AS a, q.event_id AS b, count(*) AS k FROM kg_de p JOIN kg_de q ON p.entity_id = q.entity_id AND p.event_id < q.event_id GROUP BY ALL) s JOIN kg_units x ON s.a = x.id JOIN kg_units y ON s.b = y.id) WHERE score >= 0.58""", kg_units=UNITS, kg_de="SELECT DISTINCT event_id, entity_id FROM kg_mentions WHERE entity_id LIKE 'P%'")
+@q("q120_event_merge", """SELECT a, b, score FROM (SELECT x.id AS a, y.id AS b, round(0.6::DOUBLE * (1 - abs(x.claims - y.claims)::DOUBLE / greatest(x.claims, y.claims)) + 0.25::DOUBLE * k::DOUBLE / (x.entities + y.entities - k), 6) AS score FROM (SELECT p.event_id AS a, q.event_id AS b, count(*) AS k FROM kg_de p JOIN kg_de q ON p.entity_id = q.entity_id AND p.event_id < q.event_id GROUP BY ALL) s JOIN kg_units x ON s.a = x.id JOIN kg_units y ON s.b = y.id) WHERE score >= 0.58""", kg_units=UNITS, kg_de="SELECT DISTINCT event_id, entity_id FROM kg_mentions")
 def _(s, d):
     u = units(s, d).select("id", "claims", "entities")
-    e = products(s, d).select("event_id", "entity_id").distinct()
+    e = X.kg_mentions(s, d).select("event_id", "entity_id").distinct()
     k = e.select(F.col("event_id").alias("a"), "entity_id").join(e.select(F.col("event_id").alias("b"), "entity_id"), "entity_id").filter("a < b").groupBy("a", "b").agg(F.count("*").alias("k"))
     j = k.join(u.select(F.col("id").alias("a"), F.col("claims").alias("ca"), F.col("entities").alias("ea")), "a").join(u.select(F.col("id").alias("b"), F.col("claims").alias("cb"), F.col("entities").alias("eb")), "b")
     score = 0.6 * (1 - F.abs(F.col("ca") - F.col("cb")) / F.greatest("ca", "cb")) + 0.25 * F.col("k") / (F.col("ea") + F.col("eb") - F.col("k"))

@@ -138,13 +138,10 @@ def _(s, d):
     return X.kg_claims(s, d).join(X.kg_pages(s, d).select("page_id", "title"), "page_id").select("claim_id", "title")
 
 
-PRODUCTS = "SELECT * FROM kg_mentions WHERE entity_id LIKE 'P%'"
-
-
 @q("q028_candidates_by_entities", """SELECT page_id, event_id, overlap FROM (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY overlap DESC, event_id) AS r FROM (
-SELECT p.page_id, e.event_id, count(*) AS overlap FROM (SELECT DISTINCT page_id, entity_id FROM kg_products) p JOIN (SELECT DISTINCT event_id, entity_id FROM kg_products) e ON p.entity_id = e.entity_id GROUP BY ALL)) WHERE r <= 20""", kg_products=PRODUCTS)
+SELECT p.page_id, e.event_id, count(*) AS overlap FROM (SELECT DISTINCT page_id, entity_id FROM kg_mentions) p JOIN (SELECT DISTINCT event_id, entity_id FROM kg_mentions) e ON p.entity_id = e.entity_id GROUP BY ALL)) WHERE r <= 20""")
 def _(s, d):
-    m = X.kg_mentions(s, d).filter("entity_id LIKE 'P%'")
+    m = X.kg_mentions(s, d)
     return R.candidates_by_entities(m, m).select("page_id", "event_id", "overlap")
 
 
