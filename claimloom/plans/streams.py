@@ -34,6 +34,11 @@ def _(s, d):
     return K.upkeep(arr(s, d))
 
 
+@q("q197_actions", None)
+def _(s, d):
+    return K.actions(arr(s, d), K.ticks(arr(s, d)).select("event_id", "tick"))
+
+
 @q("q199_ticks", """SELECT event_id, tick, round((epoch_us(tick) - epoch_us(last)) / 3.6e9, 6)::DOUBLE AS idle_hours, round((epoch_us(tick) - epoch_us(last)) / 3.6e9, 6) >= 24 AS hibernate, round((epoch_us(tick) - epoch_us(last)) / 3.6e9, 6) < 6 AS active FROM (
 SELECT t.event_id, tick, max(a.ts) AS last FROM (SELECT event_id, unnest(generate_series(date_trunc('hour', min(ts)) + INTERVAL 1 HOUR, max(ts) + INTERVAL 1 HOUR, INTERVAL 1 HOUR)) AS tick FROM kg_arr GROUP BY event_id) t JOIN kg_arr a ON a.event_id = t.event_id AND a.ts <= t.tick GROUP BY ALL)""")
 def _(s, d):

@@ -22,9 +22,10 @@ MIN_CLAIMS_FOR_TOPOLOGY = 5
 ACTIVE_HOURS, HIBERNATE_HOURS, NARRATIVE_HOURS = 6, 24, 1
 CONTRADICTION_SHARE, COHERENCE_DROP = 0.5, 0.15
 
-# Lifecycle thresholds, and the stake that wakes an event of a state.
-LIVE_TO_WARM_HOURS, WARM_TO_STABLE_HOURS, STABLE_TO_DORMANT_HOURS, LIVE_CLAIMS = 1.0, 6.0, 72.0, 3
-WAKE_STAKE = {"LIVE": 1, "WARM": 1, "STABLE": 10, "DORMANT": 100}
+# Lifecycle thresholds (idle hours, claims an hour, share of contradictions), half-lives of the
+# claim counts of the last hour and day, and the stake that wakes a dormant event.
+LIVE_TO_WARM_HOURS, QUIET_HOURS, WARM_TO_STABLE_HOURS, STABLE_TO_DORMANT_HOURS, LIVE_CLAIMS = 1.0, 0.5, 6.0, 72.0, 3
+TENSION_SHARE, HOUR_HALF_LIFE, DAY_HALF_LIFE, WAKE_STAKE = 0.2, 1.0, 24.0, 100
 
 CLAIM_STREAM = "event_id long, ts timestamp, user_id long, event_type string, value double, props string"
 
@@ -96,58 +97,93 @@ def ticks(arrived: DataFrame, hours: int = 1) -> DataFrame:
 
 
 def lifecycle(arrived: DataFrame) -> DataFrame:
-    """#200 in batch: the state of an event after each claim, from LIVE; a dormant event wakes by stake alone.
+    """#200 in batch: the state of an event after each claim, by time and id, from LIVE.
 
-    A gap since the claim before lets LIVE cool after an hour, WARM after six, STABLE after three days;
-    an open contradiction keeps it LIVE; three claims in an hour make WARM LIVE, one makes STABLE WARM.
+    While an event is idle its claims of the last hour are halved each hour, those of the last day each day
+    (whole numbers, the day's from a day's idleness on), and without tension it cools: LIVE after an hour, or
+    half an hour with under three claims left of the last hour; WARM after six hours with under three left;
+    STABLE after three days with none left.  Tension is an open contradiction (a corroboration closes one), or
+    contradictions of over a fifth of the day's claims.  A claim makes STABLE WARM; three claims left of the last hour,
+    or tension, make WARM LIVE.  A claim of a dormant event wakes it, to WARM and at once by the same rules, if its
+    stake is enough, else it is ignored.  Null stakes are 0; a null time counts as no time passed and comes first.
+
+    One event's claims go through one task in order, in batches; only its counts are held.
     """
-    return arrived.select("event_id", "claim_id", "ts", "kind", "stake").groupBy("event_id").applyInPandas(_replayed, "event_id long, claim_id long, state string")
-
-
-def _step(state: str, gap: float, hour_claims: int, tension: bool, stake: int) -> str:
-    if not tension:
-        if state == "LIVE" and gap > LIVE_TO_WARM_HOURS:
-            state = "WARM"
-        if state == "WARM" and gap > WARM_TO_STABLE_HOURS:
-            state = "STABLE"
-        if state == "STABLE" and gap > STABLE_TO_DORMANT_HOURS:
-            state = "DORMANT"
-    if stake < WAKE_STAKE[state]:
-        return state
+    rows = arrived.select("event_id", "claim_id", "ts", "kind", "stake").repartition("event_id").sortWithinPartitions("event_id", "ts", "claim_id")
+    return rows.mapInPandas(_replayed, "event_id long, claim_id long, state string")
+
+
+#: State, claims of the last hour and day, contradictions in all and open ones, time of the last claim in hours.
+Life = tuple[str, int, int, int, int, float | None]
+NEWBORN: Life = ("LIVE", 0, 0, 0, 0, None)
+
+
+def _cooled(state: str, idle: float, hour: int) -> str:
+    """The state of an event without tension after ``idle`` hours."""
+    if state == "LIVE" and idle > (LIVE_TO_WARM_HOURS if hour >= LIVE_CLAIMS else QUIET_HOURS):
+        state = "WARM"
+    if state == "WARM" and idle > WARM_TO_STABLE_HOURS and hour < LIVE_CLAIMS:
+        state = "STABLE"
+    if state == "STABLE" and idle > STABLE_TO_DORMANT_HOURS and not hour:
+        state = "DORMANT"
+    return state
+
+
+def _lived(life: Life, at: float | None, kind: str, stake: float) -> Life:
+    """An event's life after a claim at ``at``."""
+    state, hour, day, bad, open_, last = life
+    tense = lambda: open_ > 0 or bad > TENSION_SHARE * max(1, day)
+    idle = 0.0 if at is None or last is None else max(0.0, at - last)
+    hour = int(hour * 0.5 ** (idle / HOUR_HALF_LIFE))
+    day = int(day * 0.5 ** (idle / DAY_HALF_LIFE)) if idle >= 24 else day
+    state = state if tense() else _cooled(state, idle, hour)
     if state == "DORMANT":
-        return "WARM"
-    if tension or (state == "WARM" and hour_claims >= LIVE_CLAIMS):
-        return "LIVE"
-    return "WARM" if state == "STABLE" else state
-
-
-def _replay(pdf: pd.DataFrame, state: str, open_: int, times: list[float]) -> tuple[list[str], str, int, list[float]]:
-    out = []
-    for ts, kind, stake in zip(pdf.ts.map(lambda t: t.timestamp() / 3600).tolist(), pdf.kind, pdf.stake):
-        gap = ts - times[-1] if times else 0.0
-        times = [t for t in times if ts - t <= 1.0] + [ts]
-        open_ = max(0, open_ + (kind == "contradiction") - (kind == "corroboration"))
-        state = _step(state, gap, len(times), open_ > 0, int(stake) if stake == stake and stake is not None else 0)
-        out.append(state)
-    return out, state, open_, times
-
-
-def _replayed(pdf: pd.DataFrame) -> pd.DataFrame:
-    pdf = pdf.sort_values(["ts", "claim_id"])
-    return pd.DataFrame({"event_id": pdf.event_id, "claim_id": pdf.claim_id, "state": _replay(pdf, "LIVE", 0, [])[0]})
+        if stake < WAKE_STAKE:
+            return (state, *life[1:])
+        state = "WARM"
+    hour, day, last = hour + 1, day + 1, last if at is None else at
+    bad += kind == "contradiction"
+    open_ = max(0, open_ + (kind == "contradiction") - (kind == "corroboration"))
+    if state == "STABLE":
+        state = "WARM"
+    elif state == "WARM" and (hour >= LIVE_CLAIMS or tense()):
+        state = "LIVE"
+    return state, hour, day, bad, open_, last
+
+
+def _facts(pdf: pd.DataFrame) -> Iterator[tuple]:
+    """(event, claim, hours, kind, stake) of rows."""
+    hours = pdf.ts.to_numpy("datetime64[us]").astype("int64") / 3.6e9
+    at = [None if n else h for n, h in zip(pdf.ts.isna(), hours.tolist())]
+    return zip(pdf.event_id.tolist(), pdf.claim_id.tolist(), at, pdf.kind.tolist(), pdf.stake.fillna(0).tolist())
+
+
+def _replayed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    before, life = object(), NEWBORN
+    for pdf in batches:
+        states = []
+        for event, _, at, kind, stake in _facts(pdf):
+            life = _lived(life if event == before else NEWBORN, at, kind, stake)
+            before = event
+            states.append(life[0])
+        yield pd.DataFrame({"event_id": pdf.event_id, "claim_id": pdf.claim_id, "state": states})
 
 
 def lifecycle_stream(stream: DataFrame) -> DataFrame:
-    """#200 as a stream, with the state, open contradictions and last hour's times of each event kept."""
+    """#200 as a stream, with the life of each event kept; within a batch claims go by time."""
 
     def update(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        now, open_, times = state.get if state.exists else ("LIVE", 0, [])
-        pdf = pd.concat(list(batches)).sort_values(["ts", "claim_id"])
-        out, now, open_, times = _replay(pdf, now, open_, list(times))
-        state.update((now, open_, times))
-        yield pd.DataFrame({"event_id": key[0], "claim_id": pdf.claim_id.to_numpy(), "state": out})
+        life = state.get if state.exists else NEWBORN
+        pdf = pd.concat(list(batches)).sort_values(["ts", "claim_id"], na_position="first")
+        states = []
+        for _, _, at, kind, stake in _facts(pdf):
+            life = _lived(life, at, kind, stake)
+            states.append(life[0])
+        state.update(life)
+        yield pd.DataFrame({"event_id": key[0], "claim_id": pdf.claim_id.to_numpy(), "state": states})
 
-    return stream.groupBy("event_id").applyInPandasWithState(update, "event_id long, claim_id long, state string", "now string, open int, times array<double>", "append", "NoTimeout")
+    kept = "state string, hour long, day long, bad long, open long, last double"
+    return stream.groupBy("event_id").applyInPandasWithState(update, "event_id long, claim_id long, state string", kept, "append", "NoTimeout")
 
 
 def anomalies(arrived: DataFrame, every: int = 10) -> DataFrame:
@@ -205,27 +241,88 @@ def contributions(stream: DataFrame, events: DataFrame) -> DataFrame:
     return j.select("event_id", "claim_id", outcome.alias("outcome"), F.round(rate * F.col("stake"), 6).alias("reward"))
 
 
-def online_clusters(stream: DataFrame, least: float = 10.0) -> DataFrame:
-    """#202. Change events of online clustering by value: a claim (event_id, claim_id, ts, value) within
-    ``least`` of its event's nearest running mean is absorbed, another creates a cluster."""
+def online_clusters(stream: DataFrame, least: float = 10.0, merge: float = 5.0, ready: int = 3) -> DataFrame:
+    """#202. Change events of online clustering by value, in two levels, of claims (event_id, claim_id, ts, value).
+
+    A claim within ``least`` of the nearest running mean of its event's clusters is ``absorbed`` by that (ties: the
+    older), another is ``created`` as a cluster.  A cluster of ``ready`` claims without a parent is then ``merged`` into
+    the nearest parent whose mean of cluster means is within ``merge``, else a parent is ``created`` (level 2) with it.
+    A claim that a cluster with a parent absorbs makes that ``updated``.  Rows carry the claim that caused them,
+    the level, the number of the cluster or parent, and its claims so far.  Null values are left out.
+    """
+
+    def nearest(means: np.ndarray, value: float, within: float) -> int | None:
+        i = int(np.abs(means - value).argmin()) if len(means) else None
+        return i if i is not None and abs(means[i] - value) <= within else None
 
     def update(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        sums, counts = map(list, state.get) if state.exists else ([], [])
-        pdf = pd.concat(list(batches)).sort_values(["ts", "claim_id"])
+        # per cluster: mean, claims, parent (-1: none); per parent: mean of means, clusters, claims
+        kept = state.get if state.exists else ([], [], [], [], [], [])
+        (means, counts, parents), (upper, clusters, claims) = ([np.array(x, t) for x, t in zip(kept[i : i + 3], types)] for i, types in ((0, (float, int, int)), (3, (float, int, int))))
+        pdf = pd.concat(list(batches)).dropna(subset=["value"]).sort_values(["ts", "claim_id"])
         rows = []
-        for claim, value in zip(pdf.claim_id, pdf.value):
-            means = [s / n for s, n in zip(sums, counts)]
-            i = min(range(len(means)), key=lambda k: (abs(means[k] - value), k), default=None)
-            if i is None or abs(means[i] - value) > least:
-                i, change = len(sums), "created"
-                sums.append(0.0)
-                counts.append(0)
-            else:
-                change = "absorbed"
-            sums[i] += value
+        for claim, value in zip(pdf.claim_id.tolist(), pdf.value.tolist()):
+            i = nearest(means, value, least)
+            change = "created" if i is None else "absorbed"
+            if i is None:
+                i, means, counts, parents = len(means), np.append(means, 0.0), np.append(counts, 0), np.append(parents, -1)
             counts[i] += 1
-            rows.append((key[0], claim, i, change))
-        state.update((sums, counts))
-        yield pd.DataFrame(rows, columns=["event_id", "claim_id", "cluster", "change"])
-
-    return stream.groupBy("event_id").applyInPandasWithState(update, "event_id long, claim_id long, cluster int, change string", "sums array<double>, counts array<long>", "append", "NoTimeout")
+            means[i] += (value - means[i]) / counts[i]
+            rows.append((claim, 1, i, change, counts[i]))
+            p = parents[i]
+            if p >= 0:
+                claims[p] += 1
+                rows.append((claim, 2, p, "updated", claims[p]))
+            elif counts[i] >= ready:
+                p = nearest(upper, means[i], merge)
+                change = "created" if p is None else "merged"
+                if p is None:
+                    p, upper, clusters, claims = len(upper), np.append(upper, 0.0), np.append(clusters, 0), np.append(claims, 0)
+                parents[i] = p
+                clusters[p] += 1
+                upper[p] += (means[i] - upper[p]) / clusters[p]
+                claims[p] += counts[i]
+                rows.append((claim, 2, p, change, claims[p]))
+        state.update(tuple(x.tolist() for x in (means, counts, parents, upper, clusters, claims)))
+        yield pd.DataFrame(rows, columns=["claim_id", "level", "cluster", "change", "size"]).assign(event_id=key[0])[["event_id", "claim_id", "level", "cluster", "change", "size"]]
+
+    kept = "means array<double>, counts array<long>, parents array<long>, upper array<double>, clusters array<long>, claims array<long>"
+    return stream.groupBy("event_id").applyInPandasWithState(update, "event_id long, claim_id long, level int, cluster int, change string, size long", kept, "append", "NoTimeout")
+
+
+def actions(arrived: DataFrame, ticks: DataFrame, least: int = 3) -> DataFrame:
+    """#197 with ticks. What each claim (event_id, claim_id, ts, kind) and tick (event_id, tick) asks for, by the first
+    rule that holds: at the ``least``-th claim FULL_TOPOLOGY, after that INCREMENTAL_TOPOLOGY; at a tick
+    REGENERATE_NARRATIVE if claims came since the last one, the newest within six hours, and that one, if
+    any, is over an hour ago; HIBERNATE after over a day idle; EMIT_THOUGHT where contradictions are over half of the links;
+    else NO_OP.  At equal times claims come before ticks; claims before the ``least``-th give a thought or NO_OP.
+
+    Whether a narrative is stale depends on the one before, so an event's rows go through one task in order, in
+    batches; the counts come from windows.
+    """
+    a = arrived.select("event_id", "claim_id", F.col("ts").alias("at"), "kind")
+    t = ticks.select("event_id", F.lit(None).cast("long").alias("claim_id"), F.col("tick").alias("at"), F.lit(None).cast("string").alias("kind"))
+    w = Window.partitionBy("event_id").orderBy("at", F.col("claim_id").isNull(), "claim_id").rowsBetween(Window.unboundedPreceding, 0)
+    n = lambda k: F.count(F.when(F.col("kind") == k, 1)).over(w)
+    rows = a.unionByName(t).withColumns({
+        "claims": F.count("claim_id").over(w), "corroborated": n("corroboration"), "contradicted": n("contradiction"), "newest": F.max(F.when(F.col("claim_id").isNotNull(), F.col("at"))).over(w),
+    })
+    rows = rows.withColumns({"hours": F.unix_micros("at") / 3.6e9, "idle": (F.unix_micros("at") - F.unix_micros("newest")) / 3.6e9})
+    share = F.col("contradicted") / F.greatest(F.col("corroborated") + F.col("contradicted"), F.lit(1))
+    tick = F.col("claim_id").isNull()
+    rest = F.when(tick & (F.col("idle") > HIBERNATE_HOURS), "HIBERNATE").when(share > CONTRADICTION_SHARE, "EMIT_THOUGHT").otherwise("NO_OP")
+    action = F.when(F.col("claims") == 0, "NO_OP").when(~tick & (F.col("claims") > least), "INCREMENTAL_TOPOLOGY").when(~tick & (F.col("claims") == least), "FULL_TOPOLOGY").otherwise(rest)
+    rows = rows.select("event_id", "claim_id", "at", "claims", "hours", (tick & (F.col("idle") < ACTIVE_HOURS)).alias("active"), action.alias("action"))
+    return rows.repartition("event_id").sortWithinPartitions("event_id", "at", F.col("claim_id").isNull(), "claim_id").mapInPandas(_narrated, "event_id long, claim_id long, at timestamp, action string")
+
+
+def _narrated(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    before, told, told_at = object(), 0, float("-inf")
+    for pdf in batches:
+        out = pdf.action.tolist()
+        for i, (event, n, hours, active) in enumerate(zip(pdf.event_id.tolist(), pdf.claims.tolist(), pdf.hours.tolist(), pdf.active.tolist())):
+            if event != before:
+                before, told, told_at = event, 0, float("-inf")
+            if active and n > told and hours - told_at > NARRATIVE_HOURS:
+                out[i], told, told_at = "REGENERATE_NARRATIVE", n, hours
+        yield pd.DataFrame({"event_id": pdf.event_id, "claim_id": pdf.claim_id, "at": pdf["at"], "action": out})
