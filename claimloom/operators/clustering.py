@@ -18,7 +18,8 @@ from pyspark.sql import functions as F
 from claimloom.functions import vectors as V
 from claimloom.operators.graph import connected_components, cut_lineage
 from claimloom.operators.relational import top_k
-from claimloom.operators.similarity import pairs_within
+from claimloom.operators.scoring import mean_entropy
+from claimloom.operators.similarity import BLOCK_ROWS, pairs_within
 
 
 def _rounds(max_rounds: int | None) -> Iterator[int]:
@@ -83,11 +84,46 @@ def constellations(mentions: DataFrame, min_claims: int = 3, min_pages: int = 2)
     return exclusive_topics(p.join(n, "anchor"), min_claims, min_pages)
 
 
-def anchor_context(mentions: DataFrame, min_claims: int = 5, min_pages: int = 3) -> DataFrame:
-    """#113. Topics around anchors by claims times concentration (claims per event that they touch)."""
-    g = mentions.groupBy("entity_id").agg(F.countDistinct("claim_id").alias("_c"), F.countDistinct("page_id").alias("_p"), F.countDistinct("event_id").alias("_e"))
-    g = g.filter((F.col("_c") >= min_claims) & (F.col("_p") >= min_pages)).select("entity_id", (F.col("_c") * F.col("_c") / F.col("_e")).alias("score"))
-    return exclusive_topics(mentions.join(g, "entity_id").select(F.col("entity_id").alias("anchor"), "claim_id", "page_id", "score"), min_claims, min_pages)
+def anchor_context(mentions: DataFrame, min_claims: int = 5, min_pages: int = 3, links: DataFrame | None = None, left_claims: int = 3, left_pages: int = 2, shared: int = 2) -> DataFrame:
+    """#113. Topics around anchors: entities in ``min_claims`` claims on ``min_pages`` pages, by claims times
+    concentration (claims per page).  An anchor takes its free claims if ``left_claims`` on ``left_pages`` are left.
+
+    With ``links`` (src, dst), topics then absorb free claims that link to one of their claims and share
+    ``shared`` entities with their context, all entities of their claims but the anchor; a claim goes to the best
+    anchor, and what it brings counts from the next round on, until no claim is absorbed.
+    """
+    g = mentions.groupBy("entity_id").agg(F.countDistinct("claim_id").alias("_c"), F.countDistinct("page_id").alias("_p"))
+    g = g.filter((F.col("_c") >= min_claims) & (F.col("_p") >= min_pages)).select("entity_id", (F.col("_c") * F.col("_c") / F.col("_p")).alias("score"))
+    topics = exclusive_topics(mentions.join(g, "entity_id").select(F.col("entity_id").alias("anchor"), "claim_id", "page_id", "score"), left_claims, left_pages)
+    return topics if links is None else _absorbed(topics, mentions, links, shared)
+
+
+def _absorbed(topics: DataFrame, mentions: DataFrame, links: DataFrame, shared: int) -> DataFrame:
+    """``topics`` with the linked claims that share ``shared`` entities with their context."""
+    page = mentions.groupBy("claim_id").agg(F.min("page_id").alias("page_id"))
+    both = links.select("src", "dst").unionByName(links.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).filter("src <> dst").distinct()
+    entities = mentions.select("claim_id", "entity_id").distinct()
+    score = cut_lineage(topics.select("anchor", "score").distinct(), "absorbed")
+    context = lambda got: got.join(entities, "claim_id").select("anchor", "entity_id").filter("anchor <> entity_id").distinct()
+    free = cut_lineage(both.join(topics.select(F.col("claim_id").alias("dst")), "dst", "left_anti"), "absorbed")
+    known, new, out = None, cut_lineage(topics.select("anchor", "claim_id"), "absorbed"), [topics]
+    reached = None
+    while True:
+        known = cut_lineage(context(new) if known is None else known.unionByName(context(new)).distinct(), "absorbed")
+        touched = free.join(new.select(F.col("claim_id").alias("src"), "anchor"), "src").select(F.col("dst").alias("claim_id"), "anchor")
+        # a claim linked to a topic may come to share enough later
+        reached = cut_lineage((touched if reached is None else reached.unionByName(touched)).distinct(), "absorbed")
+        met = reached.join(entities, "claim_id").join(known, ["anchor", "entity_id"], "left_semi").groupBy("claim_id", "anchor").agg(F.count("*").alias("_k")).filter(F.col("_k") >= shared)
+        best = met.join(score, "anchor").groupBy("claim_id").agg(F.max(F.struct("score", "anchor")).alias("_b")).select("_b.anchor", "claim_id", "_b.score")
+        new = cut_lineage(best, "absorbed")
+        if new.isEmpty():
+            break
+        out = _gather(out, new.join(page, "claim_id").select("anchor", "claim_id", "page_id", "score"), "absorbed")
+        taken = new.select("claim_id")
+        free = cut_lineage(free.join(taken.withColumnRenamed("claim_id", "dst"), "dst", "left_anti"), "absorbed")
+        reached = cut_lineage(reached.join(taken, "claim_id", "left_anti"), "absorbed")
+        new = new.select("anchor", "claim_id")
+    return reduce(DataFrame.unionByName, out)
 
 
 def seeded_clusters(mentions: DataFrame, least: int, size: int) -> DataFrame:
@@ -299,16 +335,26 @@ CRITERIA = {
 }
 
 
+#: How much a merge may raise entropy over that of its halves.
+ENTROPY_SLACK = 0.05
+
+
 def layered_matching(units: DataFrame, edges: DataFrame, mentions: DataFrame, criterion: str = "progressive", layers: int | None = None, threshold: float | None = None) -> DataFrame:
     """#122. (id, member, unit): layers of greedy matching over the energy of pairs of units; merged units have
-    the smaller id.  Stops when a layer merges nothing."""
+    the smaller id.  Stops when a layer merges nothing.
+
+    ``entropy`` merges pairs of enough energy whose entropy together is at most that of both by claims and
+    .05, those first that it falls most for; ``mentions`` then has ``page_id`` too.
+    """
     (wc, wx, ws), steps, most = CRITERIA[criterion]
     now = cut_lineage(units.select("id", "member", F.col("id").alias("unit")), "layers")
     for layer in range(layers or most):
         least = threshold if threshold is not None else steps[min(layer, len(steps) - 1)]
-        links = unit_links(now.select(F.col("unit").alias("id"), "member"), edges, mentions, _least_shared(least, ws))
+        grouped = now.select(F.col("unit").alias("id"), "member")
+        links = unit_links(grouped, edges, mentions, _least_shared(least, ws))
         energy = wc * F.col("corr") + wx * F.col("contra") + ws * F.col("shared")
-        won = greedy_matching(links.withColumn("score", energy).filter(F.col("score") >= least))
+        scored = links.withColumn("score", energy).filter(F.col("score") >= least)
+        won = greedy_matching(_entropy_falls(scored, grouped, edges, mentions) if criterion == "entropy" else scored)
         if won.isEmpty():
             break
         to = won.select(F.col("b").alias("unit"), F.col("a").alias("_to"))
@@ -316,6 +362,100 @@ def layered_matching(units: DataFrame, edges: DataFrame, mentions: DataFrame, cr
     return now
 
 
+def inner_links(units: DataFrame, edges: DataFrame) -> DataFrame:
+    """(id, claims, corr, contra): the claims of units (id, member) and the links among them."""
+    m = units.select("id", "member").distinct()
+    x = edges.select("src", "dst", "rel").join(m.select(F.col("member").alias("src"), "id"), "src").join(m.select(F.col("member").alias("dst"), "id"), ["dst", "id"])
+    n = lambda r: F.count(F.when(F.col("rel") == r, 1))
+    inner = x.groupBy("id").agg(n("CORROBORATES").alias("corr"), n("CONTRADICTS").alias("contra"))
+    none = F.lit(0).cast("long")
+    return m.groupBy("id").agg(F.count("*").alias("claims")).join(inner, "id", "left").select("id", "claims", *[F.coalesce(c, none).alias(c) for c in ("corr", "contra")])
+
+
+def _entropy_falls(pairs: DataFrame, units: DataFrame, edges: DataFrame, mentions: DataFrame) -> DataFrame:
+    """(a, b, score): the pairs (a, b, corr, contra) that may merge, with the fall of entropy."""
+    said = units.join(mentions.select(F.col("claim_id").alias("member"), "entity_id", "page_id"), "member")
+    per = said.groupBy("id", F.xxhash64("entity_id").alias("t")).agg(F.count("*").alias("n"))
+    counts = per.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("t", "n"))).alias("m"), F.sum("n").alias("t"), F.sum(F.col("n") * F.col("n")).alias("q"))
+    pages = said.groupBy("id").agg(F.collect_set("page_id").alias("p"))
+    own = inner_links(units, edges).join(counts, "id", "left").join(pages, "id", "left")
+    fields = F.struct("claims", "corr", "contra", "m", "q", "t", F.coalesce("p", F.array().cast(said.select(F.collect_set("page_id")).schema[0].dataType)).alias("p"))
+    own = cut_lineage(own.select("id", fields.alias("u")), "layers")
+
+    def h(claims: Column, corr: Column, contra: Column, squares: Column, total: Column, pages: Column) -> Column:
+        return mean_entropy(claims, corr, contra, F.coalesce(1 - squares / (total * total), F.lit(0.0)), F.size(pages))
+
+    alone = lambda u: h(u["claims"], u["corr"], u["contra"], u["q"], u["t"], u["p"])
+    j = pairs.join(own.select(F.col("id").alias("a"), F.col("u").alias("_a")), "a").join(own.select(F.col("id").alias("b"), F.col("u").alias("_b")), "b")
+    a, b = F.col("_a"), F.col("_b")
+    none = F.lit(0).cast("long")
+    common = F.array_intersect(F.map_keys(a["m"]), F.map_keys(b["m"]))
+    dot = F.coalesce(F.aggregate(common, none, lambda x, t: x + F.element_at(a["m"], t) * F.element_at(b["m"], t)), none)
+    plus = lambda c: F.coalesce(a[c], none) + F.coalesce(b[c], none)
+    total = F.when(plus("t") > 0, plus("t"))
+    after = h(plus("claims"), plus("corr") + F.col("corr"), plus("contra") + F.col("contra"), plus("q") + 2 * dot, total, F.array_union(a["p"], b["p"]))
+    before = (alone(a) * a["claims"] + alone(b) * b["claims"]) / plus("claims")
+    fall = F.round(before - after, 9)
+    return j.select("a", "b", fall.alias("score")).filter(F.col("score") >= -ENTROPY_SLACK)
+
+
+def unit_mass(units: DataFrame, edges: DataFrame) -> DataFrame:
+    """#222. (id, claims, corr, contra, mass) of units (id, member): a tenth a claim, times 1 + coherence (inner
+    corroborations over pairs of claims) + .05 a contradiction, .5 at most."""
+    n = F.col("claims")
+    coherence = F.col("corr") / F.greatest(n * (n - 1) / 2, F.lit(1.0))
+    mass = 0.1 * n * (1 + coherence + F.least(F.lit(0.5), 0.05 * F.col("contra")))
+    return inner_links(units, edges).withColumn("mass", F.round(mass, 6))
+
+
+def layered_components(units: DataFrame, edges: DataFrame, mentions: DataFrame, least: tuple[float, ...] = (1.0, 2.0, 3.0, 4.0, 5.0)) -> DataFrame:
+    """#222. (id, member, unit): components of units by energy, then those of what they became at the next
+    threshold of ``least``, until a layer merges nothing."""
+    now = cut_lineage(units.select("id", "member", F.col("id").alias("unit")), "layers")
+    for e in least:
+        to = energy_components(now.select(F.col("unit").alias("id"), "member"), edges, mentions, e).filter("id <> unit")
+        to = cut_lineage(to.select(F.col("id").alias("unit"), F.col("unit").alias("_to")), "layers")
+        if to.isEmpty():
+            break
+        now = cut_lineage(now.join(to, "unit", "left").select("id", "member", F.coalesce("_to", "unit").alias("unit")), "layers")
+    return now
+
+
+def alike_claims(pairs: DataFrame, mentions: DataFrame, near: float = 0.75, sharing: float = 0.60) -> DataFrame:
+    """#217. The pairs (a, b, cosine) of cosine ``near``, or of ``sharing`` with an entity in common, for
+    ``seed_clusters``.  Entities are looked up for the pairs in between alone."""
+    between = pairs.filter((F.col("cosine") >= sharing) & (F.col("cosine") < near)).select("a", "b")
+    e = mentions.select("claim_id", "entity_id").distinct()
+    met = between.join(e.withColumnRenamed("claim_id", "a"), "a").join(e.withColumnRenamed("claim_id", "b"), ["b", "entity_id"])
+    return pairs.filter(F.col("cosine") >= near).select("a", "b").unionByName(met.select("a", "b")).distinct()
+
+
+def event_merges(events: DataFrame, mentions: DataFrame, least: float = 0.55, weights: tuple[float, float, float] = (0.6, 0.25, 0.15), min_claims: int = 2) -> DataFrame:
+    """#120. (a, b, score): pairs of events (id, claims, vector) of ``min_claims`` that should merge, by cosine, Jaccard
+    of their entities and the mean specificity (1 - mentions over the most of any entity) of shared ones.
+    ``mentions`` (event_id, claim_id, entity_id).  Pairs that share an entity meet; those that share none would need the cosine
+    alone to reach ``least``, and are to be added from a vector join.  ``connected_components`` of the pairs are the
+    merged events.
+    """
+    wc, wj, ws = weights
+    big = events.filter(F.col("claims") >= min_claims).select("id", "vector")
+    f = mentions.groupBy("entity_id").agg(F.countDistinct("claim_id").alias("_f"))
+    f = f.join(F.broadcast(f.agg(F.max("_f").alias("_m")))).select("entity_id", (1 - F.col("_f") / F.col("_m")).alias("_s"))
+    e = mentions.select(F.col("event_id").alias("id"), "entity_id").distinct().join(big.select("id"), "id", "left_semi").join(f, "entity_id")
+    n = e.groupBy("id").agg(F.count("*").alias("n"))
+    side = lambda c: big.join(n, "id").select(F.col("id").alias(c), V.unit(F.col("vector")).alias(f"v{c}"), F.col("n").alias(f"n{c}"))
+    # the events of a frequent entity are dealt out in blocks, each of which meets all of them; sets are too large to travel
+    blocks = e.groupBy("entity_id").agg(F.ceil(F.count("*") / BLOCK_ROWS).alias("_blocks"))
+    dealt = e.join(blocks, "entity_id")
+    left = dealt.select(F.col("id").alias("a"), "entity_id", "_s", F.pmod(F.xxhash64("id"), "_blocks").alias("_block"))
+    right = dealt.select(F.col("id").alias("b"), "entity_id", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_blocks") - 1)).alias("_block"))
+    met = left.join(right, ["entity_id", "_block"]).filter("a < b").groupBy("a", "b").agg(F.count("*").alias("_k"), F.avg("_s").alias("_s"))
+    j = met.join(side("a"), "a").join(side("b"), "b")
+    cosine = F.coalesce(V.dot(F.col("va"), F.col("vb")), F.lit(0.0))
+    score = wc * cosine + wj * F.col("_k") / (F.col("na") + F.col("nb") - F.col("_k")) + ws * F.col("_s")
+    return j.select("a", "b", F.round(score, 6).alias("score")).filter(F.col("score") >= least)
+
+
 def energy_components(units: DataFrame, edges: DataFrame, mentions: DataFrame, least: float = 2.0) -> DataFrame:
     """#222. (id, unit): components of units over pairs with energy 2 corr + contra + .5 shared of ``least``."""
     links = unit_links(units, edges, mentions, _least_shared(least, 0.5)).filter(2 * F.col("corr") + F.col("contra") + 0.5 * F.col("shared") >= least)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from claimloom.functions import text as T
+from claimloom.functions import vectors as V
 from claimloom.operators.relational import top_k
 
 # Source types of knowledge-base classes.
@@ -290,11 +291,15 @@ def event_state(claims: DataFrame, edges: DataFrame) -> DataFrame:
 def unit_entropy(units: DataFrame, diversity: DataFrame, alpha: float = 1.0, beta: float = 2.0, gamma: float = 0.5) -> DataFrame:
     """#105. alpha diversity - beta coherence - gamma min(1, pages / 5) of units; 0 for one claim.
     ``diversity`` (id, diversity) is 1 less the Herfindahl index of entity mentions."""
-    n = F.col("claims")
-    coherence = clamp((F.col("corr") - 0.5 * F.col("contra")) / F.greatest(n * (n - 1) / 2, F.lit(1.0)) + 0.1, 0.0, 1.0)
     j = units.join(diversity, "id", "left")
-    e = alpha * F.coalesce("diversity", F.lit(0.0)) - beta * coherence - gamma * F.least(F.lit(1.0), F.col("pages") / 5)
-    return j.select("id", F.round(F.when(n < 2, 0.0).otherwise(e), 6).alias("entropy"))
+    e = mean_entropy(F.col("claims"), F.col("corr"), F.col("contra"), F.coalesce("diversity", F.lit(0.0)), F.col("pages"), alpha, beta, gamma)
+    return j.select("id", F.round(e, 6).alias("entropy"))
+
+
+def mean_entropy(claims: Column, corr: Column, contra: Column, diversity: Column, pages: Column, alpha: float = 1.0, beta: float = 2.0, gamma: float = 0.5) -> Column:
+    """#105. The entropy of a set of claims from its counts; see ``unit_entropy``."""
+    coherence = clamp((corr - 0.5 * contra) / F.greatest(claims * (claims - 1) / 2, F.lit(1.0)) + 0.1, 0.0, 1.0)
+    return F.when(claims < 2, 0.0).otherwise(alpha * diversity - beta * coherence - gamma * F.least(F.lit(1.0), pages / 5))
 
 
 def entity_diversity(members: DataFrame, mentions: DataFrame) -> DataFrame:
@@ -388,3 +393,25 @@ def entropy_checks(scored: DataFrame) -> DataFrame:
     good, bad = F.col("n_corr") > 0, F.col("n_contra") > 0
     g = scored.agg(m(good).alias("corroborated"), m(~good & ~bad).alias("isolated"), m(bad).alias("contested"), m(good & ~bad).alias("uncontested"))
     return g.withColumns({"corroboration_lowers": F.col("corroborated") < F.col("isolated"), "contradiction_raises": F.col("contested") > F.col("uncontested")})
+
+
+def best_sub_events(candidates: DataFrame, claim_entities: DataFrame, event_entities: DataFrame, claim_vectors: DataFrame, event_vectors: DataFrame, over: float = 0.5, weights: tuple[float, float] = (0.4, 0.6)) -> DataFrame:
+    """#94. (claim_id, sub_event, score): for each claim the best of its ``candidates`` (claim_id, sub_event), if its score
+    is ``over``; ties go to the smaller event.
+
+    The score is the number of shared entities over that of the larger set, mixed with the cosine where there is
+    one that isn't 0.  Entities are (claim_id, entity_id) and (sub_event, entity_id), vectors (claim_id, vector) and
+    (sub_event, vector) with one row a key.
+    """
+    we, wv = weights
+    ec, ee = claim_entities.select("claim_id", "entity_id").distinct(), event_entities.select("sub_event", "entity_id").distinct()
+    pairs = candidates.select("claim_id", "sub_event").distinct()
+    met = pairs.join(ec, "claim_id").join(ee, ["sub_event", "entity_id"], "left_semi").groupBy("claim_id", "sub_event").agg(F.count("*").alias("_k"))
+    nc, ne = ec.groupBy("claim_id").agg(F.count("*").alias("_nc")), ee.groupBy("sub_event").agg(F.count("*").alias("_ne"))
+    j = pairs.join(met, ["claim_id", "sub_event"], "left").join(nc, "claim_id", "left").join(ne, "sub_event", "left")
+    j = j.join(claim_vectors.select("claim_id", V.unit(F.col("vector")).alias("_vc")), "claim_id", "left").join(event_vectors.select("sub_event", V.unit(F.col("vector")).alias("_ve")), "sub_event", "left")
+    overlap = F.coalesce(F.col("_k") / F.greatest("_nc", "_ne"), F.lit(0.0))
+    cosine = F.coalesce(V.dot(F.col("_vc"), F.col("_ve")), F.lit(0.0))
+    score = F.when(cosine == 0, overlap).otherwise(we * overlap + wv * cosine)
+    scored = j.select("claim_id", "sub_event", F.round(score, 6).alias("score")).filter(F.col("score") > over)
+    return top_k(scored, ["claim_id"], [F.desc("score"), F.asc("sub_event")], 1).select("claim_id", "sub_event", "score")

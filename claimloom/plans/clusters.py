@@ -121,7 +121,7 @@ def _(s, d):
 
 @q("q113_anchor_context", None)
 def _(s, d):
-    return C.anchor_context(X.kg_mentions(s, d), 5, 3).select("anchor", "claim_id")
+    return C.anchor_context(X.kg_mentions(s, d), 5, 3, X.kg_claim_edges(s, d)).select("anchor", "claim_id")
 
 
 SEEDED = "SELECT DISTINCT entity_id AS id, claim_id AS member FROM kg_mentions WHERE entity_id IN (SELECT entity_id FROM kg_mentions GROUP BY ALL HAVING count(*) >= 5)"
@@ -248,6 +248,12 @@ def _(s, d):
     return C.seed_clusters(vpairs(s, d, 0.25).select("a", "b"), w)
 
 
+@q("q217_alike_claims", "SELECT a, b FROM kg_vpairs WHERE cosine >= 0.3 OR cosine >= 0.2 AND a % 5 = b % 5", kg_vecs=VECS, kg_vpairs=VPAIRS)
+def _(s, d):
+    m = vecs(s, d).select(F.col("vec_id").alias("claim_id"), F.pmod("vec_id", F.lit(5)).alias("entity_id"))
+    return C.alike_claims(vpairs(s, d), m, 0.3, 0.2)
+
+
 @q("q218_number_disagreement", """SELECT src, dst FROM kg_claim_edges JOIN kg_claims a ON src = a.claim_id JOIN kg_claims b ON dst = b.claim_id WHERE a.value <> b.value AND a.value % 4 = b.value % 4 AND a.part_entity = b.part_entity""")
 def _(s, d):
     c = X.kg_claims(s, d)
@@ -284,6 +290,18 @@ def _(s, d):
     return C.energy_components(*_page_units(s, d, F.lit(True)), 2.0)
 
 
+@q("q222_layered_components", None)
+def _(s, d):
+    u = X.kg_claims(s, d).select(F.col("claim_id").alias("id"), F.col("claim_id").alias("member"))
+    return C.layered_components(u, X.kg_claim_edges(s, d), X.kg_mentions(s, d)).select("id", "unit")
+
+
+@q("q222_unit_mass", """SELECT id, claims, corr, contra, round(0.1::DOUBLE * claims * (1 + corr / greatest(claims * (claims - 1) / 2, 1::DOUBLE) + least(0.5::DOUBLE, 0.05::DOUBLE * contra)), 6) AS mass FROM (
+SELECT n.event_id AS id, n.claims, COALESCE(corr, 0) AS corr, COALESCE(contra, 0) AS contra FROM (SELECT event_id, count(*) AS claims FROM kg_claims GROUP BY ALL) n LEFT JOIN (SELECT event_id, count(*) FILTER (WHERE rel = 'CORROBORATES') AS corr, count(*) FILTER (WHERE rel = 'CONTRADICTS') AS contra FROM kg_claim_edges GROUP BY ALL) e ON n.event_id = e.event_id)""")
+def _(s, d):
+    return C.unit_mass(X.kg_claims(s, d).select(F.col("event_id").alias("id"), F.col("claim_id").alias("member")), X.kg_claim_edges(s, d))
+
+
 @q("q223_best_pair_agglomeration", None)
 def _(s, d):
     return C.best_pair_agglomeration(*_page_units(s, d, F.lit(True)))
@@ -302,3 +320,14 @@ def _(s, d):
     j = k.join(u.select(F.col("id").alias("a"), F.col("claims").alias("ca"), F.col("entities").alias("ea")), "a").join(u.select(F.col("id").alias("b"), F.col("claims").alias("cb"), F.col("entities").alias("eb")), "b")
     score = 0.6 * (1 - F.abs(F.col("ca") - F.col("cb")) / F.greatest("ca", "cb")) + 0.25 * F.col("k") / (F.col("ea") + F.col("eb") - F.col("k"))
     return j.select("a", "b", F.round(score, 6).alias("score")).filter("score >= 0.58")
+
+
+@q("q120_event_affinity", f"""SELECT a, b, score FROM (SELECT p.a, p.b, round(0.6::DOUBLE * COALESCE({COS.replace("round(", "(").replace(", 6)", ")")}, 0) + 0.25::DOUBLE * k / (x.n + y.n - k) + 0.15::DOUBLE * s, 6) AS score FROM (
+SELECT x.event_id AS a, y.event_id AS b, count(*) AS k, avg(x.s) AS s FROM kg_es x JOIN kg_es y ON x.entity_id = y.entity_id AND x.event_id < y.event_id GROUP BY ALL) p
+JOIN kg_en x ON p.a = x.event_id JOIN kg_en y ON p.b = y.event_id LEFT JOIN kg_vecs a ON p.a = a.vec_id LEFT JOIN kg_vecs b ON p.b = b.vec_id) WHERE score >= 0.3""", kg_vecs=VECS,
+   kg_es="SELECT * FROM (SELECT DISTINCT event_id, entity_id FROM kg_mentions) JOIN (SELECT entity_id, 1 - f::DOUBLE / max(f) OVER () AS s FROM (SELECT entity_id, count(DISTINCT claim_id) AS f FROM kg_mentions GROUP BY ALL)) USING (entity_id) WHERE event_id IN (SELECT event_id FROM kg_claims GROUP BY ALL HAVING count(*) >= 2)",
+   kg_en="SELECT event_id, count(*) AS n FROM kg_es GROUP BY ALL")
+def _(s, d):
+    e = X.kg_claims(s, d).groupBy(F.col("event_id").alias("id")).agg(F.count("*").alias("claims"))
+    e = e.join(vecs(s, d).select(F.col("vec_id").alias("id"), F.col("v").alias("vector")), "id", "left")
+    return C.event_merges(e, X.kg_mentions(s, d), 0.3)

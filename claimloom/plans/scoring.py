@@ -179,6 +179,24 @@ def _(s, d):
     return top_k(g, ["event_id"], [F.desc("n"), F.asc("topic_key")], 2).select("event_id", "topic_key", "n", "best")
 
 
+SUBS = "SELECT event_id || ':' || topic_key AS sub_event, event_id, topic_key, min(CAST(substr(part_entity, 2) AS BIGINT)) AS vec_id, list_distinct(flatten(list([part_entity, supp_entity]))) AS ents FROM kg_claims GROUP BY ALL"
+VEC = "list_dot_product(a.v, b.v) / sqrt(list_dot_product(a.v, a.v) * list_dot_product(b.v, b.v))"
+
+
+@q("q094_best_sub_events", f"""SELECT claim_id, sub_event, score FROM (SELECT *, row_number() OVER (PARTITION BY claim_id ORDER BY score DESC, sub_event) AS r FROM (SELECT claim_id, sub_event, round(CASE WHEN COALESCE(c, 0) = 0 THEN o ELSE 0.4::DOUBLE * o + 0.6::DOUBLE * c END, 6) AS score FROM (
+SELECT k.claim_id, s.sub_event, len(list_intersect(s.ents, [k.part_entity, k.supp_entity]))::DOUBLE / greatest(2, len(s.ents)) AS o, {VEC} AS c FROM kg_claims k JOIN kg_subs s ON k.event_id = s.event_id AND k.topic_key <> s.topic_key
+LEFT JOIN kg_vecs a ON CAST(substr(k.part_entity, 2) AS BIGINT) = a.vec_id LEFT JOIN kg_vecs b ON s.vec_id = b.vec_id)) WHERE score > 0.15) WHERE r = 1""", kg_subs=SUBS, kg_vecs="SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings")
+def _(s, d):
+    c = X.kg_claims(s, d).withColumn("vec_id", F.expr("CAST(substr(part_entity, 2) AS BIGINT)"))
+    name = F.concat_ws(":", "event_id", "topic_key")
+    sub = c.groupBy("event_id", "topic_key").agg(F.min("vec_id").alias("vec_id")).withColumn("sub_event", name)
+    pairs = c.select("claim_id", "event_id", F.col("topic_key").alias("_t")).join(sub, "event_id").filter("_t <> topic_key")
+    said = X.kg_mentions(s, d).select("claim_id", "entity_id")
+    inside = c.select(name.alias("sub_event"), F.explode(F.array("part_entity", "supp_entity")).alias("entity_id"))
+    v = X.read(s, d, "embeddings").select("vec_id", F.col("embedding").alias("vector"))
+    return S.best_sub_events(pairs, said, inside, c.select("claim_id", "vec_id").join(v, "vec_id"), sub.select("sub_event", "vec_id").join(v, "vec_id"), 0.15)
+
+
 @q("q095_duplicate_corroboration", "SELECT c.claim_id, round(least(0.99::DOUBLE, confidence + 0.1::DOUBLE * sqrt(n)), 6) AS confidence FROM kg_claims c JOIN (SELECT dst AS claim_id, count(*) AS n FROM kg_claim_edges WHERE rel = 'CORROBORATES' GROUP BY ALL) k ON c.claim_id = k.claim_id")
 def _(s, d):
     k = X.kg_claim_edges(s, d).filter("rel = 'CORROBORATES'").groupBy(F.col("dst").alias("claim_id")).agg(F.count("*").alias("n"))

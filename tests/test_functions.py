@@ -3,6 +3,7 @@
 import itertools
 import math
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -243,6 +244,83 @@ def test_layers_of_matching_are_those_of_brute_force(spark, monkeypatch):
     assert got == unit and set(unit.values()) == {0}
 
 
+def entropy_of(claims, edges, mentions):
+    """Entropy of a set of claims, from the formula."""
+    if len(claims) < 2:
+        return 0.0
+    n = lambda rel: sum(a in claims and b in claims and r == rel for a, b, r in edges)
+    coherence = min(1.0, max(0.0, (n("CORROBORATES") - 0.5 * n("CONTRADICTS")) / (len(claims) * (len(claims) - 1) / 2) + 0.1))
+    counts = Counter(e for c, e, _ in mentions if c in claims)
+    total = sum(counts.values())
+    diversity = 1 - sum((k / total) ** 2 for k in counts.values()) if total else 0.0
+    return diversity - 2 * coherence - 0.5 * min(1.0, len({p for c, _, p in mentions if c in claims}) / 5)
+
+
+def test_matching_by_entropy_is_that_of_brute_force(spark):
+    rng = random.Random(21)
+    edges = sorted({(*sorted(rng.sample(range(24), 2)), rng.choice(["CORROBORATES"] * 3 + ["CONTRADICTS"])) for _ in range(40)})
+    mentions = sorted({(c, f"P{rng.randrange(9)}", c // 3) for c in range(22) for _ in range(2)})
+    unit, merged, refused = {i: i for i in range(24)}, 0, 0
+    for _ in range(8):
+        of = {}
+        for c, u in unit.items():
+            of.setdefault(u, set()).add(c)
+        falls = {}
+        for (a, b), e in energies(unit, edges, [m[:2] for m in mentions], 2, 0, 0.5).items():
+            before = sum(len(of[u]) * entropy_of(of[u], edges, mentions) for u in (a, b)) / len(of[a] | of[b])
+            fall = round(before - entropy_of(of[a] | of[b], edges, mentions), 9)
+            if e >= 0.5 and fall >= -0.05:
+                falls[a, b] = fall
+            refused += e >= 0.5 and fall < -0.05
+        used, to = set(), {}
+        for (a, b), _ in sorted(falls.items(), key=lambda x: (-x[1], x[0])):
+            if not used & {a, b}:
+                used |= {a, b}
+                to[b] = a
+        merged += len(to)
+        unit = {c: to.get(u, u) for c, u in unit.items()}
+    units = spark.createDataFrame([(i, i) for i in range(24)], "id long, member long")
+    e, m = spark.createDataFrame(edges, "src long, dst long, rel string"), spark.createDataFrame(mentions, "claim_id long, entity_id string, page_id long")
+    got = {r.member: r.unit for r in C.layered_matching(units, e.coalesce(1), m.coalesce(1), "entropy").collect()}
+    assert got == unit and merged and refused
+
+
+def test_layers_of_components_are_those_of_brute_force(spark):
+    rng = random.Random(22)
+    edges = sorted({(*sorted(rng.sample(range(40), 2)), rng.choice(["CORROBORATES", "CONTRADICTS"])) for _ in range(22)})
+    mentions = sorted({(c, f"P{rng.randrange(30)}") for c in range(40) for _ in range(2)})
+    unit = {i: i for i in range(40)}
+    for least in (1, 2, 3, 4, 5):
+        pairs = {p for p, e in energies(unit, edges, mentions, 2, 1, 0.5).items() if e >= least}
+        for _ in range(40):
+            for a, b in pairs:
+                low = min(unit[a], unit[b])
+                unit = {c: low if u in (unit[a], unit[b]) else u for c, u in unit.items()}
+        if not pairs:
+            break
+    units = spark.createDataFrame([(i, i) for i in range(40)], "id long, member long")
+    e, m = spark.createDataFrame(edges, "src long, dst long, rel string"), spark.createDataFrame(mentions, "claim_id long, entity_id string")
+    got = {r.id: r.unit for r in C.layered_components(units, e.coalesce(1), m.coalesce(1)).collect()}
+    assert got == unit and 1 < len(set(unit.values())) < 40
+
+
+def test_anchors_absorb_linked_claims_of_their_context(spark):
+    """Anchor A has claims 0-4, anchor B 5-9; then by rounds: 10 (two of A's context, linked), 11 by what 10
+    brought, 12 is linked to both and goes to the better anchor, 13 shares one entity, 14 has no link."""
+    said = {**{i: "A x y" for i in range(6)}, **{i: "B x z" for i in range(6, 11)}, 11: "x y u v", 12: "u v", 13: "x z y", 14: "x w", 15: "x y"}
+    mentions = [(c, e, c % 3) for c, es in said.items() for e in es.split()]
+    links = [(0, 11), (11, 12), (1, 13), (7, 13), (0, 14), (15, 15)]
+    m = spark.createDataFrame(mentions, "claim_id long, entity_id string, page_id long")
+    frames = m.filter("entity_id in ('A', 'B')"), spark.createDataFrame(links, "src long, dst long")
+    topics = C.anchor_context(frames[0])
+    got = {r.claim_id: r.anchor for r in C._absorbed(topics, m, frames[1], 2).collect()}
+    assert got == {**{i: "A" for i in range(6)}, **{i: "B" for i in range(6, 11)}, 11: "A", 12: "A", 13: "A"}
+    # an anchor of enough claims in all takes three free ones on two pages, not two
+    left = [(c, "A", c % 3) for c in range(9)] + [(c, "B", c % 3) for c in (*range(4), 9, 10, 11)] + [(c, "C", c % 3) for c in (*range(4, 9), 12, 13)]
+    got = C.anchor_context(spark.createDataFrame(left, "claim_id long, entity_id string, page_id long")).collect()
+    assert {(r.anchor, r.claim_id) for r in got} == {("A", c) for c in range(9)} | {("B", c) for c in (9, 10, 11)}
+
+
 def test_agglomeration_is_that_of_brute_force(spark, monkeypatch):
     """A chain and pairs of units; 20 merges of the 26 that have enough energy."""
     edges = [(2 * i, 2 * i + 1, "CORROBORATES") for i in range(20) for _ in range(1 + i % 3)] + [(i, i + 1, "CONTRADICTS") for i in range(40, 46)]
