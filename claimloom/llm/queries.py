@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimloom.llm import decontaminate, fertility, mixing, near_dedup, quality_gam, sharding, token_counts, token_ids, url_filter, warc
+from claimloom.llm import decontaminate, fertility, mixing, near_dedup, prefix_trie, quality_gam, sharding, spelling, token_counts, token_ids, toxicity, url_filter, warc
 from claimloom.llm.common import shared_dir, table
 
 
@@ -82,6 +82,21 @@ def op10_lpt_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(docs).drop("text")
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie_of(prefix_trie.rebuilt(table(spark, sf_dir, "conversations")))
+
+
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(4))
+    scored = toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), train=part != 2)
+    return scored.select("doc_id", (part == 2).alias("held_out"), "score", "predicted")
+
+
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = spelling.slipped_words(table(spark, sf_dir, "documents")).filter(F.col("n") >= 2)
+    return spelling.spelling_forms(words)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -99,6 +114,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_fertility": op8_fertility,
     "op9_wu_manber": op9_wu_manber,
     "op10_lpt_shards": op10_lpt_shards,
+    "op11_prefix_trie": op11_prefix_trie,
+    "op12_toxicity": op12_toxicity,
+    "op13_spelling": op13_spelling,
     "pipeline": pipeline,
 }
 
@@ -159,4 +177,36 @@ WITH c AS (
 SELECT c.page_id, c.fetched_at, b.pattern, b.action, b.listed_at, COALESCE(b.action <> 'block', TRUE) AS kept FROM c LEFT JOIN b ON c.page_id = b.page_id
 """
 
-ORACLES: dict[str, str] = {"op6_mixing": OP6_SQL, "op7_url_filter": OP7_SQL}
+OP11_SQL = r"""
+WITH t AS (
+  SELECT conv_id, sha256(length(COALESCE(role, '')) || ':' || COALESCE(role, '') || COALESCE(text, '')) AS turn_id, strlen(COALESCE(text, '')) AS bytes,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS p
+  FROM conversations WHERE conv_id IS NOT NULL
+), c AS (
+  SELECT conv_id, conv_id - conv_id % 5 AS base,
+    xor(list_reduce([4294967295::UBIGINT] || list_transform(string_split(conv_id::VARCHAR, ''), lambda x: ord(x)::UBIGINT),
+      lambda s, b: list_reduce([xor(s, b), 0, 0, 0, 0, 0, 0, 0, 0]::UBIGINT[], lambda x, y: xor(x >> 1, 3988292384::UBIGINT * (x & 1)))), 4294967295::UBIGINT) % 9 AS h
+  FROM (SELECT DISTINCT conv_id FROM t)
+), r AS (
+  SELECT conv_id, turn_id, bytes, row_number() OVER (PARTITION BY conv_id ORDER BY p) AS depth FROM (
+    SELECT c.conv_id, turn_id, bytes, p FROM c JOIN t ON t.conv_id = c.base AND p <= h
+    UNION ALL SELECT c.conv_id, turn_id, bytes, p FROM c JOIN t ON t.conv_id = c.conv_id AND p > h)
+), m AS (
+  SELECT conv_id, depth, bytes, string_agg(turn_id, '') OVER (PARTITION BY conv_id ORDER BY depth) AS key FROM r
+  UNION ALL SELECT conv_id, 0, 0, '' FROM c
+), l AS (SELECT conv_id, max(depth) AS len FROM m GROUP BY conv_id),
+n AS (
+  SELECT key, depth, min(m.conv_id) AS conv_id, count(*) AS n_convs, any_value(bytes) AS bytes,
+    sha256(COALESCE(string_agg(m.conv_id::VARCHAR, ',' ORDER BY m.conv_id) FILTER (WHERE len = depth), '')) AS ends_sha256
+  FROM m JOIN l USING (conv_id) GROUP BY key, depth
+), k AS (SELECT left(key, length(key) - 64) AS key, count(*) AS n_children FROM n WHERE depth > 0 GROUP BY 1),
+w AS (SELECT n.*, COALESCE(n_children, 0) AS n_children FROM n LEFT JOIN k USING (key)),
+s AS (
+  SELECT a.key, count(*) FILTER (WHERE w.n_children = 0) AS n_leaves, sum((w.n_convs - 1) * w.bytes)::BIGINT AS saved_tokens
+  FROM w JOIN m a ON a.conv_id = w.conv_id AND a.depth <= w.depth GROUP BY a.key
+)
+SELECT w.conv_id, w.depth, p.conv_id AS parent_conv_id, w.n_convs, w.n_children, n_leaves, saved_tokens, w.ends_sha256
+FROM w JOIN s USING (key) LEFT JOIN n p ON w.depth > 0 AND p.key = left(w.key, length(w.key) - 64)
+"""
+
+ORACLES: dict[str, str] = {"op6_mixing": OP6_SQL, "op7_url_filter": OP7_SQL, "op11_prefix_trie": OP11_SQL}
