@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from claimloom.functions import vectors as V
 from claimloom.operators.graph import connected_components, cut_lineage
+from claimloom.operators.overlap import overlaps
 from claimloom.operators.relational import top_k
 from claimloom.operators.scoring import mean_entropy
 from claimloom.operators.similarity import BLOCK_ROWS, pairs_within
@@ -269,57 +270,79 @@ def merged_units(units: DataFrame, least: float = 0.60, min_size: int = 3) -> Da
     return units.join(comp, "id", "left").select("id", F.coalesce("component", "id").alias("event"))
 
 
-def greedy_matching(edges: DataFrame, max_rounds: int | None = None) -> DataFrame:
+#: Pairs that one task takes to the end.
+MATCHED_AT_ONCE = 1_000_000
+
+
+def greedy_matching(edges: DataFrame, max_rounds: int | None = None, scattered: bool = False, at_once: int = 0) -> DataFrame:
     """Best-first disjoint pairs of (a, b, score): pairs that are the best of both ends are taken, their ends
     leave, and so on until none is left; the same as going through all pairs from the best down.
     A row with a null end or equal ends is no pair.  Ties go by (a, b), so that n tied units take up to n / 2
-    rounds; raises if ``max_rounds`` is given and doesn't suffice."""
-    live = cut_lineage(edges.select("a", "b", "score").filter("a <> b"), "matching")
+    rounds; with ``scattered`` by a hash of (a, b) before, which takes few.  Once ``at_once`` pairs or fewer are
+    left, one task takes these from the best down, with the same result.  Raises if ``max_rounds`` is given and
+    doesn't suffice."""
+    tie = F.xxhash64("a", "b") if scattered else F.lit(0).cast("long")
+    live = cut_lineage(edges.select("a", "b", "score", tie.alias("_t")).filter("a <> b"), "matching")
     out, left = [], None
+
+    def rest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        taken: set = set()
+        for pdf in batches:  # sorted, the best first
+            keep = []
+            for n, (x, y) in enumerate(zip(pdf["a"].tolist(), pdf["b"].tolist())):
+                if x not in taken and y not in taken:
+                    taken.update((x, y))
+                    keep.append(n)
+            yield pdf.iloc[keep]
+
     for _ in _rounds(max_rounds):
         left = _fewer(live, left, "no pair is the best of both ends")
         if not left:
             break
-        ends = live.select(F.col("a").alias("v"), "a", "b", "score").unionByName(live.select(F.col("b").alias("v"), "a", "b", "score"))
-        # the order: score down, then a and b up
-        best = ends.groupBy("v").agg(F.min(F.struct((-F.col("score")).alias("s"), "a", "b")).alias("p")).select("v", "p.a", "p.b")
+        if left <= at_once:
+            ordered = live.orderBy(F.desc("score"), "_t", "a", "b").coalesce(1).select("a", "b", "score")
+            out.append(cut_lineage(ordered.mapInPandas(rest, ordered.schema), "matching"))
+            break
+        ends = live.select(F.col("a").alias("v"), "a", "b", "score", "_t").unionByName(live.select(F.col("b").alias("v"), "a", "b", "score", "_t"))
+        best = ends.groupBy("v").agg(F.min(F.struct((-F.col("score")).alias("s"), "_t", "a", "b")).alias("p")).select("v", "p.a", "p.b")
         both = best.groupBy("a", "b").agg(F.count("*").alias("_n")).filter("_n = 2").select("a", "b")
-        won = cut_lineage(both.join(live, ["a", "b"]), "matching")
+        won = cut_lineage(both.join(live, ["a", "b"]).select("a", "b", "score"), "matching")
         out = _gather(out, won, "matching")
         gone = won.select(F.col("a").alias("v")).union(won.select("b"))
         live = live.join(gone.withColumnRenamed("v", "a"), "a", "left_anti").join(gone.withColumnRenamed("v", "b"), "b", "left_anti")
-        live = cut_lineage(live.select("a", "b", "score"), "matching")
+        live = cut_lineage(live.select("a", "b", "score", "_t"), "matching")
     return reduce(DataFrame.unionByName, out) if out else edges.select("a", "b", "score").limit(0)
 
 
-def unit_links(units: DataFrame, edges: DataFrame, mentions: DataFrame, least_shared: int = 1) -> DataFrame:
-    """(a, b, corr, contra, shared) of pairs of units (id, member) with links across, or with at least
-    ``least_shared`` entities in common.
+def unit_sets(units: DataFrame, mentions: DataFrame) -> DataFrame:
+    """(id, token): the distinct entities of units (id, member), told apart by 64-bit hashes."""
+    return units.select("id", "member").join(mentions.select(F.col("claim_id").alias("member"), F.xxhash64("entity_id").alias("token")), "member").select("id", "token").distinct()
 
-    Of two sets with t members in common each has one of them besides its t - 1 most frequent ones: only
-    the other entities route pairs, the frequent ones are counted alone.  A pair is made at the first
-    such entity that it shares.  Entities are told apart by 64-bit hashes.
-    """
+
+def cross_links(units: DataFrame, edges: DataFrame) -> DataFrame:
+    """(a, b, corr, contra): the links between members of different units (id, member), a < b."""
     m = units.select("id", "member")
     x = edges.select("src", "dst", "rel").join(m.select(F.col("member").alias("src"), F.col("id").alias("_a")), "src").join(m.select(F.col("member").alias("dst"), F.col("id").alias("_b")), "dst").filter("_a <> _b")
     n = lambda r: F.count(F.when(F.col("rel") == r, 1))
-    cross = x.groupBy(F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b")).agg(n("CORROBORATES").alias("corr"), n("CONTRADICTS").alias("contra"))
-    e = m.join(mentions.select(F.col("claim_id").alias("member"), F.xxhash64("entity_id").alias("t")), "member").select("id", "t").distinct()
-    ranked = e.join(e.groupBy("t").agg(F.count("*").alias("n")), "t").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("n", "t"))).alias("_r"))
-    own = cut_lineage(ranked.select("id", F.transform("_r", lambda r: r["t"]).alias("_e")), "units")
+    return x.groupBy(F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b")).agg(n("CORROBORATES").alias("corr"), n("CONTRADICTS").alias("contra"))
+
+
+def _linked(cross: DataFrame, sets: DataFrame, alike: DataFrame) -> DataFrame:
+    """(a, b, corr, contra, shared): linked pairs with all that they share, and the pairs (a, b, shared) of ``alike``."""
+    own = sets.groupBy("id").agg(F.collect_list("token").alias("_e"))
     side = lambda c: own.select(F.col("id").alias(c), F.col("_e").alias(f"_{c}"))
     shared = F.coalesce(F.size(F.array_intersect("_a", "_b")), F.lit(0)).cast("long")
     linked = cross.join(side("a"), "a", "left").join(side("b"), "b", "left").select("a", "b", "corr", "contra", shared.alias("shared"))
-    met = side("a").select("a", "_a", rare_of("_a", least_shared)).join(side("b").select("b", "_b", rare_of("_b", least_shared)), "t").filter("a < b")
-    met = met.select("a", "b", "t", F.array_intersect("_a", "_b").alias("_c")).filter((F.size("_c") >= least_shared) & (F.get("_c", F.lit(0)) == F.col("t")))
-    alike = met.join(cross.select("a", "b"), ["a", "b"], "left_anti")
     none = F.lit(0).cast("long")
-    return linked.unionByName(alike.select("a", "b", none.alias("corr"), none.alias("contra"), F.size("_c").cast("long").alias("shared")))
+    rest = alike.join(cross.select("a", "b"), ["a", "b"], "left_anti").select("a", "b", none.alias("corr"), none.alias("contra"), "shared")
+    return linked.unionByName(rest)
 
 
-def rare_of(column: str, least_shared: int) -> Column:
-    """A row for each but the last ``least_shared`` - 1 members of a sorted set."""
-    return F.explode(F.slice(column, F.lit(1), F.greatest(F.size(column) - (least_shared - 1), F.lit(0)))).alias("t")
+def unit_links(units: DataFrame, edges: DataFrame, mentions: DataFrame, least_shared: int = 1) -> DataFrame:
+    """(a, b, corr, contra, shared) of pairs of units (id, member) with links across, or with at least
+    ``least_shared`` entities in common."""
+    sets = cut_lineage(unit_sets(units, mentions), "units")
+    return _linked(cross_links(units, edges), sets, overlaps(sets, sets, least_shared).filter("a < b"))
 
 
 def _least_shared(least: float, weight: float) -> int:
@@ -341,24 +364,49 @@ ENTROPY_SLACK = 0.05
 
 def layered_matching(units: DataFrame, edges: DataFrame, mentions: DataFrame, criterion: str = "progressive", layers: int | None = None, threshold: float | None = None) -> DataFrame:
     """#122. (id, member, unit): layers of greedy matching over the energy of pairs of units; merged units have
-    the smaller id.  Stops when a layer merges nothing.
+    the smaller id.  Ties go by a hash of the pair.  Stops when a layer merges nothing.
 
     ``entropy`` merges pairs of enough energy whose entropy together is at most that of both by claims and
     .05, those first that it falls most for; ``mentions`` then has ``page_id`` too.
+
+    The links across units and the pairs with enough entities in common are kept from layer to layer: links of merged
+    units add up, and only pairs of which a merge touched an end are counted anew.  Thresholds don't fall, so that a
+    pair that isn't kept can't come back untouched.
     """
     (wc, wx, ws), steps, most = CRITERIA[criterion]
     now = cut_lineage(units.select("id", "member", F.col("id").alias("unit")), "layers")
+    as_units = units.select("id", "member")
+    sets = cut_lineage(unit_sets(as_units, mentions), "layers")
+    cross = cut_lineage(cross_links(as_units, edges), "layers")
+    alike, touched = None, sets
     for layer in range(layers or most):
         least = threshold if threshold is not None else steps[min(layer, len(steps) - 1)]
-        grouped = now.select(F.col("unit").alias("id"), "member")
-        links = unit_links(grouped, edges, mentions, _least_shared(least, ws))
+        enough = _least_shared(least, ws)
+        new = overlaps(touched, sets, enough)
+        if alike is None:
+            alike = new.filter("a < b")
+        else:  # of two touched units each finds the other
+            new = new.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "shared").distinct()
+            alike = alike.filter(F.col("shared") >= enough).unionByName(new)
+        alike = cut_lineage(alike, "layers")
         energy = wc * F.col("corr") + wx * F.col("contra") + ws * F.col("shared")
-        scored = links.withColumn("score", energy).filter(F.col("score") >= least)
-        won = greedy_matching(_entropy_falls(scored, grouped, edges, mentions) if criterion == "entropy" else scored)
+        scored = _linked(cross, sets, alike).withColumn("score", energy).filter(F.col("score") >= least)
+        if criterion == "entropy":
+            scored = _entropy_falls(scored, now.select(F.col("unit").alias("id"), "member"), edges, mentions)
+        won = greedy_matching(scored, scattered=True, at_once=MATCHED_AT_ONCE).select("a", "b")
         if won.isEmpty():
             break
-        to = won.select(F.col("b").alias("unit"), F.col("a").alias("_to"))
-        now = cut_lineage(now.join(to, "unit", "left").select("id", "member", F.coalesce("_to", "unit").alias("unit")), "layers")
+        to = won.select(F.col("b").alias("_from"), F.col("a").alias("_to"))
+        moved = lambda df, c: df.join(to, F.col(c) == F.col("_from"), "left").withColumn(c, F.coalesce("_to", c)).drop("_from", "_to")
+        now = cut_lineage(moved(now, "unit"), "layers")
+        sets = cut_lineage(moved(sets, "id").distinct(), "layers")
+        both = moved(moved(cross, "a"), "b").filter("a <> b")
+        cross = both.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.sum("corr").alias("corr"), F.sum("contra").alias("contra"))
+        cross = cut_lineage(cross, "layers")
+        ends = won.select(F.col("a").alias("_v")).union(won.select("b"))
+        for c in ("a", "b"):
+            alike = alike.join(ends, F.col(c) == F.col("_v"), "left_anti")
+        touched = sets.join(won.select(F.col("a").alias("id")), "id", "left_semi")
     return now
 
 

@@ -151,14 +151,6 @@ def claim_priors(claims: DataFrame, pages: DataFrame, publishers: DataFrame, pri
     return j.withColumns({"source_type": F.coalesce("source_type", F.lit("unknown")), "base_prior": F.coalesce("base_prior", F.lit(prior))})
 
 
-def candidates_by_entities(page_entities: DataFrame, event_entities: DataFrame, k: int = 20) -> DataFrame:
-    """#28. For each page the events with most entities in common: an inverted-index join, never all pairs."""
-    p = page_entities.select("page_id", "entity_id").distinct()
-    e = event_entities.select("event_id", "entity_id").distinct()
-    met = p.join(e, "entity_id").groupBy("page_id", "event_id").agg(F.count("*").alias("overlap"))
-    return top_k(met, ["page_id"], [F.desc("overlap"), F.asc("event_id")], k)
-
-
 def involves(mentions: DataFrame) -> DataFrame:
     """#209. Distinct (event, entity)."""
     return mentions.select("event_id", "entity_id").distinct()

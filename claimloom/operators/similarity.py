@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from claimloom.functions import vectors as V
+from claimloom.operators.overlap import top_overlaps
 from claimloom.operators.relational import top_k
 
 
@@ -63,15 +64,14 @@ def sharing_pairs(keys: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
 
 
 def routed_pairs(keys: DataFrame) -> DataFrame:
-    """#33. Candidate pairs (a < b) that share a token of (id, token): an inverted-index join."""
+    """#33. Candidate pairs (a < b) that share a token of (id, token): an inverted-index join.  Where only their
+    number is wanted, ``overlap.partner_counts`` makes no pairs."""
     return sharing_pairs(keys).select("a", "b")
 
 
 def capped_candidates(keys: DataFrame, k: int = 20) -> DataFrame:
     """#34. Each row's first ``k`` candidates by shared tokens, then id."""
-    p = sharing_pairs(keys).select("a", "b", F.size("common").cast("long").alias("shared"))
-    both = p.unionByName(p.select(F.col("b").alias("a"), F.col("a").alias("b"), "shared"))
-    return top_k(both, ["a"], [F.desc("shared"), F.asc("b")], k)
+    return top_overlaps(keys, keys, k, distinct=True)
 
 
 def relate(numbers_a: Column, numbers_b: Column, cosine: Column, specificity: Column) -> Column:

@@ -9,6 +9,7 @@ from claimloom.functions import vectors as V
 from claimloom.operators import aggregates as A
 from claimloom.operators import clustering as C
 from claimloom.operators import graph as G
+from claimloom.operators import overlap as O
 from claimloom.operators import similarity as M
 from claimloom.plans.ctes import with_tables
 from claimloom.plans.registry import query
@@ -62,8 +63,7 @@ ENT = "SELECT claim_id AS id, entity_id AS token FROM kg_mentions"
 
 @q("q033_entity_routing", "SELECT a, count(DISTINCT b) AS partners, max(b) AS last FROM (SELECT x.id AS a, y.id AS b FROM kg_ent x JOIN kg_ent y ON x.token = y.token AND x.id < y.id) GROUP BY a", kg_ent=ENT)
 def _(s, d):
-    pairs = M.routed_pairs(X.kg_mentions(s, d).select(F.col("claim_id").alias("id"), F.col("entity_id").alias("token")))
-    return pairs.groupBy("a").agg(F.count("*").alias("partners"), F.max("b").alias("last"))
+    return O.partner_counts(X.kg_mentions(s, d).select(F.col("claim_id").alias("id"), F.col("entity_id").alias("token")))
 
 
 @q("q033_keyword_routing", r"""SELECT DISTINCT x.id AS a, y.id AS b FROM kg_key x JOIN kg_key y ON x.token = y.token AND x.id < y.id""",
@@ -183,6 +183,12 @@ def _(s, d):
     return C.layered_matching(*_page_units(s, d, F.lit(True)), "progressive")
 
 
+@q("q122_entropy_matching", None)
+def _(s, d):
+    u = X.kg_claims(s, d).select(F.col("event_id").alias("id"), F.col("claim_id").alias("member"))
+    return C.layered_matching(u, X.kg_claim_edges(s, d), X.kg_mentions(s, d), "entropy")
+
+
 @q("q123_page_dissolution", """SELECT page_id, count(component) AS migrated, count(*) FILTER (WHERE component IS NULL) AS remaining FROM kg_claims LEFT JOIN (SELECT DISTINCT unnest([src, dst]) AS component FROM kg_corr JOIN kg_claims a ON src = a.claim_id JOIN kg_claims b ON dst = b.claim_id WHERE a.page_id <> b.page_id) ON claim_id = component GROUP BY page_id""", kg_corr=CORR)
 def _(s, d):
     return G.cross_group_components(corr(s, d), X.kg_claims(s, d).select("claim_id", "page_id"))

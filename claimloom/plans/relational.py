@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from claimloom.operators import overlap as O
 from claimloom.operators import relational as R
 from claimloom.plans.ctes import with_tables
 from claimloom.plans.registry import query
@@ -142,7 +143,7 @@ def _(s, d):
 SELECT p.page_id, e.event_id, count(*) AS overlap FROM (SELECT DISTINCT page_id, entity_id FROM kg_mentions) p JOIN (SELECT DISTINCT event_id, entity_id FROM kg_mentions) e ON p.entity_id = e.entity_id GROUP BY ALL)) WHERE r <= 20""")
 def _(s, d):
     m = X.kg_mentions(s, d)
-    return R.candidates_by_entities(m, m).select("page_id", "event_id", "overlap")
+    return O.candidates_by_entities(m, m).select("page_id", "event_id", "overlap")
 
 
 @q("q035_orphaned_involves", """SELECT DISTINCT event_id, entity_id FROM kg_mentions m WHERE NOT EXISTS (SELECT 1 FROM kg_mentions r JOIN kg_claims c ON r.claim_id = c.claim_id WHERE r.event_id = m.event_id AND r.entity_id = m.entity_id AND c.value > 10)""")

@@ -227,6 +227,27 @@ def energies(unit, edges, mentions, wc, wx, ws):
     return out
 
 
+def by_hash(spark, pairs):
+    """The hash that breaks ties between pairs, for each pair."""
+    rows = spark.createDataFrame(sorted(pairs), "a long, b long").select("a", "b", F.xxhash64("a", "b").alias("h")).collect()
+    return {(r.a, r.b): r.h for r in rows}
+
+
+def test_matching_of_scattered_ties_and_in_one_task(spark):
+    rng = random.Random(16)
+    edges = [(a, b, float(rng.randrange(2))) for a, b in {tuple(sorted(rng.sample(range(60), 2))) for _ in range(300)}]
+    frame = spark.createDataFrame(edges, "a long, b long, score double")
+    for scattered in (False, True):
+        h = by_hash(spark, [e[:2] for e in edges]) if scattered else {}
+        used, want = set(), set()
+        for a, b, s in sorted(edges, key=lambda e: (-e[2], h.get(e[:2], 0), e[0], e[1])):
+            if not used & {a, b}:
+                want.add((a, b))
+                used |= {a, b}
+        for at_once in (0, 100, 10_000):
+            assert {(r.a, r.b) for r in C.greedy_matching(frame, scattered=scattered, at_once=at_once).collect()} == want
+
+
 def test_layers_of_matching_are_those_of_brute_force(spark, monkeypatch):
     """Claims that merge along another bit of their number in each of six layers."""
     edges = [(i, i ^ 1 << k, "CORROBORATES") for k in range(6) for i in range(64) if i < i ^ 1 << k for _ in range(6 - k)] + [(3, 60, "CONTRADICTS")]
@@ -234,7 +255,9 @@ def test_layers_of_matching_are_those_of_brute_force(spark, monkeypatch):
     unit = {i: i for i in range(64)}
     for least in (1, 2, 3, 4, 5, 6):
         used, to = set(), {}
-        for (a, b), e in sorted(energies(unit, edges, mentions, 2, 1, 0.5).items(), key=lambda x: (-x[1], x[0])):
+        now = energies(unit, edges, mentions, 2, 1, 0.5)
+        h = by_hash(spark, now)
+        for (a, b), e in sorted(now.items(), key=lambda x: (-x[1], h[x[0]], x[0])):
             if e >= least and a not in used and b not in used:
                 used |= {a, b}
                 to[b] = a
@@ -256,6 +279,33 @@ def entropy_of(claims, edges, mentions):
     return diversity - 2 * coherence - 0.5 * min(1.0, len({p for c, _, p in mentions if c in claims}) / 5)
 
 
+def test_layers_over_random_units_are_those_of_brute_force(spark):
+    """Many ties; pairs that share enough only after merges; units without entities or links."""
+    rng = random.Random(33)
+    edges = sorted({(*sorted(rng.sample(range(50), 2)), rng.choice(["CORROBORATES", "CONTRADICTS"])) for _ in range(30)})
+    mentions = sorted({(c, f"P{min(rng.randrange(12), rng.randrange(12))}") for c in range(45) for _ in range(3)})
+    unit, sizes = {i: i // 2 for i in range(50)}, []
+    for least in (1, 2, 3, 4, 5, 6):
+        used, to = set(), {}
+        now = energies(unit, edges, mentions, 2, 1, 0.5)
+        h = by_hash(spark, now)
+        for (a, b), e in sorted(now.items(), key=lambda x: (-x[1], h[x[0]], x[0])):
+            if e >= least and not used & {a, b}:
+                used |= {a, b}
+                to[b] = a
+        unit = {c: to.get(u, u) for c, u in unit.items()}
+        sizes.append(len(to))
+        if not to:
+            break
+    frames = (
+        spark.createDataFrame([(i // 2, i) for i in range(50)], "id long, member long"),
+        spark.createDataFrame(edges, "src long, dst long, rel string"),
+        spark.createDataFrame(mentions, "claim_id long, entity_id string"),
+    )
+    got = {r.member: r.unit for r in C.layered_matching(*frames).collect()}
+    assert got == unit and sum(n > 0 for n in sizes) > 2
+
+
 def test_matching_by_entropy_is_that_of_brute_force(spark):
     rng = random.Random(21)
     edges = sorted({(*sorted(rng.sample(range(24), 2)), rng.choice(["CORROBORATES"] * 3 + ["CONTRADICTS"])) for _ in range(40)})
@@ -273,7 +323,8 @@ def test_matching_by_entropy_is_that_of_brute_force(spark):
                 falls[a, b] = fall
             refused += e >= 0.5 and fall < -0.05
         used, to = set(), {}
-        for (a, b), _ in sorted(falls.items(), key=lambda x: (-x[1], x[0])):
+        h = by_hash(spark, falls) if falls else {}
+        for (a, b), _ in sorted(falls.items(), key=lambda x: (-x[1], h[x[0]], x[0])):
             if not used & {a, b}:
                 used |= {a, b}
                 to[b] = a
