@@ -354,7 +354,8 @@ def write_ids(docs: DataFrame, path: str, tokenizer_file: str, end_id: int = 0,
         row = next(groups, None)
         while row is not None:
             part, first = row[0], row[1]
-            name = f"{path}/ids-{part:06d}-{first:012d}.rans"
+            # with the number of the try, so that a try never moves a file over another's; the manifest names one try's
+            name = f"{path}/ids-{part:06d}-{first:012d}-{TaskContext.get().taskAttemptId()}.rans"
             made = (0, 0)
 
             def put(out) -> None:

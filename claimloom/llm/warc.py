@@ -180,6 +180,7 @@ def write_archives(records: DataFrame, path: str) -> DataFrame:
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = (tuple(x.as_py() for x in row) for b in batches for row in zip(*(b.column(i) for i in range(4))))
         row, count, number = next(rows, None), 0, 0
+        task = TaskContext.get()
 
         def put(out) -> None:
             nonlocal row, count
@@ -191,7 +192,8 @@ def write_archives(records: DataFrame, path: str) -> DataFrame:
                 row = next(rows, None)
 
         while row is not None:
-            name = f"{path}/part-{TaskContext.get().partitionId():06d}-{number:04d}.warc.gz"
+            # rows come in no fixed order: another try of the task writes files of its own, and the manifest names one try's
+            name = f"{path}/part-{task.partitionId():06d}-{task.taskAttemptId()}-{number:04d}.warc.gz"
             size = common.publish(name, put)
             number += 1
             yield pa.RecordBatch.from_pydict({"path": [name], "records": [count], "bytes": [size]})
