@@ -20,6 +20,8 @@ from claimloom.llm import common
 WEIGHTS = (3, 1, 2)
 #: Rows that a cell of the key range has on average.
 CELL_ROWS = 2_000
+#: The smallest weight of a document; the largest is 1.
+LEAST_WEIGHT = 0.25
 
 
 def word_count(text: str = "text") -> Column:
@@ -29,7 +31,7 @@ def word_count(text: str = "text") -> Column:
 def quality_weight(text: str = "text", size: str = "size") -> Column:
     """A weight from 0.25 to 1: texts whose words are of usual length weigh most."""
     mean = (F.length(F.coalesce(F.col(text), F.lit(""))) + 1) / F.greatest(F.col(size), F.lit(1)) - 1
-    return F.greatest(F.lit(0.25), F.lit(1.0) - F.abs(mean - 6.0) / 12.0)
+    return F.greatest(F.lit(LEAST_WEIGHT), F.lit(1.0) - F.abs(mean - 6.0) / 12.0)
 
 
 def source_targets(sizes: DataFrame, share: float = 1.5, cap: float = 2.0, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
@@ -69,11 +71,12 @@ def _unit(seed: int) -> Column:
     return (F.conv(F.substring(F.md5(key), 1, 13), 16, 10).cast("long") + F.lit(0.5)) / F.lit(float(1 << 52))
 
 
-def _counted(docs: DataFrame, share: float, cap: float, weights: tuple[int, ...], seed: int) -> DataFrame:
+def _counted(docs: DataFrame, share: float, cap: float, weights: tuple[int, ...], seed: int, quality: Column | None = None) -> DataFrame:
     """(_row: the columns of ``docs``, size, source_size, target, _times)."""
     names = [f"`{c}`" for c in docs.columns]
-    d = docs.select(F.struct(*names).alias("_row"), "source", "doc_id", "text").withColumn("size", word_count())
-    d = d.withColumn("_key", -F.log(_unit(seed)) / quality_weight()).drop("text")
+    given = [] if quality is None else [F.least(F.greatest(F.coalesce(quality.cast("double"), F.lit(0.0)), F.lit(LEAST_WEIGHT)), F.lit(1.0)).alias("_quality")]
+    d = docs.select(F.struct(*names).alias("_row"), "source", "doc_id", "text", *given).withColumn("size", word_count())
+    d = d.withColumn("_key", -F.log(_unit(seed)) / (F.col("_quality") if given else quality_weight())).drop("text", "_quality")
     light = common.stored(d.select("doc_id", "source", "size", "_key"), "mix-keys")
 
     sums = light.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("_rows"))
@@ -108,22 +111,24 @@ def _counted(docs: DataFrame, share: float, cap: float, weights: tuple[int, ...]
     return out.select("_row", "size", "source_size", "target", times)
 
 
-def mix(docs: DataFrame, share: float = 1.5, cap: float = 2.0, weights: tuple[int, ...] = WEIGHTS, seed: int = 42) -> DataFrame:
+def mix(docs: DataFrame, share: float = 1.5, cap: float = 2.0, weights: tuple[int, ...] = WEIGHTS, seed: int = 42, quality: Column | None = None) -> DataFrame:
     """The columns of ``docs`` and size, source_size, target, taken (words that the mix takes of the
     row, repeats counted); a column of ``docs`` with one of these four names gives way.
 
     Null text has size 0; null is a source of its own, the last.  A row's key hangs on its doc_id,
     text and ``seed`` alone, so that reruns agree; rows equal in both are taken together.
+    ``quality`` is a document's weight, from a column of ``docs`` such as a classifier's score, taken as at least
+    ``LEAST_WEIGHT`` and at most 1 (null: the least); without it the words' usual length decides.
     A source's taken words miss its target by about its largest fractional document at most.
     """
     made = {"size", "source_size", "target", "taken"}
-    got = _counted(docs, share, cap, weights, seed)
+    got = _counted(docs, share, cap, weights, seed, quality)
     keep = [F.col(f"_row.`{c}`").alias(c) for c in docs.columns if c not in made]
     return got.select(*keep, "size", "source_size", "target", (F.col("_times") * F.col("size")).alias("taken"))
 
 
-def mixed(docs: DataFrame, share: float = 1.5, cap: float = 2.0, weights: tuple[int, ...] = WEIGHTS, seed: int = 42) -> DataFrame:
+def mixed(docs: DataFrame, share: float = 1.5, cap: float = 2.0, weights: tuple[int, ...] = WEIGHTS, seed: int = 42, quality: Column | None = None) -> DataFrame:
     """The mix itself: each row of ``docs`` as often as the mix takes it, with the columns of ``docs``."""
-    got = _counted(docs, share, cap, weights, seed).filter(F.col("_times") > 0)
+    got = _counted(docs, share, cap, weights, seed, quality).filter(F.col("_times") > 0)
     copies = F.explode(F.sequence(F.lit(1), F.col("_times").cast("int"))).alias("_copy")
     return got.select("_row", copies).select([F.col(f"_row.`{c}`").alias(c) for c in docs.columns])

@@ -2,7 +2,6 @@
 
 import collections
 import hashlib
-import os
 import random
 import re
 import zlib
@@ -13,7 +12,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from claimloom.llm import prefix_trie, queries, spelling, toxicity
+from claimloom.llm import mixing, prefix_trie, queries, spelling, token_ids, toxicity, warc
 
 DATA = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -269,3 +268,35 @@ def test_spelling_of_odd_rows(spark):
     assert forms(odd) == sorted([("", None, "", 40, 1, None), ("letters", None, "letters", 3, 0, None), ("x", "", "", 4, 1, 40)], key=str)
     with pytest.raises(ValueError):
         spelling.spelling_forms(odd, ratio=1)
+
+
+# 1, 5, 6 ------------------------------------------------------------------------------------------
+
+
+def test_mix_prefers_documents_of_quality(spark):
+    docs = spark.range(4000).select(F.col("id").alias("doc_id"), F.concat(F.lit("some words of text "), "id").alias("text"), F.lit("one").alias("source"), (F.col("id") % 2).cast("double").alias("score"))
+    weights = (F.col("score"), F.lit(None), F.lit(7))
+    good, null, high = (dict(mixing.mix(docs, share=0.25, quality=q).groupBy("score").agg(F.count(F.when(F.col("taken") > 0, 1))).collect()) for q in weights)
+    assert 0.2 * good[1.0] < good[0.0] < 0.4 * good[1.0]  # the least weight is a quarter
+    for same in (null, high):
+        assert abs(same[0.0] - same[1.0]) < 100
+    assert abs(sum(good.values()) - 1000) < 5
+
+
+def test_tries_of_a_task_write_archives_of_their_own(spark, tmp_path):
+    """local masters don't try tasks again, so the job is run again, with the order of rows turned."""
+    rows = spark.createDataFrame([(i, "u", f"page {i}") for i in range(50)], "page_id long, url string, html string").withColumn("refers_to", F.lit(None).cast("long"))
+    tries = [warc.write_archives(rows.orderBy(order).coalesce(1), f"file://{tmp_path}/{k}") for k, order in enumerate((F.asc("page_id"), F.desc("page_id")))]
+    names = [{r.path.rsplit("/", 1)[1] for r in t.collect()} for t in tries]
+    assert names[0].isdisjoint(names[1])
+    for t in tries:
+        assert sorted(int(r.record_id) for r in warc.read_archives(spark, t).collect()) == list(range(50))
+
+
+def test_files_of_ids_have_the_number_of_the_try(spark, tmp_path):
+    import public_tokenizers
+
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(20)], "doc_id long, text string")
+    tries = [token_ids.write_ids(docs, f"file://{tmp_path}/{k}", public_tokenizers.path("byte_bpe_50k.json")).collect() for k in range(2)]
+    names = [{r.path.rsplit("/", 1)[1] for r in t} for t in tries]
+    assert names[0].isdisjoint(names[1]) and [sum(r.docs for r in t) for t in tries] == [20, 20]
