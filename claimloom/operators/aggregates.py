@@ -202,18 +202,49 @@ def support_levels(supports: DataFrame, nodes: DataFrame, max_depth: int = 12) -
 
 
 def longest_chains(supports: DataFrame, max_length: int = 6) -> DataFrame:
-    """#71. (start, path, length): for each start the longest acyclic path of up to ``max_length`` edges."""
-    e = supports.select("src", "dst")
-    path = cut_lineage(e.select(F.col("src").alias("start"), F.col("dst").alias("end"), F.array("src", "dst").alias("path")), "paths")
+    """#71. (start, path, length): for each start the longest acyclic path of up to ``max_length`` edges, of these
+    the first.
+
+    For each node and number of remaining edges the longest walk is known from that of its neighbours with one
+    edge less, and with it the first neighbour that it goes on to: a row a node and length.  The walk that these lead along
+    is the path sought if it comes to no node twice; only starts whose walk does are searched path by path, and there a path
+    is left where its end's longest walk can't make it as long as the longest found.
+    """
+    e = cut_lineage(supports.select("src", "dst").distinct(), "paths")
+    steps, reach = [], None
+    for _ in range(max_length):
+        r = e if reach is None else e.join(reach.select(F.col("src").alias("dst"), F.col("n").alias("_m")), "dst", "left")
+        n = F.lit(1) if reach is None else 1 + F.coalesce("_m", F.lit(0))
+        reach = cut_lineage(r.groupBy("src").agg(F.min(F.struct((-n).alias("n"), "dst")).alias("b")).select("src", (-F.col("b.n")).alias("n"), F.col("b.dst").alias("next")), "paths")
+        steps.append(reach)
+    walk = steps[-1].select(F.col("src").alias("start"), F.array("src", "next").alias("path"), F.col("next").alias("_end"))
+    for k in range(max_length - 2, -1, -1):
+        on = steps[k].select(F.col("src").alias("_end"), F.col("next").alias("_n"))
+        walk = walk.join(on, "_end", "left").select("start", F.when(F.col("_n").isNull(), F.col("path")).otherwise(F.concat("path", F.array("_n"))).alias("path"), F.col("_n").alias("_end"))
+    walk = cut_lineage(walk.select("start", "path"), "paths")
+    simple = F.size(F.array_distinct("path")) == F.size("path")
+    best = walk.filter(simple)
+    rest = walk.filter(~simple).select("start")
+    if not rest.isEmpty():
+        best = best.unionByName(_searched(e, rest, steps, max_length))
+    return best.select("start", F.array_join("path", ">").alias("path"), (F.size("path") - 1).cast("long").alias("length"))
+
+
+def _searched(e: DataFrame, starts: DataFrame, steps: list[DataFrame], max_length: int) -> DataFrame:
+    """(start, path): the longest acyclic paths of ``starts``, the first of each start's."""
+    path = cut_lineage(e.join(starts.withColumnRenamed("start", "src"), "src", "left_semi").filter("src <> dst").select(F.col("src").alias("start"), F.col("dst").alias("end"), F.array("src", "dst").alias("path")), "paths")
     best = path.groupBy("start").agg(F.min("path").alias("path"))
-    for _ in range(max_length - 1):
-        nxt = path.join(e.select(F.col("src").alias("end"), F.col("dst").alias("_n")), "end").filter(~F.array_contains("path", F.col("_n")))
+    for k in range(1, max_length):
+        ends = steps[max_length - k - 1].select(F.col("src").alias("end"), F.col("n").alias("_more"))
+        found = best.select("start", (F.size("path") - 1).alias("_found"))
+        live = path.join(ends, "end").join(found, "start").filter(F.col("_more") + k > F.col("_found"))
+        nxt = live.join(e.select(F.col("src").alias("end"), F.col("dst").alias("_n")), "end").filter(~F.array_contains("path", F.col("_n")))
         path = cut_lineage(nxt.select("start", F.col("_n").alias("end"), F.concat("path", F.array("_n")).alias("path")), "paths")
         if path.isEmpty():
             break
         longer = path.groupBy("start").agg(F.min("path").alias("_p"))
         best = cut_lineage(best.join(longer, "start", "left").select("start", F.coalesce("_p", "path").alias("path")), "paths")
-    return best.select("start", F.array_join("path", ">").alias("path"), (F.size("path") - 1).cast("long").alias("length"))
+    return best
 
 
 def best_alignment(clusters: DataFrame, truth: DataFrame) -> DataFrame:

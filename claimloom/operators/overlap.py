@@ -11,6 +11,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -19,24 +20,32 @@ from claimloom.operators.graph import cut_lineage
 from claimloom.operators.relational import top_k
 
 #: Rows of the left side that a task takes at a time, and members of the right side that it meets.
-CELL_ROWS = 8_192
+CELL_ROWS = 4_096
 CELL_MEMBERS = 2_000_000
 
 
 Found = tuple[np.ndarray, np.ndarray]
 
 
-def _counted(routes: list[np.ndarray], rest: list[np.ndarray]) -> Found:
-    """The ids of ``routes``, and how often each is in these and in ``rest``; all are sorted without repeats."""
-    ids, count = np.unique(np.concatenate(routes), return_counts=True) if routes else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+def _counted(routes: list[np.ndarray], rest: list[np.ndarray], n: int) -> Found:
+    """The ids of ``routes`` among n, and how often each is in these and in ``rest``; all are sorted without repeats."""
+    if not routes:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    met = np.concatenate(routes) if len(routes) > 1 else routes[0]
+    if 16 * len(met) >= n:  # a table of all ids is shorter than sorting
+        table = np.bincount(met, minlength=n)
+        ids = np.flatnonzero(table)
+        count = table[ids]
+    else:
+        ids, count = np.unique(met, return_counts=True)
     for long in rest:
         count = count + (long[np.minimum(np.searchsorted(long, ids), len(long) - 1)] == ids)
     return ids, count
 
 
-def _met(left: DataFrame, right: DataFrame, choose: Callable[[list[np.ndarray], int | None], Found], cell_rows: int, cell_members: int) -> DataFrame:
+def _met(left: DataFrame, right: DataFrame, choose: Callable[[list[np.ndarray], int | None, int], Found], cell_rows: int, cell_members: int) -> DataFrame:
     """(a, b, shared): what ``choose`` picks for each row of ``left`` (id, token), given the sorted places of the right ids of
-    each of its tokens, the shortest list first, and its own place among them, if it has one.
+    each of its tokens, the shortest list first, its own place among them, if it has one, and how many there are.
 
     Blocks of left rows meet the postings (token, ids) of their tokens, by parts of the right ids, so that what a task
     holds is bounded.  No pair is shuffled but those chosen.  Repeated rows count once; null ids and tokens share nothing.
@@ -57,19 +66,24 @@ def _met(left: DataFrame, right: DataFrame, choose: Callable[[list[np.ndarray],
         chosen: list[tuple[np.ndarray, ...]] = []
         if rows.num_rows and lists.num_rows:
             flat = pa.concat_arrays(lists.column("ids").chunks)
-            names, place = np.unique(np.array(flat.flatten().to_pylist()), return_inverse=True)
-            ends = flat.offsets.to_numpy()
-            of = dict(zip(lists.column("token").to_pylist(), zip(ends.tolist(), ends[1:].tolist())))
-            own = {v: n for n, v in enumerate(names.tolist())}
-            for n, (me, tokens) in enumerate(zip(rows.column("id").to_pylist(), rows.column("tokens").to_pylist())):
-                found = sorted((place[slice(*of[t])] for t in tokens if t in of), key=len)
+            coded = flat.flatten().dictionary_encode()
+            order = pc.sort_indices(coded.dictionary)
+            names, rank = coded.dictionary.take(order), np.empty(len(order), np.int64)
+            rank[order.to_numpy()] = np.arange(len(order))
+            place = rank[coded.indices.to_numpy()]
+            ends = flat.offsets.to_numpy().tolist()
+            of = {t: place[a:b] for t, a, b in zip(lists.column("token").to_pylist(), ends, ends[1:])}
+            ids = rows.column("id").combine_chunks()
+            own = pc.index_in(ids, names).to_pylist() if ids.type == names.type else [None] * len(ids)
+            for n, (me, tokens) in enumerate(zip(own, rows.column("tokens").to_pylist())):
+                found = sorted((of[t] for t in tokens if t in of), key=len)
                 if found:
-                    ids, count = choose(found, own.get(me))
-                    chosen.append((np.full(len(ids), n), ids, count))
+                    got, count = choose(found, me, len(names))
+                    chosen.append((np.full(len(got), n), got, count))
         if not chosen:
             return pa.table({c: pa.array([], t) for c, t in kinds.items()})
         a, b, shared = (np.concatenate(x) for x in zip(*chosen))
-        return pa.table({"a": rows.column("id").take(pa.array(a)), "b": pa.array(names, kinds["b"]).take(pa.array(b)), "shared": pa.array(shared.astype(np.int64))})
+        return pa.table({"a": rows.column("id").take(pa.array(a)), "b": names.take(pa.array(b)), "shared": pa.array(shared.astype(np.int64))})
 
     schema = f"a {left.schema['id'].dataType.simpleString()}, b {right.schema['id'].dataType.simpleString()}, shared long"
     return cells.groupBy("block", "part").cogroup(met.groupBy("block", "part")).applyInArrow(lambda x, y: cell(x, y), schema)
@@ -83,9 +97,9 @@ def top_overlaps(left: DataFrame, right: DataFrame, k: int, distinct: bool = Fal
     ``k`` first ids of that.
     """
 
-    def choose(found: list[np.ndarray], own: int | None) -> Found:
+    def choose(found: list[np.ndarray], own: int | None, n: int) -> Found:
         *routes, longest = found
-        ids, count = _counted(routes, [longest])
+        ids, count = _counted(routes, [longest], n)
         first = longest[: k + distinct]
         first = first[~np.isin(first, ids)]
         ids, count = np.concatenate([ids, first]), np.concatenate([count, np.ones(len(first), np.int64)])
@@ -106,9 +120,9 @@ def overlaps(left: DataFrame, right: DataFrame, least: int = 1, cell_rows: int =
     others route pairs, these are looked up.
     """
 
-    def choose(found: list[np.ndarray], own: int | None) -> Found:
+    def choose(found: list[np.ndarray], own: int | None, n: int) -> Found:
         cut = len(found) - (least - 1)
-        ids, count = _counted(found[: max(0, cut)], found[max(0, cut) :])
+        ids, count = _counted(found[: max(0, cut)], found[max(0, cut) :], n)
         keep = count >= least
         if own is not None:
             keep &= ids != own

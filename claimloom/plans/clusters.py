@@ -10,6 +10,7 @@ from claimloom.operators import aggregates as A
 from claimloom.operators import clustering as C
 from claimloom.operators import graph as G
 from claimloom.operators import overlap as O
+from claimloom.operators import planes as P
 from claimloom.operators import similarity as M
 from claimloom.plans.ctes import with_tables
 from claimloom.plans.registry import query
@@ -53,6 +54,20 @@ def _(s, d):
     return vpairs(s, d)
 
 
+def _plane_pairs(s, d):
+    return P.pairs(vecs(s, d), "vec_id", "v", 0.3, 64, "label", bits=4)
+
+
+@q("q031_hyperplane_pairs", None)
+def _(s, d):
+    return _plane_pairs(s, d)
+
+
+@q("q031_hyperplane_recall", None)
+def _(s, d):
+    return P.recall(_plane_pairs(s, d), vpairs(s, d, 0.3))
+
+
 @q("q032_new_against_existing", "SELECT a, b, cosine FROM kg_vpairs WHERE b >= 150", kg_vecs=VECS, kg_vpairs=VPAIRS)
 def _(s, d):
     return vpairs(s, d).filter("b >= 150").select("a", "b", "cosine")  # new: ids from 150 on, against all
@@ -183,12 +198,6 @@ def _(s, d):
     return C.layered_matching(*_page_units(s, d, F.lit(True)), "progressive")
 
 
-@q("q122_entropy_matching", None)
-def _(s, d):
-    u = X.kg_claims(s, d).select(F.col("event_id").alias("id"), F.col("claim_id").alias("member"))
-    return C.layered_matching(u, X.kg_claim_edges(s, d), X.kg_mentions(s, d), "entropy")
-
-
 @q("q123_page_dissolution", """SELECT page_id, count(component) AS migrated, count(*) FILTER (WHERE component IS NULL) AS remaining FROM kg_claims LEFT JOIN (SELECT DISTINCT unnest([src, dst]) AS component FROM kg_corr JOIN kg_claims a ON src = a.claim_id JOIN kg_claims b ON dst = b.claim_id WHERE a.page_id <> b.page_id) ON claim_id = component GROUP BY page_id""", kg_corr=CORR)
 def _(s, d):
     return G.cross_group_components(corr(s, d), X.kg_claims(s, d).select("claim_id", "page_id"))
@@ -318,14 +327,14 @@ def _(s, d):
     return C.best_pair_agglomeration(*_page_units(s, d, F.lit(True)), merges=10, weights=(1.0, 0.5, 0.3))
 
 
-@q("q120_event_merge", """SELECT a, b, score FROM (SELECT x.id AS a, y.id AS b, round(0.6::DOUBLE * (1 - abs(x.claims - y.claims)::DOUBLE / greatest(x.claims, y.claims)) + 0.25::DOUBLE * k::DOUBLE / (x.entities + y.entities - k), 6) AS score FROM (SELECT p.event_id AS a, q.event_id AS b, count(*) AS k FROM kg_de p JOIN kg_de q ON p.entity_id = q.entity_id AND p.event_id < q.event_id GROUP BY ALL) s JOIN kg_units x ON s.a = x.id JOIN kg_units y ON s.b = y.id) WHERE score >= 0.58""", kg_units=UNITS, kg_de="SELECT DISTINCT event_id, entity_id FROM kg_mentions")
+@q("q120_event_merge", """SELECT a, b, score FROM (SELECT x.id AS a, y.id AS b, round(0.6::DOUBLE * (1 - abs(x.claims - y.claims)::DOUBLE / greatest(x.claims, y.claims)) + 0.25::DOUBLE * k::DOUBLE / (x.entities + y.entities - k) + 1e-9::DOUBLE, 6) AS score FROM (SELECT p.event_id AS a, q.event_id AS b, count(*) AS k FROM kg_de p JOIN kg_de q ON p.entity_id = q.entity_id AND p.event_id < q.event_id GROUP BY ALL) s JOIN kg_units x ON s.a = x.id JOIN kg_units y ON s.b = y.id) WHERE score >= 0.58""", kg_units=UNITS, kg_de="SELECT DISTINCT event_id, entity_id FROM kg_mentions")
 def _(s, d):
     u = units(s, d).select("id", "claims", "entities")
     e = X.kg_mentions(s, d).select("event_id", "entity_id").distinct()
     k = e.select(F.col("event_id").alias("a"), "entity_id").join(e.select(F.col("event_id").alias("b"), "entity_id"), "entity_id").filter("a < b").groupBy("a", "b").agg(F.count("*").alias("k"))
     j = k.join(u.select(F.col("id").alias("a"), F.col("claims").alias("ca"), F.col("entities").alias("ea")), "a").join(u.select(F.col("id").alias("b"), F.col("claims").alias("cb"), F.col("entities").alias("eb")), "b")
     score = 0.6 * (1 - F.abs(F.col("ca") - F.col("cb")) / F.greatest("ca", "cb")) + 0.25 * F.col("k") / (F.col("ea") + F.col("eb") - F.col("k"))
-    return j.select("a", "b", F.round(score, 6).alias("score")).filter("score >= 0.58")
+    return j.select("a", "b", F.round(score + 1e-9, 6).alias("score")).filter("score >= 0.58")
 
 
 @q("q120_event_affinity", f"""SELECT a, b, score FROM (SELECT p.a, p.b, round(0.6::DOUBLE * COALESCE({COS.replace("round(", "(").replace(", 6)", ")")}, 0) + 0.25::DOUBLE * k / (x.n + y.n - k) + 0.15::DOUBLE * s, 6) AS score FROM (

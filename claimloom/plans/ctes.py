@@ -37,8 +37,8 @@ CTES: dict[str, str] = {
 }
 
 
-#: Expressions that are computed once, since several others name them.
-COSTLY = ("kg_claims", "kg_claim_edges", "kg_pairs", "kg_prior", "kg_post")
+#: Small expressions that are computed once, since several others name them; whole tables of claims would not fit.
+COSTLY = ("kg_pairs", "kg_prior", "kg_post")
 
 
 def with_tables(body: str, **more: str) -> str:

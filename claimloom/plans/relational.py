@@ -183,12 +183,9 @@ def _(s, d):
     return R.within_days(X.kg_claims(s, d), _starts(s, d), 2, 14, "event_end").select("claim_id", "event_id")
 
 
-SUPPLIERS = "SELECT DISTINCT entity_id, page_id FROM kg_mentions WHERE entity_id LIKE 'S%'"
-
-
-@q("q040_shared_page_pairs", "SELECT x.entity_id AS a, y.entity_id AS b, count(*) AS shared FROM kg_supp x JOIN kg_supp y ON x.page_id = y.page_id AND x.entity_id < y.entity_id GROUP BY ALL", kg_supp=SUPPLIERS)
+@q("q040_shared_page_pairs", "SELECT x.entity_id AS a, y.entity_id AS b, count(*) AS shared FROM kg_on x JOIN kg_on y ON x.page_id = y.page_id AND x.entity_id < y.entity_id GROUP BY ALL", kg_on="SELECT DISTINCT entity_id, page_id FROM kg_mentions")
 def _(s, d):
-    return R.shared_event_pairs(X.kg_mentions(s, d).filter("entity_id LIKE 'S%'"), "entity_id", "page_id")
+    return R.shared_event_pairs(X.kg_mentions(s, d), "entity_id", "page_id")
 
 
 @q("q041_named_edges", """SELECT src, dst, a.canonical_name AS src_name, b.canonical_name AS dst_name, confidence FROM kg_entity_edges JOIN kg_entities a ON src = a.entity_id JOIN kg_entities b ON dst = b.entity_id""")

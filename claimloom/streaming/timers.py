@@ -1,4 +1,5 @@
-"""Streams with timers and structured state: ticks, cooling, rings, versions, leaders (rows 118, 198-202, 205, 207).
+"""Streams with timers and structured state: ticks, cooling, rings, versions, leaders, contributions (rows 118, 198-202, 205,
+207, 208).
 
 A ``Machine`` says what one row of a key does and what happens by itself as time goes on.  ``Ordered`` keeps a key's
 rows until the watermark has passed them, and then lets the machine take them by time, with what time brings in
@@ -19,6 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from claimloom.functions import vectors as V
 from claimloom.streaming import claims as K
 
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
@@ -69,6 +71,13 @@ class Machine:
         yield from ()
 
 
+def _plain(v: Any) -> Any:
+    """A value of a pandas row as the state store takes it: lists for arrays, None for what is missing."""
+    if isinstance(v, np.ndarray):
+        return v.tolist()
+    return None if v is None or v is pd.NA or (isinstance(v, float) and v != v) else v
+
+
 class Ordered(StatefulProcessor):
     """Feeds a machine with rows by time."""
 
@@ -85,7 +94,7 @@ class Ordered(StatefulProcessor):
         first = None
         for pdf in rows:  # a batch at a time: a hot key's rows are never held together
             at = pdf["ts"].to_numpy("datetime64[us]").astype("int64").tolist()
-            columns = [[None if v is None or v != v else v for v in pdf[c].tolist()] if pdf[c].dtype != object else pdf[c].tolist() for c in names]
+            columns = [[_plain(v) for v in pdf[c].tolist()] for c in names]
             self.waiting.appendList(list(zip(at, *columns)))
             first = min(at + ([] if first is None else [first]))
         if first is not None:
@@ -330,6 +339,42 @@ class Leaders(Machine):
             yield claim, 2, p, change, claims[p]
 
 
+class Judge(Machine):
+    """Outcomes of contributions with one text to one event: ``duplicate`` if the text is listed as known, or was accepted
+    before; else ``unrelated`` below the cosine that its kind of source needs, else ``accepted``.  The reward of an
+    accepted one is half the stake for a contradiction, a fifth for a corroboration, a tenth else."""
+
+    columns = "claim_id long, kind string, stake int, cosine double, url boolean, listed boolean"
+    memory, newborn = "known boolean", (False,)
+    out = "claim_id long, outcome string, reward double"
+
+    def __init__(self, text_least: float = 0.4, url_least: float = 0.5) -> None:
+        self.text_least, self.url_least = text_least, url_least
+
+    def row(self, memory, at, values):
+        claim, kind, stake, cosine, url, listed = values
+        related = cosine is not None and cosine >= (self.url_least if url else self.text_least)
+        outcome = "duplicate" if listed or memory[0] else "accepted" if related else "unrelated"
+        memory[0] = memory[0] or outcome == "accepted"
+        rate = {"contradiction": 0.5, "corroboration": 0.2}.get(kind, 0.1) if outcome == "accepted" else 0.0
+        yield claim, outcome, round(rate * (stake or 0), 6)
+
+
+def judged_stream(stream: DataFrame, known: DataFrame, events: DataFrame, delay: str = "1 hour", text_least: float = 0.4, url_least: float = 0.5) -> DataFrame:
+    """#208 as a stream: contributions (event_id, claim_id, ts, kind, stake, text, vector, url) against static tables of known
+    texts (event_id, text) and of events (event_id, vector).
+
+    Texts are trimmed and told apart by a fingerprint; texts known and duplicates within the stream are both found by it,
+    the latter through state that a key of event and fingerprint keeps.  A null text is empty; without a vector on
+    either side a contribution is unrelated.
+    """
+    mark = F.sha2(F.trim(F.coalesce("text", F.lit(""))), 256)
+    listed = known.select("event_id", mark.alias("mark")).distinct().withColumn("_listed", F.lit(True))
+    rows = stream.withColumn("mark", mark).join(listed, ["event_id", "mark"], "left").join(events.select("event_id", F.col("vector").alias("_v")), "event_id", "left")
+    rows = rows.withColumn("cosine", F.round(V.cosine(F.col("vector"), F.col("_v")), 6)).withColumn("listed", F.coalesce("_listed", F.lit(False)))
+    return driven(rows, Judge(text_least, url_least), delay, (("event_id", "long"), ("mark", "string"))).drop("mark")
+
+
 def tick_stream(stream: DataFrame, delay: str = "1 hour") -> DataFrame:
     """#198, #199 as a stream: ticks and hibernation from timers, also while no claim comes."""
     return driven(stream, Ticks(), delay)

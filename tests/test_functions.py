@@ -5,6 +5,7 @@ import math
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -14,6 +15,8 @@ from claimloom.operators import aggregates as A
 from claimloom.operators import clustering as C
 from claimloom.operators import entities as N
 from claimloom.operators import graph as G
+from claimloom.operators import planes as P
+from claimloom.operators import relational as R
 from claimloom.operators import scoring as S
 from claimloom.plans import clusters as plans_clusters
 from claimloom.plans import registry
@@ -520,3 +523,90 @@ def test_snapshot_round_trip(spark, tmp_path):
         back, again = IO.load_snapshot(spark, f"{tmp_path}/{end}")
         assert [tuple(r) for r in again.select("src", "dst", "rel").collect()] == [("a", "b", "UPDATES")]
         assert back.count() == 2
+
+
+def test_hyperplane_pairs_find_nine_of_ten(spark):
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(500, 16))
+    x[250:] = x[:250] + rng.normal(size=(250, 16)) * rng.uniform(0.1, 0.9, (250, 1))
+    rows = [(i, i % 2 if i < 250 else (i - 250) % 2, [float(v) for v in r]) for i, r in enumerate(x)] + [(900, 0, None), (901, 0, [1.0]), (902, 1, [0.0] * 16)]
+    df = spark.createDataFrame(rows, "k long, g long, v array<double>")
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    cosine = unit @ unit.T
+    want = {(a, b) for a in range(500) for b in range(a + 1, 500) if rows[a][1] == rows[b][1] and round(cosine[a, b], 6) > 0.7}
+    for size in (2_000, 5):  # blocks whole and in pieces
+        got = [(r.a, r.b) for r in P.pairs(df, "k", "v", 0.7, 16, "g", bits=6, block_rows=size).collect()]
+        assert len(got) == len(set(got)) and set(got) <= want and len(got) >= 0.9 * len(want) > 90
+    exact = spark.createDataFrame(sorted(want), "a long, b long")
+    r = P.recall(P.pairs(df, "k", "v", 0.7, 16, "g", bits=6), exact).first()
+    assert (r.exact, r.found) == (len(want), len(got)) and r.recall >= 0.9
+    assert P.recall(exact.limit(0), exact.limit(0)).first().recall is None
+
+
+def test_longest_chains_with_and_without_cycles(spark):
+    rng = random.Random(40)
+    for cyclic in (False, True):
+        edges = {(a, b) for a, b in ((rng.randrange(18), rng.randrange(18)) for _ in range(40)) if cyclic or a < b}
+        edges = {(f"n{a:02d}", f"n{b:02d}") for a, b in edges}
+        after = {}
+        for a, b in edges:
+            after.setdefault(a, []).append(b)
+
+        def paths(p):
+            yield p
+            if len(p) <= 6:
+                for b in after.get(p[-1], []):
+                    if b not in p:
+                        yield from paths([*p, b])
+
+        want = {}
+        for a in after:
+            best = min((p for p in paths([a]) if len(p) > 1), key=lambda p: (-len(p), p), default=None)
+            if best:
+                want[a] = (">".join(best), len(best) - 1)
+        got = {r.start: (r.path, r.length) for r in A.longest_chains(spark.createDataFrame(sorted(edges), "src string, dst string")).collect()}
+        assert got == want
+
+
+def test_names_are_found_by_their_rarest_gram(spark):
+    entities = ["Acme Steel", "Steelworks", "ab", "É", None, "", "x steel y"]
+    names = ["steel", "STEEL", "ee", "a", "", "acme steel corp", "zzz", "é", None, "Acme Steel", "eeee", "st y"]
+    frame = spark.createDataFrame([(f"e{i}", n, i) for i, n in enumerate(entities)], "entity_id string, canonical_name string, mention_count long")
+    asked = spark.createDataFrame([(n,) for n in names], "name string")
+    want = {(n, f"e{i}") for n in names for i, e in enumerate(entities) if n is not None and e is not None and n.lower() in e.lower()}
+    got = [tuple(r) for r in R.names_within(asked, frame).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    assert "NestedLoop" not in R.entity_priors(asked, frame, frame.select("entity_id", F.lit("c").alias("claim_id")))._jdf.queryExecution().toString()
+
+
+def test_upserts_have_an_order(spark):
+    old = spark.createDataFrame([(1, "a", 5), (2, "b", 5)], "k long, v string, at long")
+    new = [(1, "b", 7), (1, "c", 6), (3, "x", 1), (3, "y", 1), (None, "n", 1)]
+    for rows in (new, new[::-1]):
+        frame = spark.createDataFrame(rows, old.schema).repartition(3)
+        assert sorted(map(tuple, IO.upsert(old, frame, ["k"], ["at"]).collect()), key=str) == [(1, "b", 7), (2, "b", 5), (3, "y", 1), (None, "n", 1)]
+        assert {r.v for r in IO.upsert(old, frame.filter("k = 1"), ["k"]).filter("k = 1").collect()} == {"b"}
+
+
+def test_upsert_sink_over_batches_and_a_replay(spark, tmp_path):
+    schema = "k long, v string, at long"
+    batches = [[(i, f"first {i}", 1) for i in range(20)], [(3, "second", 2), (3, "third", 3), (40, "new", 1)], [(40, "newer", 2), (7, "last", 9)]]
+    table = IO.UpsertTable(spark, f"file://{tmp_path}/table", ["k"], ["at"], buckets=4)
+    assert table.read() is None and table.versions() == []
+    for part in batches:
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    q = stream.writeStream.foreachBatch(table.sink).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    want = None
+    for part in batches:
+        frame = spark.createDataFrame(part, schema)
+        want = IO.upsert(frame.limit(0) if want is None else want, frame, ["k"], ["at"])
+    plain = lambda df: sorted(map(tuple, df.select("k", "v", "at").collect()))
+    assert plain(table.read()) == plain(want) and table.versions() == [0, 1, 2]
+    table.sink(spark.createDataFrame(batches[1], schema), 1)  # a batch that is run again changes nothing
+    assert plain(table.read()) == plain(want) and plain(table.read(0)) == sorted(batches[0])
+    assert table.folders(2) != table.folders(1) and set(table.folders(2).values()) & set(table.folders(1).values())  # other buckets stay as they were
+    table.sink(spark.createDataFrame([], schema), 3)
+    table.vacuum()
+    assert plain(table.read()) == plain(want) and table.versions() == [3]
