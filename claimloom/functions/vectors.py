@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -38,3 +39,27 @@ def mean_vectors(df: DataFrame, key: str, vector: str, weight: str | None = None
     x = df.select(key, w.alias("_w"), F.posexplode(vector).alias("_i", "_x"))
     m = x.groupBy(key, "_i").agg((F.sum(F.col("_w") * F.col("_x").cast("double")) / F.sum("_w")).alias("_m"))
     return m.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("_i", "_m"))), lambda s: s["_m"]).alias("centroid"))
+
+
+class Grown:
+    """Rows of numbers that grow in place; a worker's own, between rows that come in order."""
+
+    def __init__(self, values: list, width: int) -> None:
+        self.n = len(values) // width if width else 0
+        self.rows = np.array(values, float).reshape(self.n, width or 0)
+
+    def new(self, width: int) -> int:
+        if self.n == len(self.rows):
+            more = np.zeros((max(8, 2 * self.n), width))
+            more[: self.n] = self.rows[:, :width] if self.n else 0
+            self.rows = more
+        self.n += 1
+        return self.n - 1
+
+    def nearest(self, v: np.ndarray, least: float) -> int | None:
+        """The row of the largest cosine with v, if that is ``least`` at least; ties: the first."""
+        if not self.n:
+            return None
+        cosine = np.round(self.rows[: self.n] @ v / np.linalg.norm(self.rows[: self.n], axis=1), 9)
+        i = int(cosine.argmax())
+        return i if cosine[i] >= least else None

@@ -147,7 +147,10 @@ def _(s, d):
     return C.seeded_clusters(X.kg_mentions(s, d), 5, 5)
 
 
-@q("q115_merged_clusters", None)
+@q("q115_merged_clusters", """SELECT DISTINCT COALESCE(component, id) AS id, member FROM kg_ms LEFT JOIN (SELECT v, min(r) AS component FROM (WITH RECURSIVE e AS (SELECT a, b FROM kg_near UNION SELECT b, a FROM kg_near), c AS (SELECT a AS v, a AS r FROM e UNION SELECT e.b, c.r FROM c JOIN e ON c.v = e.a) SELECT * FROM c) GROUP BY ALL) ON id = v""",
+   kg_ms="SELECT DISTINCT entity_id AS id, event_id AS member FROM kg_mentions",
+   kg_near="""SELECT a, b FROM (SELECT x.id AS a, y.id AS b, count(*) AS k, any_value(x.n) AS na, any_value(y.n) AS nb FROM kg_msn x JOIN kg_msn y ON x.member = y.member AND x.id < y.id GROUP BY ALL) WHERE k::DOUBLE / (na + nb - k) >= 0.3 OR k::DOUBLE / least(na, nb) >= 0.6""",
+   kg_msn="SELECT *, count(*) OVER (PARTITION BY id) AS n FROM kg_ms")
 def _(s, d):
     m = X.kg_mentions(s, d).groupBy("entity_id", "event_id").count().select(F.col("entity_id").alias("id"), F.col("event_id").alias("member"))
     return C.merged_clusters(m, 0.3, 0.6)

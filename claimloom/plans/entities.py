@@ -124,7 +124,8 @@ def _(s, d):
     return N.subclasses(p.select(F.col("p_brand").alias("child"), F.col("p_type").alias("parent")).union(p.select("p_type", F.lit("ROOT"))).distinct())
 
 
-@q("q154_proper_names", None)
+@q("q154_proper_names", r"""SELECT doc_id AS id, array_to_string(list_sort(list_distinct(list_transform(list_filter(regexp_split_to_array(text, '\s+'), lambda x: regexp_matches(x, '^[A-Z][a-z]+') AND NOT list_contains(['The', 'A', 'An', 'In', 'On', 'It', 'And'], x)),
+lambda x: regexp_replace(x, '[^\w]', '', 'g')))), ',') AS names FROM documents""")
 def _(s, d):
     return N.proper_names(X.read(s, d, "documents").select(F.col("doc_id").alias("id"), "text"), "text")
 

@@ -255,30 +255,6 @@ class Track(Machine):
         memory[:] = [n, good, bad, ring, before, major, minor]
 
 
-class _Grown:
-    """Rows of numbers that grow in place."""
-
-    def __init__(self, values: list, width: int) -> None:
-        self.n = len(values) // width if width else 0
-        self.rows = np.array(values, float).reshape(self.n, width or 0)
-
-    def new(self, width: int) -> int:
-        if self.n == len(self.rows):
-            more = np.zeros((max(8, 2 * self.n), width))
-            more[: self.n] = self.rows[:, :width] if self.n else 0
-            self.rows = more
-        self.n += 1
-        return self.n - 1
-
-    def nearest(self, v: np.ndarray, least: float) -> int | None:
-        """The row of the largest cosine with v, if that is ``least`` at least; ties: the first."""
-        if not self.n:
-            return None
-        cosine = np.round(self.rows[: self.n] @ v / np.linalg.norm(self.rows[: self.n], axis=1), 9)
-        i = int(cosine.argmax())
-        return i if cosine[i] >= least else None
-
-
 class Leaders(Machine):
     """Online clustering by vectors in two levels, as ``claims.online_clusters`` does by numbers: a claim is absorbed by
     the nearest centroid of cosine ``least`` or more (ties: the older), else it founds a cluster; a cluster of ``ready``
@@ -299,7 +275,7 @@ class Leaders(Machine):
 
     def load(self, kept):
         size, sums, counts, parents, upper, claims = kept
-        return [size, _Grown(list(sums), size), list(counts), list(parents), _Grown(list(upper), size), list(claims)]
+        return [size, V.Grown(list(sums), size), list(counts), list(parents), V.Grown(list(upper), size), list(claims)]
 
     def dump(self, memory):
         size, sums, counts, parents, upper, claims = memory

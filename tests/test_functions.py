@@ -398,12 +398,29 @@ def test_chains_and_levels(spark):
     assert levels == {1: 0, 2: 1, 3: 2, 9: 0}
 
 
-def test_average_link_falls_back_to_components(spark):
-    rows = [(0, i, [1.0, i / 100]) for i in range(4)] + [(0, 9, [0.0, 1.0])]
-    df = spark.createDataFrame(rows, "g long, k long, v array<double>")
-    small = {r.k: r.theme for r in C.average_link(df, "g", "k", "v", 0.3).collect()}
-    large = {r.k: r.theme for r in C.average_link(df, "g", "k", "v", 0.3, most=2).collect()}
-    assert small == large == {0: 0, 1: 0, 2: 0, 3: 0, 9: 9}
+def linked(rows, distance):
+    """Average-link clusters of the (key, vector) of a group: of all pairs of clusters the nearest merges, until none is near."""
+    unit = {k: np.array(v) / max(np.linalg.norm(v), 1e-12) for k, v in rows}
+    clusters = {k: [k] for k in unit}
+    while True:
+        near = [(-round(float(np.mean([[unit[x] @ unit[y] for y in clusters[b]] for x in clusters[a]])), 9), a, b) for a, b in itertools.combinations(sorted(clusters), 2)]
+        near = [n for n in near if -n[0] >= 1 - distance - 1e-12]
+        if not near:
+            return {x: k for k, xs in clusters.items() for x in xs}
+        _, a, b = min(near)
+        clusters[a] += clusters.pop(b)
+
+
+@pytest.mark.parametrize("most", [2_000, 1])
+def test_average_link_is_that_of_a_plain_loop(spark, most):
+    rng = np.random.default_rng(31)
+    rows = [(g, 100 * g + k, [float(x) for x in rng.normal(size=3)]) for g in range(4) for k in range(14)]
+    rows += [(9, 900 + k, [1.0, float(k % 2), 0.0]) for k in range(6)]  # ties
+    want = {}
+    for g in {r[0] for r in rows}:
+        want |= {(g, k): theme for k, theme in linked([r[1:] for r in rows if r[0] == g], 0.4).items()}
+    got = C.average_link(spark.createDataFrame(rows, "g long, k long, v array<double>"), "g", "k", "v", 0.4, most=most)
+    assert {(r.g, r.k): r.theme for r in got.collect()} == want and len(set(want.values())) < len(rows) - 10
 
 
 def test_average_link_of_large_groups_is_that_of_small_ones(spark):
@@ -610,3 +627,96 @@ def test_upsert_sink_over_batches_and_a_replay(spark, tmp_path):
     table.sink(spark.createDataFrame([], schema), 3)
     table.vacuum()
     assert plain(table.read()) == plain(want) and table.versions() == [3]
+
+
+def test_leaders_are_those_of_a_loop(spark):
+    rng = np.random.default_rng(8)
+    centres = rng.normal(size=(6, 5))
+    rows = [(i, i % 3, [float(x) for x in centres[rng.integers(6)] + 0.4 * rng.normal(size=5)]) for i in range(120)] + [(900, 0, None), (901, 1, [0.0] * 5)]
+    want = {900: 900, 901: 901}
+    for shard in range(3):
+        leaders = []
+        for k, _, v in sorted((r for r in rows if r[1] == shard and r[0] < 900), key=lambda r: -r[0]):
+            v = np.array(v)
+            cosine = [round(float(s @ v / np.linalg.norm(s) / np.linalg.norm(v)), 9) for _, s in leaders]
+            i = int(np.argmax(cosine)) if cosine else -1
+            if i >= 0 and cosine[i] >= 0.8:
+                leaders[i] = (leaders[i][0], leaders[i][1] + v)
+            else:
+                i = len(leaders)
+                leaders.append((k, v))
+            want[k] = leaders[i][0]
+    df = spark.createDataFrame(rows, "k long, s long, v array<double>").repartition(7)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "9")
+    try:
+        got = {r.k: r.leader for r in C.leader_clusters(df, "k", [-F.col("k")], "v", F.col("s"), 0.8).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == want and len(set(want.values())) < 60
+
+
+def test_merged_units_are_components_of_near_centroids(spark):
+    rng = np.random.default_rng(9)
+    rows = [(i, int(rng.integers(1, 6)), i % 2, [float(x) for x in rng.normal(size=3)]) for i in range(30)]
+    big = [r for r in rows if r[1] >= 3]
+    unit = {r[0]: np.array(r[3]) / np.linalg.norm(r[3]) for r in big}
+    edges = [(a[0], b[0]) for a, b in itertools.combinations(big, 2) if a[2] == b[2] and round(float(unit[a[0]] @ unit[b[0]]), 6) > 0.6]
+    want = {r[0]: r[0] for r in rows} | components(edges)
+    got = C.merged_units(spark.createDataFrame(rows, "id long, size long, group long, vector array<double>"), 0.6, 3)
+    assert {r.id: r.event for r in got.collect()} == want and edges
+
+
+def test_constellations_are_pairs_that_occur_together(spark):
+    rng = random.Random(14)
+    rows = sorted({(c, c % 4, f"e{rng.randrange(5)}") for c in range(30) for _ in range(3)})
+    said = {}
+    for c, _, e in rows:
+        said.setdefault(c, set()).add(e)
+    having = {}
+    for c, es in said.items():
+        for p in itertools.combinations(sorted(es), 2):
+            having.setdefault("|".join(p), set()).add(c)
+    taken, want = set(), {}
+    for anchor in sorted(having, key=lambda a: (len(having[a]), a), reverse=True):
+        free = having[anchor] - taken
+        if len(free) >= 3 and len({c % 4 for c in free}) >= 2:
+            taken |= free
+            want |= dict.fromkeys(free, anchor)
+    got = C.constellations(spark.createDataFrame(rows, "claim_id long, page_id long, entity_id string"))
+    assert {r.claim_id: r.anchor for r in got.collect()} == want and len(set(want.values())) > 2
+
+
+def test_cascade_of_identification(spark):
+    entities = spark.createDataFrame([("e1", "Acme Steel Works", "ORG"), ("e2", "Acme Steel Works", "ORG"), ("e3", "Ann Poe", "PERSON"), ("e4", "Northern Harbour Authority", "ORG")], "entity_id string, canonical_name string, entity_type string")
+    aliases = spark.createDataFrame([("e3", "A. Poe"), ("e4", "The Harbour")], "entity_id string, alias string")
+    external = spark.createDataFrame([(5, "Q2", 0.8), (5, "Q1", 0.8), (6, "Q9", 0.5), (1, "Q5", 0.9)], "mention_id long, qid string, score double")
+    mentions = [(1, "acme steel works", "ORG"), (2, "The Harbour", "ORG"), (3, "Acme Steel Works", "PERSON"), (4, "Northern Harbour Authorty", "ORG"), (5, "zzz qqq", "ORG"), (6, "x", "ORG"), (7, "Unheard Of", "PERSON")]
+    got = {r.mention_id: (r.target, r.method, r.confidence) for r in N.identify(spark.createDataFrame(mentions, "mention_id long, name string, kind string"), entities, aliases, external).collect()}
+    assert got[1] == ("e1", "exact", 1.0) and got[2] == ("e4", "alias", 0.95)
+    assert got[4][:2] == ("e4", "fuzzy") and 0.9 < got[4][2] < 1
+    assert got[5] == ("Q1", "external", 0.8) and got[7] == (None, "new", 0.7) and 6 not in got
+    assert got[3][1] != "exact"  # kinds are told apart
+
+
+def test_main_text_of_a_page(spark):
+    long = "word " * 30
+    pages = [
+        (1, f"<nav><p>{long}</p></nav><p>{long}</p>x<script>{long}</script><p>end</p>"), (2, f"<div>{long}</div><p>short</p>"), (3, f'<meta name="description" content="{long}"><p>no</p>'),
+        (4, "<p>no</p>"), (5, None), (6, ""), (7, f"<p>{long}<style>p</style></p></p><p>{long}"),
+    ]
+    got = {r.page_id: (r.method, r.content) for r in IO.main_texts(spark.createDataFrame(pages, "page_id long, html string")).collect()}
+    text = long.strip()
+    assert got == {1: ("paragraphs", f"{text}\nend"), 2: ("text", f"{text}\nshort"), 3: ("description", long), 4: ("none", None), 5: ("none", None), 6: ("none", None), 7: ("paragraphs", f"{text}\n{text}")}
+
+
+def test_budget_of_merges_is_that_of_brute_force(spark, monkeypatch):
+    rng = random.Random(24)
+    edges = sorted({(*sorted(rng.sample(range(30), 2)), rng.choice(["CORROBORATES", "CONTRADICTS"])) for _ in range(25)})
+    mentions = sorted({(c, f"P{rng.randrange(12)}") for c in range(30) for _ in range(3)})
+    unit = {i: i for i in range(30)}
+    for _ in range(10):
+        (a, b), e = min(energies(unit, edges, mentions, 1, 0.5, 0.3).items(), key=lambda x: (-round(x[1], 9), x[0]))
+        assert e >= 1
+        unit = {c: a if u == b else u for c, u in unit.items()}
+    page_units_of(spark, monkeypatch, [(i, i) for i in range(30)], edges, mentions)
+    assert {r.id: r.unit for r in registry.queries()["q224_budgeted_agglomeration"](spark, "").collect()} == unit
