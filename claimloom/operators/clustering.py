@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from claimloom.functions import vectors as V
 from claimloom.operators.graph import connected_components, cut_lineage
-from claimloom.operators.overlap import overlaps
+from claimloom.operators.overlap import dots, overlaps
 from claimloom.operators.relational import top_k
 from claimloom.operators.scoring import mean_entropy
 from claimloom.operators.similarity import BLOCK_ROWS, pairs_within
@@ -374,32 +374,40 @@ def layered_matching(units: DataFrame, edges: DataFrame, mentions: DataFrame, cr
     pair that isn't kept can't come back untouched.
     """
     (wc, wx, ws), steps, most = CRITERIA[criterion]
+    by_entropy = criterion == "entropy"
     now = cut_lineage(units.select("id", "member", F.col("id").alias("unit")), "layers")
     as_units = units.select("id", "member")
-    sets = cut_lineage(unit_sets(as_units, mentions), "layers")
+    sets = cut_lineage(_counted_sets(as_units, mentions) if by_entropy else unit_sets(as_units, mentions), "layers")
     cross = cut_lineage(cross_links(as_units, edges), "layers")
+    own = cut_lineage(_unit_sums(as_units, edges, mentions, sets), "layers") if by_entropy else None
     alike, touched = None, sets
     for layer in range(layers or most):
         least = threshold if threshold is not None else steps[min(layer, len(steps) - 1)]
-        enough = _least_shared(least, ws)
-        new = overlaps(touched, sets, enough)
+        enough = 1 if by_entropy else _least_shared(least, ws)
+        new = dots(touched, sets) if by_entropy else overlaps(touched, sets, enough)
         if alike is None:
             alike = new.filter("a < b")
         else:  # of two touched units each finds the other
-            new = new.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "shared").distinct()
+            new = new.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), *new.columns[2:]).distinct()
             alike = alike.filter(F.col("shared") >= enough).unionByName(new)
         alike = cut_lineage(alike, "layers")
         energy = wc * F.col("corr") + wx * F.col("contra") + ws * F.col("shared")
-        scored = _linked(cross, sets, alike).withColumn("score", energy).filter(F.col("score") >= least)
-        if criterion == "entropy":
-            scored = _entropy_falls(scored, now.select(F.col("unit").alias("id"), "member"), edges, mentions)
+        if by_entropy:
+            none = F.lit(0).cast("long")
+            known = cross.join(alike, ["a", "b"], "full").select("a", "b", *[F.coalesce(c, none).alias(c) for c in ("corr", "contra", "shared", "dot")])
+            scored = cut_lineage(_entropy_falls(known.filter(energy >= least), own), "layers")
+        else:
+            scored = _linked(cross, sets, alike).withColumn("score", energy).filter(F.col("score") >= least)
         won = greedy_matching(scored, scattered=True, at_once=MATCHED_AT_ONCE).select("a", "b")
         if won.isEmpty():
             break
+        if by_entropy:
+            own = cut_lineage(_merged_sums(own, won.join(scored, ["a", "b"])), "layers")
         to = won.select(F.col("b").alias("_from"), F.col("a").alias("_to"))
         moved = lambda df, c: df.join(to, F.col(c) == F.col("_from"), "left").withColumn(c, F.coalesce("_to", c)).drop("_from", "_to")
         now = cut_lineage(moved(now, "unit"), "layers")
-        sets = cut_lineage(moved(sets, "id").distinct(), "layers")
+        sets = moved(sets, "id")
+        sets = cut_lineage(sets.groupBy("id", "token").agg(F.sum("n").alias("n")) if by_entropy else sets.distinct(), "layers")
         both = moved(moved(cross, "a"), "b").filter("a <> b")
         cross = both.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.sum("corr").alias("corr"), F.sum("contra").alias("contra"))
         cross = cut_lineage(cross, "layers")
@@ -410,6 +418,55 @@ def layered_matching(units: DataFrame, edges: DataFrame, mentions: DataFrame, cr
     return now
 
 
+def _counted_sets(units: DataFrame, mentions: DataFrame) -> DataFrame:
+    """(id, token, n): how often units (id, member) mention their entities."""
+    said = units.join(mentions.select(F.col("claim_id").alias("member"), F.xxhash64("entity_id").alias("token")), "member")
+    return said.groupBy("id", "token").agg(F.count("*").alias("n"))
+
+
+def _unit_sums(units: DataFrame, edges: DataFrame, mentions: DataFrame, sets: DataFrame) -> DataFrame:
+    """(id, u): what a unit's entropy hangs on.  Its claims, inner links, mentions (t) and sum of squares of entities' mentions
+    (q) add up where units merge; of its pages (p) five say as much as all."""
+    sums = sets.groupBy("id").agg(F.sum("n").alias("t"), F.sum(F.col("n") * F.col("n")).alias("q"))
+    said = units.join(mentions.select(F.col("claim_id").alias("member"), "page_id"), "member").select("id", "page_id").distinct()
+    pages = top_k(said.filter("page_id IS NOT NULL"), ["id"], [F.asc("page_id")], 5).groupBy("id").agg(F.collect_list("page_id").alias("p"))
+    none = F.lit(0).cast("long")
+    own = inner_links(units, edges).join(sums, "id", "left").join(pages, "id", "left")
+    empty = F.array().cast(pages.schema["p"].dataType)
+    return own.select("id", F.struct("claims", "corr", "contra", F.coalesce("t", none).alias("t"), F.coalesce("q", none).alias("q"), F.coalesce("p", empty).alias("p")).alias("u"))
+
+
+def _sum_entropy(u: Column) -> Column:
+    """Entropy of a unit with the sums ``u``."""
+    return mean_entropy(u["claims"], u["corr"], u["contra"], F.coalesce(1 - u["q"] / F.when(u["t"] > 0, u["t"] * u["t"]), F.lit(0.0)), F.size(u["p"]))
+
+
+def _together(a: Column, b: Column) -> Column:
+    """The sums of two units as one; links across and the product of their mentions stand beside them."""
+    add = lambda c, more=F.lit(0).cast("long"): (a[c] + b[c] + more).alias(c)
+    return F.struct(
+        add("claims"), add("corr", F.col("corr")), add("contra", F.col("contra")), add("t"), add("q", (2 * F.col("dot")).cast("long")),
+        F.slice(F.array_sort(F.array_union(a["p"], b["p"])), 1, 5).alias("p"),
+    )
+
+
+def _entropy_falls(pairs: DataFrame, own: DataFrame) -> DataFrame:
+    """(a, b, corr, contra, dot, score): the pairs that may merge, with the fall of entropy."""
+    j = pairs.join(own.select(F.col("id").alias("a"), F.col("u").alias("_a")), "a").join(own.select(F.col("id").alias("b"), F.col("u").alias("_b")), "b")
+    j = j.withColumn("_ab", _together(F.col("_a"), F.col("_b")))
+    before = (_sum_entropy(F.col("_a")) * F.col("_a.claims") + _sum_entropy(F.col("_b")) * F.col("_b.claims")) / F.col("_ab.claims")
+    fall = F.round(before - _sum_entropy(F.col("_ab")), 9)
+    return j.select("a", "b", "corr", "contra", "dot", fall.alias("score")).filter(F.col("score") >= -ENTROPY_SLACK)
+
+
+def _merged_sums(own: DataFrame, won: DataFrame) -> DataFrame:
+    """``own`` after the pairs of ``won`` (a, b, corr, contra, dot) have merged."""
+    side = lambda c: own.select(F.col("id").alias(c), F.col("u").alias(f"_{c}"))
+    new = won.join(side("a"), "a").join(side("b"), "b").select(F.col("a").alias("id"), _together(F.col("_a"), F.col("_b")).alias("u"))
+    gone = won.select(F.col("a").alias("id")).union(won.select("b"))
+    return own.join(gone, "id", "left_anti").unionByName(new)
+
+
 def inner_links(units: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, claims, corr, contra): the claims of units (id, member) and the links among them."""
     m = units.select("id", "member").distinct()
@@ -420,33 +477,6 @@ def inner_links(units: DataFrame, edges: DataFrame) -> DataFrame:
     return m.groupBy("id").agg(F.count("*").alias("claims")).join(inner, "id", "left").select("id", "claims", *[F.coalesce(c, none).alias(c) for c in ("corr", "contra")])
 
 
-def _entropy_falls(pairs: DataFrame, units: DataFrame, edges: DataFrame, mentions: DataFrame) -> DataFrame:
-    """(a, b, score): the pairs (a, b, corr, contra) that may merge, with the fall of entropy."""
-    said = units.join(mentions.select(F.col("claim_id").alias("member"), "entity_id", "page_id"), "member")
-    per = said.groupBy("id", F.xxhash64("entity_id").alias("t")).agg(F.count("*").alias("n"))
-    counts = per.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("t", "n"))).alias("m"), F.sum("n").alias("t"), F.sum(F.col("n") * F.col("n")).alias("q"))
-    pages = said.groupBy("id").agg(F.collect_set("page_id").alias("p"))
-    own = inner_links(units, edges).join(counts, "id", "left").join(pages, "id", "left")
-    fields = F.struct("claims", "corr", "contra", "m", "q", "t", F.coalesce("p", F.array().cast(said.select(F.collect_set("page_id")).schema[0].dataType)).alias("p"))
-    own = cut_lineage(own.select("id", fields.alias("u")), "layers")
-
-    def h(claims: Column, corr: Column, contra: Column, squares: Column, total: Column, pages: Column) -> Column:
-        return mean_entropy(claims, corr, contra, F.coalesce(1 - squares / (total * total), F.lit(0.0)), F.size(pages))
-
-    alone = lambda u: h(u["claims"], u["corr"], u["contra"], u["q"], u["t"], u["p"])
-    j = pairs.join(own.select(F.col("id").alias("a"), F.col("u").alias("_a")), "a").join(own.select(F.col("id").alias("b"), F.col("u").alias("_b")), "b")
-    a, b = F.col("_a"), F.col("_b")
-    none = F.lit(0).cast("long")
-    common = F.array_intersect(F.map_keys(a["m"]), F.map_keys(b["m"]))
-    dot = F.coalesce(F.aggregate(common, none, lambda x, t: x + F.element_at(a["m"], t) * F.element_at(b["m"], t)), none)
-    plus = lambda c: F.coalesce(a[c], none) + F.coalesce(b[c], none)
-    total = F.when(plus("t") > 0, plus("t"))
-    after = h(plus("claims"), plus("corr") + F.col("corr"), plus("contra") + F.col("contra"), plus("q") + 2 * dot, total, F.array_union(a["p"], b["p"]))
-    before = (alone(a) * a["claims"] + alone(b) * b["claims"]) / plus("claims")
-    fall = F.round(before - after, 9)
-    return j.select("a", "b", fall.alias("score")).filter(F.col("score") >= -ENTROPY_SLACK)
-
-
 def unit_mass(units: DataFrame, edges: DataFrame) -> DataFrame:
     """#222. (id, claims, corr, contra, mass) of units (id, member): a tenth a claim, times 1 + coherence (inner
     corroborations over pairs of claims) + .05 a contradiction, .5 at most."""

@@ -43,26 +43,34 @@ def _counted(routes: list[np.ndarray], rest: list[np.ndarray], n: int) -> Found:
     return ids, count
 
 
-def _met(left: DataFrame, right: DataFrame, choose: Callable[[list[np.ndarray], int | None, int], Found], cell_rows: int, cell_members: int) -> DataFrame:
+def _met(left: DataFrame, right: DataFrame, choose: Callable[..., tuple], cell_rows: int, cell_members: int, weighted: bool = False) -> DataFrame:
     """(a, b, shared): what ``choose`` picks for each row of ``left`` (id, token), given the sorted places of the right ids of
     each of its tokens, the shortest list first, its own place among them, if it has one, and how many there are.
 
-    Blocks of left rows meet the postings (token, ids) of their tokens, by parts of the right ids, so that what a task
-    holds is bounded.  No pair is shuffled but those chosen.  Repeated rows count once; null ids and tokens share nothing.
+    With ``weighted`` both sides have a weight n per (id, token), which stands once; ``choose`` then gets the products of weights,
+    too, and picks a ``dot`` besides.  Blocks of left rows meet the postings (token, ids) of their tokens, by parts of the right
+    ids, so that what a task holds is bounded.  No pair is shuffled but those chosen.  Repeated rows count once; null ids and tokens
+    share nothing.
     """
     known = "id IS NOT NULL AND token IS NOT NULL"
-    sets = cut_lineage(left.filter(known).groupBy("id").agg(F.collect_set("token").alias("tokens")), "overlap-left")
-    members = cut_lineage(right.filter(known).select("id", "token").distinct(), "overlap-right")
+    n = F.col("n").cast("double") if weighted else F.lit(1.0)
+    facts = lambda df: df.filter(known).select("id", "token", n.alias("n")) if weighted else df.filter(known).select("id", "token", n.alias("n")).distinct()
+    both = facts(left).groupBy("id").agg(F.collect_list(F.struct("token", "n")).alias("_s"))
+    sets = cut_lineage(both.select("id", F.transform("_s", lambda x: x["token"]).alias("tokens"), *([F.transform("_s", lambda x: x["n"]).alias("weights")] if weighted else [])), "overlap-left")
+    members = cut_lineage(facts(right), "overlap-right")
     blocks, parts = -(-sets.count() // cell_rows), -(-members.count() // cell_members)
     block = F.pmod(F.xxhash64("id"), F.lit(max(1, blocks))).cast("int")
     part = F.pmod(F.xxhash64("id", F.lit(1)), F.lit(max(1, parts))).cast("int")
-    postings = members.groupBy("token", part.alias("part")).agg(F.array_sort(F.collect_list("id")).alias("ids"))
-    cells = sets.select(block.alias("block"), "id", "tokens", F.explode(F.sequence(F.lit(0), F.lit(max(0, parts - 1)))).alias("part"))
+    postings = members.groupBy("token", part.alias("part")).agg(F.array_sort(F.collect_list(F.struct("id", "n") if weighted else F.col("id"))).alias("ids"))
+    if weighted:
+        postings = postings.withColumn("weights", F.transform("ids", lambda x: x["n"])).withColumn("ids", F.transform("ids", lambda x: x["id"]))
+    cells = sets.select(block.alias("block"), *sets.columns, F.explode(F.sequence(F.lit(0), F.lit(max(0, parts - 1)))).alias("part"))
     wanted = sets.select(block.alias("block"), F.explode("tokens").alias("token")).distinct()
-    met = wanted.join(postings, "token").select("block", "part", "token", "ids")
+    met = wanted.join(postings, "token").select("block", *postings.columns)
+    made = ("shared", "dot") if weighted else ("shared",)
 
     def cell(rows: pa.Table, lists: pa.Table) -> pa.Table:
-        kinds = {"a": rows.schema.field("id").type, "b": lists.schema.field("ids").type.value_type, "shared": pa.int64()}
+        kinds = {"a": rows.schema.field("id").type, "b": lists.schema.field("ids").type.value_type, "shared": pa.int64(), "dot": pa.float64()}
         chosen: list[tuple[np.ndarray, ...]] = []
         if rows.num_rows and lists.num_rows:
             flat = pa.concat_arrays(lists.column("ids").chunks)
@@ -72,20 +80,28 @@ def _met(left: DataFrame, right: DataFrame, choose: Callable[[list[np.ndarray],
             rank[order.to_numpy()] = np.arange(len(order))
             place = rank[coded.indices.to_numpy()]
             ends = flat.offsets.to_numpy().tolist()
-            of = {t: place[a:b] for t, a, b in zip(lists.column("token").to_pylist(), ends, ends[1:])}
+            of = {t: slice(a, b) for t, a, b in zip(lists.column("token").to_pylist(), ends, ends[1:])}
             ids = rows.column("id").combine_chunks()
             own = pc.index_in(ids, names).to_pylist() if ids.type == names.type else [None] * len(ids)
-            for n, (me, tokens) in enumerate(zip(own, rows.column("tokens").to_pylist())):
-                found = sorted((of[t] for t in tokens if t in of), key=len)
-                if found:
-                    got, count = choose(found, me, len(names))
-                    chosen.append((np.full(len(got), n), got, count))
+            if weighted:
+                heavy = pa.concat_arrays(lists.column("weights").chunks).flatten().to_numpy()
+                for i, (me, tokens, weights) in enumerate(zip(own, rows.column("tokens").to_pylist(), rows.column("weights").to_pylist())):
+                    at = [(of[t], w) for t, w in zip(tokens, weights) if t in of]
+                    if at:
+                        got = choose([place[x] for x, _ in at], me, len(names), [heavy[x] * w for x, w in at])
+                        chosen.append((np.full(len(got[0]), i), *got))
+            else:
+                for i, (me, tokens) in enumerate(zip(own, rows.column("tokens").to_pylist())):
+                    found = sorted((place[of[t]] for t in tokens if t in of), key=len)
+                    if found:
+                        got = choose(found, me, len(names))
+                        chosen.append((np.full(len(got[0]), i), *got))
         if not chosen:
-            return pa.table({c: pa.array([], t) for c, t in kinds.items()})
-        a, b, shared = (np.concatenate(x) for x in zip(*chosen))
-        return pa.table({"a": rows.column("id").take(pa.array(a)), "b": names.take(pa.array(b)), "shared": pa.array(shared.astype(np.int64))})
+            return pa.table({c: pa.array([], t) for c, t in kinds.items() if c in ("a", "b", *made)})
+        a, b, *values = (np.concatenate(x) for x in zip(*chosen))
+        return pa.table({"a": rows.column("id").take(pa.array(a)), "b": names.take(pa.array(b))} | {c: pa.array(v).cast(kinds[c]) for c, v in zip(made, values)})
 
-    schema = f"a {left.schema['id'].dataType.simpleString()}, b {right.schema['id'].dataType.simpleString()}, shared long"
+    schema = f"a {left.schema['id'].dataType.simpleString()}, b {right.schema['id'].dataType.simpleString()}, shared long" + (", dot double" if weighted else "")
     return cells.groupBy("block", "part").cogroup(met.groupBy("block", "part")).applyInArrow(lambda x, y: cell(x, y), schema)
 
 
@@ -131,6 +147,25 @@ def overlaps(left: DataFrame, right: DataFrame, least: int = 1, cell_rows: int =
     return _met(left, right, choose, cell_rows, cell_members)
 
 
+def dots(left: DataFrame, right: DataFrame, cell_rows: int = 1_024, cell_members: int = CELL_MEMBERS) -> DataFrame:
+    """(a, b, shared, dot): the rows a of ``left`` and b of ``right`` (id, token, n), other than a, that share a token, how many
+    they share, and the sum of the products of their n.  A row per (id, token)."""
+
+    def choose(found: list[np.ndarray], own: int | None, n: int, weights: list[np.ndarray]) -> tuple:
+        met, products = np.concatenate(found), np.concatenate(weights)
+        if 16 * len(met) >= n:
+            table = np.bincount(met, minlength=n)
+            ids = np.flatnonzero(table)
+            count, dot = table[ids], np.bincount(met, weights=products, minlength=n)[ids]
+        else:
+            ids, at, count = np.unique(met, return_inverse=True, return_counts=True)
+            dot = np.bincount(at, weights=products)
+        keep = ids != (-1 if own is None else own)
+        return ids[keep], count[keep], dot[keep]
+
+    return _met(left, right, choose, cell_rows, cell_members, weighted=True)
+
+
 def candidates_by_entities(page_entities: DataFrame, event_entities: DataFrame, k: int = 20) -> DataFrame:
     """#28. For each page the ``k`` events with most entities in common, ties by event."""
     pages = page_entities.select(F.col("page_id").alias("id"), F.col("entity_id").alias("token"))

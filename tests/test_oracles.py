@@ -24,6 +24,7 @@ HELD_BY = {
     "q118_leader_clusters": "test_functions.test_leaders_are_those_of_a_loop",
     "q119_merged_units": "test_functions.test_merged_units_are_components_of_near_centroids",
     "q122_layered_matching": "test_functions.test_layers_over_random_units_are_those_of_brute_force",
+    "q122_entropy_matching": "test_functions.test_matching_by_entropy_is_that_of_brute_force",
     "q135_citations": "test_functions.test_roles_citations_and_markers",
     "q148_fuzzy_matches": "test_functions.test_fuzzy_matches_over_labels_and_aliases",
     "q149_identified": "test_functions.test_cascade_of_identification",

@@ -52,6 +52,16 @@ def test_overlaps_of_some_size(spark, cells):
     assert O.top_overlaps(empty, empty, 3).count() == 0 and O.partner_counts(empty).count() == 0
 
 
+@pytest.mark.parametrize("cells", [{}, {"cell_rows": 7, "cell_members": 20}])
+def test_dots(spark, cells):
+    rng = random.Random(7)
+    left, right = ({i: {t: rng.randrange(1, 5) for t in s} for i, s in sets_of(rng, n, int).items()} for n in (40, 60))
+    table = lambda x: spark.createDataFrame([(i, t, n) for i, s in x.items() for t, n in s.items()], "id long, token string, n long")
+    want = {(a, b, len(s.keys() & o.keys()), float(sum(n * o[t] for t, n in s.items() if t in o))) for a, s in left.items() for b, o in right.items() if a != b and s.keys() & o.keys()}
+    got = [tuple(r) for r in O.dots(table(left), table(right), **cells).collect()]
+    assert len(got) == len(want) and set(got) == want
+
+
 @pytest.mark.parametrize("kind,name", [("long", int), ("string", "c-{:02d}".format)])
 def test_partner_counts_and_pairs_that_share_two(spark, kind, name):
     sets = sets_of(random.Random(6), 80, name)
