@@ -41,8 +41,8 @@ def _(s, d):
 PRIORS = "SELECT claim_id, c.event_id, COALESCE(source_type, 'unknown') AS source_type, COALESCE(base_prior, 0.5) AS base_prior FROM kg_claims c LEFT JOIN kg_pages p ON c.page_id = p.page_id LEFT JOIN kg_publishers b ON p.publisher_id = b.publisher_id"
 
 
-def priors(s, d):
-    return R.claim_priors(X.kg_claims(s, d), X.kg_pages(s, d), X.kg_publishers(s, d))
+def priors(s, d, claims=None):
+    return R.claim_priors(X.kg_claims(s, d) if claims is None else claims, X.kg_pages(s, d), X.kg_publishers(s, d))
 
 
 @q("q047_source_diversity", "SELECT event_id, count(*) AS kinds, sum(n)::BIGINT AS claims FROM (SELECT event_id, source_type, count(*) AS n FROM kg_prior GROUP BY ALL) GROUP BY ALL", kg_prior=PRIORS)

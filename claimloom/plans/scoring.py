@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from claimloom.operators import scoring as S
+from claimloom.operators.graph import cut_lineage
 from claimloom.operators.relational import top_k
 from claimloom.plans.aggregates import PRIORS, priors
 from claimloom.plans.ctes import with_tables
@@ -38,18 +39,26 @@ LEFT JOIN (SELECT claim_id, sum(ln(f)) AS l, count(*) FILTER (WHERE relation = '
 LEFT JOIN (SELECT event_id, y FROM (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY n DESC, y) AS r FROM (SELECT event_id, year(event_time) AS y, count(*) AS n FROM kg_claims GROUP BY ALL)) WHERE r = 1) u ON c.event_id = u.event_id) WINDOW w AS (PARTITION BY event_id)"""
 
 
-def pairs(s, d):
-    c = X.kg_claims(s, d).select("claim_id", "value", "event_time")
+def pairs(s, d, claims=None):
+    made = X.kg_claim_edges(s, d) if claims is None else X.kg_claim_edges(s, d, claims=claims)
+    c = (X.kg_claims(s, d) if claims is None else claims).select("claim_id", "value", "event_time")
     deaths = F.when(F.pmod("value", F.lit(4)) == 0, F.col("value"))
     side = lambda k, n: c.select(F.col("claim_id").alias(k), deaths.alias(f"n{n}"), F.col("value").alias(f"v{n}"), F.col("event_time").alias(f"t{n}"))
-    j = X.kg_claim_edges(s, d).join(side("src", "a"), "src").join(side("dst", "b"), "dst")
+    j = made.join(side("src", "a"), "src").join(side("dst", "b"), "dst")
     sim = F.round(F.pmod(F.col("va") * 7 + F.col("vb") * 7, F.lit(100)) / 100, 2)
     return j.select(F.col("src").alias("a"), F.col("dst").alias("b"), "event_id", sim.alias("similarity"), S.relation(F.col("na"), F.col("nb"), F.col("ta"), F.col("tb"), sim).alias("relation"))
 
 
+def topology(s, d):
+    """Narrow claims, their pairs and scores: each is made once, written, and read by what comes after."""
+    c = cut_lineage(X.kg_claims(s, d).select("claim_id", "event_id", "page_id", "topic_key", "value", "event_time", "reported_time"), "claims")
+    p = cut_lineage(pairs(s, d, c), "pairs")
+    rows = priors(s, d, c).select("claim_id", "event_id", F.col("base_prior").alias("prior")).join(c.select("claim_id", "event_time"), "claim_id")
+    return c, p, cut_lineage(S.posteriors(rows, p), "scores")
+
+
 def scored(s, d):
-    c = priors(s, d).select("claim_id", "event_id", F.col("base_prior").alias("prior")).join(X.kg_claims(s, d).select("claim_id", "event_time"), "claim_id")
-    return S.posteriors(c, pairs(s, d))
+    return topology(s, d)[2]
 
 
 @q("q077_relations", "SELECT a, b, similarity, relation FROM kg_pairs", kg_pairs=PAIRS)
@@ -73,21 +82,23 @@ LEFT JOIN (SELECT DISTINCT older AS claim_id FROM kg_next JOIN kg_post ON newer
 TOPO = {"kg_pairs": PAIRS, "kg_prior": PRIORS, "kg_post": POST, "kg_next": NEXT, "kg_super": SUPER}
 
 
-def _links(s, d):
+def _links(claims):
     from pyspark.sql.window import Window
 
     w = Window.partitionBy("event_id", "topic_key").orderBy("reported_time", "claim_id")
-    return X.kg_claims(s, d).select(F.col("claim_id").alias("older"), F.lead("claim_id").over(w).alias("newer")).filter("newer IS NOT NULL")
+    return claims.select(F.col("claim_id").alias("older"), F.lead("claim_id").over(w).alias("newer")).filter("newer IS NOT NULL")
 
 
 @q("q081_superseded", "SELECT claim_id, round(plausibility + 1e-9::DOUBLE, 4) AS plausibility FROM kg_super", **TOPO)
 def _(s, d):
-    return S.superseded(scored(s, d), _links(s, d)).select("claim_id", F.round(F.col("plausibility") + 1e-9, 4).alias("plausibility"))
+    c, _, scores = topology(s, d)
+    return S.superseded(scores, _links(c)).select("claim_id", F.round(F.col("plausibility") + 1e-9, 4).alias("plausibility"))
 
 
 @q("q082_contradictions", "SELECT p.a, p.b, substr(x.text, 1, 100) AS text_a, abs(s.plausibility - t.plausibility) < 0.15 AS contested FROM kg_pairs p JOIN kg_post s ON p.a = s.claim_id JOIN kg_post t ON p.b = t.claim_id JOIN kg_claims x ON p.a = x.claim_id WHERE relation = 'contradicts'", **TOPO)
 def _(s, d):
-    return S.contradictions(pairs(s, d), scored(s, d), X.kg_claims(s, d)).select("a", "b", "text_a", "contested")
+    _, p, scores = topology(s, d)
+    return S.contradictions(p, scores, X.kg_claims(s, d)).select("a", "b", "text_a", "contested")
 
 
 @q("q083_patterns", """SELECT event_id, CASE WHEN u + x + c = 0 THEN 'empty' WHEN u > x + c THEN 'progressive' WHEN x > c THEN 'contradictory' WHEN c > 2 * x THEN 'consensus' ELSE 'mixed' END AS pattern FROM (SELECT event_id, count(*) FILTER (WHERE rel = 'UPDATES') AS u, count(*) FILTER (WHERE rel = 'CONTRADICTS') AS x, count(*) FILTER (WHERE rel = 'CORROBORATES') AS c FROM kg_claim_edges GROUP BY ALL)""")
@@ -99,8 +110,9 @@ def _(s, d):
 
 @q("q084_topology", """SELECT s.event_id, count(*) AS claims, round(avg(s.plausibility) + 1e-9::DOUBLE, 3) AS mean_plausibility, any_value(COALESCE(x.n, 0)) AS contradictions FROM kg_super s LEFT JOIN (SELECT event_id, count(*) AS n FROM kg_pairs WHERE relation = 'contradicts' GROUP BY ALL) x ON s.event_id = x.event_id GROUP BY s.event_id""", **TOPO)
 def _(s, d):
-    t = S.superseded(scored(s, d), _links(s, d)).groupBy("event_id").agg(F.count("*").alias("claims"), F.round(F.avg("plausibility") + 1e-9, 3).alias("mean_plausibility"))
-    x = pairs(s, d).filter("relation = 'contradicts'").groupBy("event_id").agg(F.count("*").alias("contradictions"))
+    c, p, scores = topology(s, d)
+    t = S.superseded(scores, _links(c)).groupBy("event_id").agg(F.count("*").alias("claims"), F.round(F.avg("plausibility") + 1e-9, 3).alias("mean_plausibility"))
+    x = p.filter("relation = 'contradicts'").groupBy("event_id").agg(F.count("*").alias("contradictions"))
     return t.join(x, "event_id", "left").withColumn("contradictions", F.coalesce("contradictions", F.lit(0)))
 
 

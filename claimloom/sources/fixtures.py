@@ -110,9 +110,10 @@ def kg_events(spark: SparkSession, d: str) -> DataFrame:
     return leaf.unionByName(n).unionByName(r)
 
 
-def kg_claim_edges(spark: SparkSession, d: str) -> DataFrame:
-    """Pairs of claims of one event and topic: (src, dst, rel), src the smaller id."""
-    c = kg_claims(spark, d).select("claim_id", "event_id", "topic_key", "event_time", "value")
+def kg_claim_edges(spark: SparkSession, d: str, claims: DataFrame | None = None) -> DataFrame:
+    """Pairs of claims of one event and topic: (src, dst, rel), src the smaller id; ``claims`` are the claims, if they
+    are there already."""
+    c = (kg_claims(spark, d) if claims is None else claims).select("claim_id", "event_id", "topic_key", "event_time", "value")
     a = c.select(F.col("claim_id").alias("src"), "event_id", "topic_key", F.col("event_time").alias("ta"), F.col("value").alias("va"))
     b = c.select(F.col("claim_id").alias("dst"), "event_id", "topic_key", F.col("event_time").alias("tb"), F.col("value").alias("vb"))
     later = ((F.col("tb") > F.col("ta")) & (F.col("vb") > F.col("va"))) | ((F.col("ta") > F.col("tb")) & (F.col("va") > F.col("vb")))
