@@ -166,10 +166,11 @@ class Ticks(Machine):
     def passes(self, memory, until):
         while memory[0] is not None and memory[0] <= until:
             tick = memory[0]
-            idle = round((tick - memory[1]) / HOUR, 6)
+            hours = (tick - memory[1]) / HOUR
+            idle = round(hours, 6)
             asleep = idle >= K.HIBERNATE_HOURS
             memory[0] = None if asleep else tick + HOUR
-            yield tick, idle, asleep, idle < K.ACTIVE_HOURS
+            yield tick, hours, asleep, idle < K.ACTIVE_HOURS
 
 
 class Cooling(Machine):
@@ -353,7 +354,7 @@ def judged_stream(stream: DataFrame, known: DataFrame, events: DataFrame, delay:
 
 def tick_stream(stream: DataFrame, delay: str = "1 hour") -> DataFrame:
     """#198, #199 as a stream: ticks and hibernation from timers, also while no claim comes."""
-    return driven(stream, Ticks(), delay)
+    return driven(stream, Ticks(), delay).withColumn("idle_hours", F.round("idle_hours", 6))  # halves as the batch form rounds them
 
 
 def cooling_stream(stream: DataFrame, delay: str = "1 hour") -> DataFrame:
