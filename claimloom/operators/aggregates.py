@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from claimloom.operators.graph import cut_lineage
+from claimloom.operators.overlap import overlaps
 from claimloom.operators.relational import top_k
 
 
@@ -125,11 +126,23 @@ def cluster_stats(sizes: DataFrame) -> DataFrame:
 def distribution(df: DataFrame, column: str, high: float) -> DataFrame:
     """#59. Least, most, mean, upper median, zeros and values of at least ``high``."""
     x = F.col(column)
-    ranked = df.filter(x.isNotNull()).groupBy(x.alias("_x")).agg(F.count("*").alias("_n"))
-    g = df.agg(F.min(x).alias("least"), F.max(x).alias("most"), F.round(F.avg(x), 6).alias("mean"), F.count(F.when(x == 0, 1)).alias("zeros"), F.count(F.when(x >= high, 1)).alias("high"), F.count(x).alias("_all"))
-    w = Window.orderBy("_x").rowsBetween(Window.unboundedPreceding, 0)
-    at = ranked.withColumn("_upto", F.sum("_n").over(w)).join(F.broadcast(g.select("_all"))).filter(F.col("_upto") > F.floor(F.col("_all") / 2))
-    return g.drop("_all").join(F.broadcast(at.agg(F.min("_x").alias("median"))))
+    g = df.agg(F.min(x).alias("least"), F.max(x).alias("most"), F.round(F.avg(x), 6).alias("mean"), F.count(F.when(x == 0, 1)).alias("zeros"), F.count(F.when(x >= high, 1)).alias("high"))
+    return g.join(F.broadcast(upper_median(df, column).agg(F.min("median").alias("median"))))
+
+
+def upper_median(df: DataFrame, column: str, parts: int | None = None) -> DataFrame:
+    """(median): the upper median of the column's values, no row if it has none.  Distinct values are dealt out as ranges; the
+    ranges' sizes tell in which of them the middle is, and it alone is gone through in order."""
+    values = df.filter(F.col(column).isNotNull()).groupBy(F.col(column).alias("_x")).agg(F.count("*").alias("_n"))
+    n = parts or max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    dealt = cut_lineage(values.repartitionByRange(n, "_x").withColumn("_part", F.spark_partition_id()), "median")
+    # at most as many rows as there are parts
+    sizes = dealt.groupBy("_part").agg(F.sum("_n").alias("_size"))
+    upto = sizes.withColumn("_upto", F.sum("_size").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, 0)))
+    middle = upto.join(F.broadcast(upto.agg(F.floor(F.max("_upto") / 2).alias("_half")))).filter(F.col("_upto") > F.col("_half"))
+    middle = middle.agg(F.min_by(F.struct("_part", (F.col("_upto") - F.col("_size")).alias("_before"), "_half"), "_part").alias("_m")).select("_m.*").filter("_part IS NOT NULL")
+    inside = dealt.join(F.broadcast(middle), "_part").withColumn("_at", F.col("_before") + F.sum("_n").over(Window.partitionBy("_part").orderBy("_x").rowsBetween(Window.unboundedPreceding, 0)))
+    return inside.filter(F.col("_at") > F.col("_half")).agg(F.min("_x").alias("median")).filter("median IS NOT NULL")
 
 
 def update_chains(claims: DataFrame) -> DataFrame:
@@ -269,10 +282,11 @@ def pair_scores(predicted: DataFrame, known: DataFrame) -> DataFrame:
 
 
 def group_overlap(members: DataFrame, least: float) -> DataFrame:
-    """#192, #127. Pairs of groups (id, member) by Jaccard similarity of at least ``least``: an inverted index."""
+    """#192, #127. Pairs of groups (id, member) by Jaccard similarity of at least ``least``: an exact set join."""
     m = members.select("id", "member").distinct()
     n = m.groupBy("id").agg(F.count("*").alias("_n"))
-    met = m.select(F.col("id").alias("a"), "member").join(m.select(F.col("id").alias("b"), "member"), "member").filter("a < b").groupBy("a", "b").agg(F.count("*").alias("shared"))
+    sets = m.withColumnRenamed("member", "token")
+    met = overlaps(sets, sets).filter("a < b")
     j = met.join(n.select(F.col("id").alias("a"), F.col("_n").alias("_na")), "a").join(n.select(F.col("id").alias("b"), F.col("_n").alias("_nb")), "b")
     j = j.withColumn("jaccard", F.round(F.col("shared") / (F.col("_na") + F.col("_nb") - F.col("shared")), 6))
     return j.filter(F.col("jaccard") >= least).select("a", "b", "shared", "jaccard")

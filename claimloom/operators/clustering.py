@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from claimloom.functions import vectors as V
 from claimloom.operators.graph import connected_components, cut_lineage
 from claimloom.operators.overlap import dots, overlaps
+from claimloom.operators.planes import pairs as vector_pairs
 from claimloom.operators.relational import top_k
 from claimloom.operators.scoring import mean_entropy
 from claimloom.operators.similarity import BLOCK_ROWS, pairs_within
@@ -138,7 +139,8 @@ def merged_clusters(members: DataFrame, jaccard: float = 0.5, contained: float =
     merging is transitive, and a merged cluster has the smallest id."""
     m = members.select("id", "member").distinct()
     n = m.groupBy("id").agg(F.count("*").alias("_n"))
-    met = m.select(F.col("id").alias("a"), "member").join(m.select(F.col("id").alias("b"), "member"), "member").filter("a < b").groupBy("a", "b").agg(F.count("*").alias("_k"))
+    sets = m.withColumnRenamed("member", "token")
+    met = overlaps(sets, sets).filter("a < b").withColumnRenamed("shared", "_k")
     j = met.join(n.select(F.col("id").alias("a"), F.col("_n").alias("_na")), "a").join(n.select(F.col("id").alias("b"), F.col("_n").alias("_nb")), "b")
     k = F.col("_k")
     near = j.filter((k / (F.col("_na") + F.col("_nb") - k) >= jaccard) | (k / F.least("_na", "_nb") >= contained))
@@ -508,6 +510,13 @@ def alike_claims(pairs: DataFrame, mentions: DataFrame, near: float = 0.75, shar
     return pairs.filter(F.col("cosine") >= near).select("a", "b").unionByName(met.select("a", "b")).distinct()
 
 
+def _specific_entities(mentions: DataFrame, events: DataFrame) -> DataFrame:
+    """(id, entity_id, _s): the entities of ``events`` with their specificity, 1 - claims over the most of any entity."""
+    f = mentions.groupBy("entity_id").agg(F.countDistinct("claim_id").alias("_f"))
+    f = f.join(F.broadcast(f.agg(F.max("_f").alias("_m")))).select("entity_id", (1 - F.col("_f") / F.col("_m")).alias("_s"))
+    return mentions.select(F.col("event_id").alias("id"), "entity_id").distinct().join(events.select("id"), "id", "left_semi").join(f, "entity_id")
+
+
 def event_merges(events: DataFrame, mentions: DataFrame, least: float = 0.55, weights: tuple[float, float, float] = (0.6, 0.25, 0.15), min_claims: int = 2) -> DataFrame:
     """#120. (a, b, score): pairs of events (id, claims, vector) of ``min_claims`` that should merge, by cosine, Jaccard
     of their entities and the mean specificity (1 - mentions over the most of any entity) of shared ones.
@@ -517,9 +526,7 @@ def event_merges(events: DataFrame, mentions: DataFrame, least: float = 0.55, we
     """
     wc, wj, ws = weights
     big = events.filter(F.col("claims") >= min_claims).select("id", "vector")
-    f = mentions.groupBy("entity_id").agg(F.countDistinct("claim_id").alias("_f"))
-    f = f.join(F.broadcast(f.agg(F.max("_f").alias("_m")))).select("entity_id", (1 - F.col("_f") / F.col("_m")).alias("_s"))
-    e = mentions.select(F.col("event_id").alias("id"), "entity_id").distinct().join(big.select("id"), "id", "left_semi").join(f, "entity_id")
+    e = _specific_entities(mentions, big)
     n = e.groupBy("id").agg(F.count("*").alias("n"))
     side = lambda c: big.join(n, "id").select(F.col("id").alias(c), V.unit(F.col("vector")).alias(f"v{c}"), F.col("n").alias(f"n{c}"))
     # the events of a frequent entity are dealt out in blocks, each of which meets all of them; sets are too large to travel
@@ -534,6 +541,78 @@ def event_merges(events: DataFrame, mentions: DataFrame, least: float = 0.55, we
     return j.select("a", "b", F.round(score, 6).alias("score")).filter(F.col("score") >= least)
 
 
+def _affinities(left: DataFrame, left_sets: DataFrame, right: DataFrame, right_sets: DataFrame, least: float, weights: tuple[float, float, float], size: int | None) -> DataFrame:
+    """(a, b) of affinity ``least``, a < b, between events (id, vector) of two sides with their entities (id, entity_id, _s):
+    those that share an entity, and with ``size`` those that share none but whose vectors lie in one block."""
+    wc, wj, ws = weights
+    tokens = lambda e, n: e.select("id", F.col("entity_id").alias("token"), n.alias("n"))
+    met = dots(tokens(left_sets, F.col("_s")), tokens(right_sets, F.lit(1.0))).filter("a < b")
+    count = lambda e, c: e.groupBy(F.col("id").alias(c)).agg(F.count("*").alias(f"_n{c}"))
+    unit = lambda e, c: e.select(F.col("id").alias(c), V.unit(F.col("vector")).alias(f"_v{c}"))
+    j = met.join(count(left_sets, "a"), "a").join(unit(left, "a"), "a").join(count(right_sets, "b"), "b").join(unit(right, "b"), "b")
+    cosine = F.when(F.size("_va") == F.size("_vb"), V.dot(F.col("_va"), F.col("_vb")))
+    k = F.col("shared")
+    score = wc * F.coalesce(cosine, F.lit(0.0)) + wj * k / (F.col("_na") + F.col("_nb") - k) + ws * F.col("dot") / k
+    found = cut_lineage(j.select("a", "b").filter(F.round(score, 6) >= least), "merges")
+    if size is None or wc < least:
+        return found
+    near = vector_pairs(right, "id", "vector", least / wc - 1e-6, size, queries=left).select("a", "b")
+    # what shares an entity, too, is in ``found``, since its other terms only add to the cosine's
+    return found.union(near.join(found, ["a", "b"], "left_anti"))
+
+
+def merged_events(events: DataFrame, mentions: DataFrame, least: float = 0.55, weights: tuple[float, float, float] = (0.6, 0.25, 0.15), min_claims: int = 2, size: int | None = None) -> DataFrame:
+    """#120. (id, event): events (id, claims, vector) merged by affinity, as in ``event_merges``.  One after the other by id,
+    an event that none has taken goes through the later ones and takes those of enough affinity to what it is by then: with
+    the entities of all that it took, and their mean vector by claims.  A merged event has the first one's id.
+
+    Rounds give the result of that scan: the pairs merge that come first, by (a, b), among the pairs of both their
+    ends.  Where an event grows towards one that a later event has taken, or that has taken others, what
+    events after it have done is undone and done again.  What an event reaches is made anew only when it has grown.
+    With ``size`` (of the vectors) pairs that share no entity meet by hyperplanes, with a recall of .95 at the threshold.
+    Null ids are none, of repeated ids one counts; without a vector, or with vectors of two sizes, the cosine is 0 and the
+    first one's vector stays.
+    """
+    known = events.filter("id IS NOT NULL").dropDuplicates(["id"])
+    big = known.filter(F.col("claims") >= min_claims).select("id", F.col("claims").cast("double").alias("claims"), F.col("vector").cast("array<double>").alias("vector"))
+    base = cut_lineage(big.withColumn("last", F.lit(None).cast(events.schema["id"].dataType)), "merges")
+    base_sets = cut_lineage(_specific_entities(mentions, base), "merges")
+    reach = cut_lineage(_affinities(base, base_sets, base, base_sets, least, weights, size), "merges")
+    # events that took others, their entities, what they reach by now, and who took whom
+    grown, sets, wide, held = base.limit(0), base_sets.limit(0), reach.limit(0), reach.select(F.col("b").alias("id"), F.col("a").alias("by")).limit(0)
+    while True:
+        now = reach.join(grown.select(F.col("id").alias("a")), "a", "left_anti").select("a", "b").union(wide)
+        now = now.join(held.select(F.col("id").alias("a")), "a", "left_anti").join(held.withColumnRenamed("id", "b"), "b", "left")
+        now = now.join(grown.select(F.col("id").alias("b"), F.lit(True).alias("_took")), "b", "left").filter("by IS NULL OR by > a")
+        live = cut_lineage(now.select("a", "b", (F.col("by").isNotNull() | F.col("_took").isNotNull()).alias("late")), "merges")
+        if live.isEmpty():
+            break
+        pair = F.struct("a", "b", "late")
+        first = live.select(F.col("a").alias("v"), pair.alias("_p")).union(live.select(F.col("b").alias("v"), pair.alias("_p"))).groupBy("v").agg(F.min("_p").alias("_p"))
+        won = cut_lineage(first.groupBy("_p").agg(F.count("*").alias("_n")).filter("_n = 2").select("_p.*"), "merges")
+        late = won.filter("late").agg(F.min("a")).head()[0]
+        if late is not None:
+            grown, sets = grown.filter(F.col("id") <= F.lit(late)), sets.filter(F.col("id") <= F.lit(late))
+            wide, won, held = wide.filter(F.col("a") <= F.lit(late)), won.filter(F.col("a") <= F.lit(late)), held.filter(F.col("by") <= F.lit(late))
+        leaders = won.select(F.col("a").alias("id"))
+        before = grown.join(leaders, "id", "left_semi").unionByName(base.join(leaders, "id", "left_semi").join(grown, "id", "left_anti"))
+        side = lambda df, c: df.select(F.col("id").alias(c), F.col("claims").alias(f"_c{c}"), F.col("vector").alias(f"_v{c}"))
+        claims = F.col("_ca") + F.col("_cb")
+        mean = F.zip_with("_va", "_vb", lambda x, y: (x * F.col("_ca") + y * F.col("_cb")) / claims)
+        both = won.join(side(before, "a"), "a").join(side(base, "b"), "b")
+        new = both.select(F.col("a").alias("id"), claims.alias("claims"), F.when(F.size("_va") == F.size("_vb"), mean).otherwise(F.col("_va")).alias("vector"), F.col("b").alias("last"))
+        new = cut_lineage(new, "merges")
+        brought = base_sets.withColumnRenamed("id", "b").join(won.select("a", "b"), "b").select(F.col("a").alias("id"), "entity_id", "_s")
+        own = sets.unionByName(base_sets).join(leaders, "id", "left_semi")
+        new_sets = cut_lineage(own.unionByName(brought).distinct(), "merges")
+        more = _affinities(new, new_sets, base, base_sets, least, weights, size).join(new.select(F.col("id").alias("a"), "last"), "a").filter(F.col("b") > F.col("last"))
+        wide = cut_lineage(wide.join(leaders.withColumnRenamed("id", "a"), "a", "left_anti").select("a", "b").union(more.select("a", "b")), "merges")
+        grown = cut_lineage(grown.join(leaders, "id", "left_anti").unionByName(new), "merges")
+        sets = cut_lineage(sets.join(leaders, "id", "left_anti").unionByName(new_sets), "merges")
+        held = cut_lineage(held.union(won.select(F.col("b").alias("id"), F.col("a").alias("by"))), "merges")
+    return known.select("id").join(held, "id", "left").select("id", F.coalesce("by", "id").alias("event"))
+
+
 def energy_components(units: DataFrame, edges: DataFrame, mentions: DataFrame, least: float = 2.0) -> DataFrame:
     """#222. (id, unit): components of units over pairs with energy 2 corr + contra + .5 shared of ``least``."""
     links = unit_links(units, edges, mentions, _least_shared(least, 0.5)).filter(2 * F.col("corr") + F.col("contra") + 0.5 * F.col("shared") >= least)
@@ -542,12 +621,57 @@ def energy_components(units: DataFrame, edges: DataFrame, mentions: DataFrame, l
 
 
 def best_pair_agglomeration(units: DataFrame, edges: DataFrame, mentions: DataFrame, merges: int = 20, weights: tuple[float, float, float] = (2.0, 1.0, 0.3), least: float = 1.0) -> DataFrame:
-    """#223, #224. One merge a round, of the pair with most energy, up to ``merges`` (a budget)."""
+    """#223, #224. (id, unit): one merge a round, of the pair with most energy, up to ``merges`` (a budget)."""
+    return _agglomerated(units, edges, mentions, merges, weights, least)[0]
+
+
+def unit_coherence(units: DataFrame, edges: DataFrame) -> DataFrame:
+    """#223. (id, claims, corr, contra, coherence) of units (id, member): corroborations over all inner links, 1 without links."""
+    links = F.col("corr") + F.col("contra")
+    return inner_links(units, edges).withColumn("coherence", F.round(F.coalesce(F.col("corr") / F.when(links > 0, links), F.lit(1.0)), 6))
+
+
+def coherent_units(units: DataFrame, edges: DataFrame, mentions: DataFrame, merges: int = 20, weights: tuple[float, float, float] = (2.0, 1.0, 0.3), least: float = 1.0) -> DataFrame:
+    """#223. (id, claims, corr, contra, coherence) of the units that ``best_pair_agglomeration`` leaves of units (id, member)."""
+    to = best_pair_agglomeration(units, edges, mentions, merges, weights, least)
+    return unit_coherence(units.join(to, "id").select(F.col("unit").alias("id"), "member"), edges)
+
+
+def layered_masses(units: DataFrame, edges: DataFrame, mentions: DataFrame, budget: int = 10, weights: tuple[float, float, float] = (1.0, 0.5, 0.3), least: float = 1.0) -> DataFrame:
+    """#224. (id, layer, claims, corr, contra, mass) of the units that ``budget`` merges, at one each, leave of units (id, member).
+
+    A unit starts with a tenth a claim, at layer 0.  A merged unit's layer is one above the higher of its two, its mass the
+    sum of theirs, times 1, its inner corroborations (1 at most) and a tenth of its inner contradictions (.5 at most).  A null id
+    is no unit.
+    """
+    to, steps = _agglomerated(units, edges, mentions, budget, weights, least)
+    spark, known = units.sparkSession, units.filter("id IS NOT NULL")
+    kind = units.schema["id"].dataType.simpleString()
+    # the budget bounds the steps: what they touch is small next to the units, so that their sums fit in the driver
+    parts = spark.createDataFrame([(x,) for x in dict.fromkeys(x for pair in steps for x in pair)], f"id {kind}")
+    few = known.join(F.broadcast(parts), "id", "left_semi").select("id", "member").distinct()
+    own = {r.id: (r.claims, r.corr, r.contra) for r in inner_links(few, edges).collect()}
+    across = {(r.a, r.b): (r.corr, r.contra) for r in cross_links(few, edges).collect()}
+    made = {x: (0, 0.1 * n, {x}, corr, contra) for x, (n, corr, contra) in own.items()}
+    for a, b in steps:
+        (la, ma, xs, ca, da), (lb, mb, ys, cb, db) = made[a], made.pop(b)
+        met = [across.get((min(x, y), max(x, y)), (0, 0)) for x in xs for y in ys]
+        corr, contra = ca + cb + sum(m[0] for m in met), da + db + sum(m[1] for m in met)
+        made[a] = (max(la, lb) + 1, (ma + mb) * (1 + min(1.0, corr) + min(0.5, 0.1 * contra)), xs | ys, corr, contra)
+    masses = spark.createDataFrame([(x, m[0], float(m[1])) for x, m in made.items()], f"id {kind}, layer int, _mass double")
+    sums = inner_links(known.join(to, "id").select(F.col("unit").alias("id"), "member"), edges)
+    j = sums.join(F.broadcast(masses), "id", "left")
+    return j.select("id", F.coalesce("layer", F.lit(0)).alias("layer"), "claims", "corr", "contra", F.round(F.coalesce("_mass", 0.1 * F.col("claims")), 6).alias("mass"))
+
+
+def _agglomerated(units: DataFrame, edges: DataFrame, mentions: DataFrame, merges: int, weights: tuple[float, float, float], least: float) -> tuple[DataFrame, list[tuple]]:
+    """(id, unit), and the merges (a, b) in their order."""
     wc, wx, ws = weights
     # pairs under ``least`` stay so until one of them merges, and then all pairs of the merged one are made anew
     links = cut_lineage(unit_links(units, edges, mentions, _least_shared(least, ws)), "pairs")
     ents = cut_lineage(units.join(mentions.select(F.col("claim_id").alias("member"), "entity_id"), "member").select("id", "entity_id").distinct(), "pairs")
     to: dict = {}
+    steps: list[tuple] = []
     for _ in range(merges):
         e = links.withColumn("e", wc * F.col("corr") + wx * F.col("contra") + ws * F.col("shared")).filter(F.col("e") >= least)
         top = e.orderBy(F.desc("e"), "a", "b").select("a", "b").head()
@@ -555,6 +679,7 @@ def best_pair_agglomeration(units: DataFrame, edges: DataFrame, mentions: DataFr
             break
         a, b = top
         to[b] = a
+        steps.append((a, b))
         into = lambda c: F.when(F.col(c) == F.lit(b), F.lit(a)).otherwise(F.col(c))
         touched = F.col("a").isin(a, b) | F.col("b").isin(a, b)
         ents = cut_lineage(ents.select(into("id").alias("id"), "entity_id").distinct(), "pairs")
@@ -574,7 +699,7 @@ def best_pair_agglomeration(units: DataFrame, edges: DataFrame, mentions: DataFr
 
     kind = units.schema["id"].dataType.simpleString()
     names = spark.createDataFrame([(b, end(b)) for b in to], f"id {kind}, _to {kind}")
-    return units.select("id").distinct().join(F.broadcast(names), "id", "left").select("id", F.coalesce("_to", "id").alias("unit"))
+    return units.select("id").distinct().join(F.broadcast(names), "id", "left").select("id", F.coalesce("_to", "id").alias("unit")), steps
 
 
 def seed_clusters(pairs: DataFrame, weights: DataFrame, size: int = 2, max_rounds: int | None = None) -> DataFrame:

@@ -194,6 +194,17 @@ BIO_PATTERNS = (
 )
 
 
+# What gives way in a part of a byline, in this order, and by what; signs that no name has.
+NAME_RULES = (
+    (r"(?i)^(by|written by|author[s]?:?)\s*", ""),
+    (r"(?i)^(more|additional)\s+", ""),
+    (r"[.,;:]+$", ""),
+    (r"\s*\([^)]+\)\s*", " "),
+    (r"\S+@\S+\.\S+", ""),
+)
+NO_NAME = r"[\p{Nd}<>{}\[\]@#$%^*+=]"
+
+
 def _name_words(text: Column) -> Column:
     return F.filter(F.split(text, r"\s+"), lambda w: w != "")
 
@@ -203,17 +214,13 @@ def _looks_like_name(text: Column) -> Column:
     w = _name_words(text)
     first = F.get(w, F.lit(0))
     capital = first.rlike(r"^\p{Lu}") | (first.rlike(r"\p{Lu}") & ~first.rlike(r"[\p{Ll}\p{Lt}]"))
-    return F.coalesce(F.size(w).between(2, 4) & capital & ~text.rlike(r"[\p{Nd}<>{}\[\]@#$%^*+=]"), F.lit(False))
+    return F.coalesce(F.size(w).between(2, 4) & capital & ~text.rlike(NO_NAME), F.lit(False))
 
 
 def _clean_name(part: Column) -> Column:
     """A part of a byline without what stands before a name, marks, parentheses and mail addresses."""
-    name = F.regexp_replace(F.trim(part), r"(?i)^(by|written by|author[s]?:?)\s*", "")
-    name = F.regexp_replace(name, r"(?i)^(more|additional)\s+", "")
-    name = F.regexp_replace(name, r"[.,;:]+$", "")
-    name = F.regexp_replace(name, r"\s*\([^)]+\)\s*", " ")
-    name = F.regexp_replace(name, r"\S+@\S+\.\S+", "")
-    return F.array_join(_name_words(name), " ")
+    without = reduce(lambda name, rule: F.regexp_replace(name, *rule), NAME_RULES, F.trim(part))
+    return F.array_join(_name_words(without), " ")
 
 
 def authors(df: DataFrame, byline: str = "byline") -> DataFrame:

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from claimloom.functions import vectors as V
 from claimloom.operators.overlap import top_overlaps
@@ -109,4 +108,4 @@ def gravity(pairs: DataFrame, sizes: DataFrame) -> DataFrame:
 def idf(keys: DataFrame) -> DataFrame:
     """Tokens with their number of rows and share of the most frequent one."""
     n = keys.groupBy("token").agg(F.count("*").alias("n"))
-    return n.withColumn("share", F.col("n") / F.max("n").over(Window.partitionBy(F.lit(1))))
+    return n.join(F.broadcast(n.agg(F.max("n").alias("_m")))).select("token", "n", (F.col("n") / F.col("_m")).alias("share"))

@@ -196,6 +196,11 @@ def _page_units(s, d, keep):
     return u, X.kg_claim_edges(s, d), m
 
 
+def _event_vectors(s, d):
+    e = X.kg_claims(s, d).groupBy(F.col("event_id").alias("id")).agg(F.count("*").alias("claims"))
+    return e.join(vecs(s, d).select(F.col("vec_id").alias("id"), F.col("v").alias("vector")), "id", "left")
+
+
 @q("q122_layered_matching", None)
 def _(s, d):
     return C.layered_matching(*_page_units(s, d, F.lit(True)), "progressive")
@@ -336,6 +341,21 @@ def _(s, d):
     return C.best_pair_agglomeration(*_page_units(s, d, F.lit(True)), merges=10, weights=(1.0, 0.5, 0.3))
 
 
+@q("q223_unit_coherence", None)
+def _(s, d):
+    return C.coherent_units(*_page_units(s, d, F.lit(True)))
+
+
+@q("q224_layered_masses", None)
+def _(s, d):
+    return C.layered_masses(*_page_units(s, d, F.lit(True)))
+
+
+@q("q120_merged_events", None)
+def _(s, d):
+    return C.merged_events(_event_vectors(s, d), X.kg_mentions(s, d), size=16)
+
+
 @q("q120_event_merge", """SELECT a, b, score FROM (SELECT x.id AS a, y.id AS b, round(0.6::DOUBLE * (1 - abs(x.claims - y.claims)::DOUBLE / greatest(x.claims, y.claims)) + 0.25::DOUBLE * k::DOUBLE / (x.entities + y.entities - k) + 1e-9::DOUBLE, 6) AS score FROM (SELECT p.event_id AS a, q.event_id AS b, count(*) AS k FROM kg_de p JOIN kg_de q ON p.entity_id = q.entity_id AND p.event_id < q.event_id GROUP BY ALL) s JOIN kg_units x ON s.a = x.id JOIN kg_units y ON s.b = y.id) WHERE score >= 0.58""", kg_units=UNITS, kg_de="SELECT DISTINCT event_id, entity_id FROM kg_mentions")
 def _(s, d):
     u = units(s, d).select("id", "claims", "entities")
@@ -352,6 +372,4 @@ JOIN kg_en x ON p.a = x.event_id JOIN kg_en y ON p.b = y.event_id LEFT JOIN kg_v
    kg_es="SELECT * FROM (SELECT DISTINCT event_id, entity_id FROM kg_mentions) JOIN (SELECT entity_id, 1 - f::DOUBLE / max(f) OVER () AS s FROM (SELECT entity_id, count(DISTINCT claim_id) AS f FROM kg_mentions GROUP BY ALL)) USING (entity_id) WHERE event_id IN (SELECT event_id FROM kg_claims GROUP BY ALL HAVING count(*) >= 2)",
    kg_en="SELECT event_id, count(*) AS n FROM kg_es GROUP BY ALL")
 def _(s, d):
-    e = X.kg_claims(s, d).groupBy(F.col("event_id").alias("id")).agg(F.count("*").alias("claims"))
-    e = e.join(vecs(s, d).select(F.col("vec_id").alias("id"), F.col("v").alias("vector")), "id", "left")
-    return C.event_merges(e, X.kg_mentions(s, d), 0.3)
+    return C.event_merges(_event_vectors(s, d), X.kg_mentions(s, d), 0.3)

@@ -23,6 +23,7 @@ HELD_BY = {
     "q117_average_link": "test_functions.test_average_link_is_that_of_a_plain_loop",
     "q118_leader_clusters": "test_functions.test_leaders_are_those_of_a_loop",
     "q119_merged_units": "test_functions.test_merged_units_are_components_of_near_centroids",
+    "q120_merged_events": "test_merges.test_events_merge_as_in_a_loop",
     "q122_layered_matching": "test_functions.test_layers_over_random_units_are_those_of_brute_force",
     "q122_entropy_matching": "test_functions.test_matching_by_entropy_is_that_of_brute_force",
     "q135_citations": "test_functions.test_roles_citations_and_markers",
@@ -40,6 +41,8 @@ HELD_BY = {
     "q222_energy_components": "test_functions.test_layers_of_components_are_those_of_brute_force",
     "q222_layered_components": "test_functions.test_layers_of_components_are_those_of_brute_force",
     "q223_best_pair_agglomeration": "test_functions.test_agglomeration_is_that_of_brute_force",
+    "q223_unit_coherence": "test_merges.test_coherence_and_masses_of_merged_units",
+    "q224_layered_masses": "test_merges.test_coherence_and_masses_of_merged_units",
     "q224_budgeted_agglomeration": "test_functions.test_budget_of_merges_is_that_of_brute_force",
 }
 
