@@ -437,6 +437,23 @@ def test_url_filter_against_brute_force(spark):
     assert url_filter.filter_urls(cdf, edf.limit(0)).filter("kept").count() == len(caps)
 
 
+def test_url_filter_of_repeated_captures_and_clashing_columns(spark):
+    """A row per row, also of equal ones and of one page at two times; other columns of both sides don't count."""
+    day = lambda c: F.timestamp_seconds(c * 86_400)
+    caps = [(1, "http://a.com/", 5), (1, "http://a.com/", 5), (1, "http://a.com/", 1), (1, "http://b.org/", 5), (None, "http://a.com/", 5), (None, "http://a.com/", 5), (2, "", 5)]
+    entries = [("a.com", "block", 3), ("a.com", "block", 3), ("a.com", "allow", 3), ("b.org", "block", 5), ("", "block", 1)]
+    own = ("pattern", "action", "listed_at", "valid_from", "valid_to", "period", "rank", "_row", "_end", "best", "kept")
+    cdf = spark.createDataFrame(caps, "page_id long, url string, t long").select("page_id", "url", day(F.col("t")).alias("fetched_at"), *[F.lit(i).alias(c) for i, c in enumerate(own)])
+    edf = spark.createDataFrame(entries, "pattern string, action string, t long").select("pattern", "action", day(F.col("t")).alias("listed_at"), *[F.lit("x").alias(c) for c in ("page_id", "url", "fetched_at", "period", "valid_to", "_end")])
+    found = url_filter.filter_urls(cdf, edf)
+    assert found.columns == ["page_id", "url", "fetched_at", "pattern", "action", "listed_at", "kept"]
+    got = sorted((r.page_id or 0, r.url, r.fetched_at.day - 1, r.pattern, r.action, r.kept) for r in found.collect())
+    # of two entries of one time the greatest action holds; an entry holds from its own time on
+    blocked = ("a.com", "block", False)
+    want = [(0, "http://a.com/", 5, *blocked)] * 2 + [(1, "http://a.com/", 5, *blocked)] * 2 + [(1, "http://a.com/", 1, None, None, True), (1, "http://b.org/", 5, "b.org", "block", False), (2, "", 5, None, None, True)]
+    assert got == sorted(want, key=lambda r: r[:3])
+
+
 # 8 ------------------------------------------------------------------------------------------------
 
 
