@@ -264,11 +264,13 @@ def leader_clusters(df: DataFrame, key: str, order: list[Column], vector: str, s
     return placed.repartition("_shard").sortWithinPartitions("_shard", *orders, key).select(key, vector, "_shard").mapInPandas(run, f"{key} {key_type}, leader {key_type}")
 
 
-def merged_units(units: DataFrame, least: float = 0.60, min_size: int = 3) -> DataFrame:
+def merged_units(units: DataFrame, least: float = 0.60, min_size: int = 3, size: int | None = None) -> DataFrame:
     """#119. (id, event): units (id, size, group, vector) of a group with ``min_size`` members whose centroids
-    have cosine ``least``, by components."""
+    have a cosine over ``least``, by components.  All pairs of a group are compared; with ``size`` (of the vectors) those that
+    hyperplanes bring together, with a recall of .95 a pair at the threshold, where groups are too large for that."""
     big = units.filter(F.col("size") >= min_size)
-    comp = connected_components(pairs_within(big, "id", "group", "vector", least), "a", "b")
+    near = pairs_within(big, "id", "group", "vector", least) if size is None else vector_pairs(big, "id", "vector", least, size, group="group")
+    comp = connected_components(near, "a", "b")
     return units.join(comp, "id", "left").select("id", F.coalesce("component", "id").alias("event"))
 
 
