@@ -73,3 +73,15 @@ def test_pair_scores_of_groups_are_those_of_pairs(spark):
     assert A.group_pair_scores(g.unionAll(g.limit(9))).first() == want and want.hits > 0
     none = A.group_pair_scores(g.limit(0)).first()
     assert none[:3] == (0, 0, 0) and none.precision is None
+
+
+def test_name_index_is_not_sent_to_all(spark, tmp_path):
+    from claimloom.operators import relational as R
+
+    spark.createDataFrame([(f"e{i}", f"name {i % 7}", i) for i in range(40)], "entity_id string, canonical_name string, mention_count long").write.parquet(f"{tmp_path}/e")
+    e = spark.read.parquet(f"{tmp_path}/e")
+    names = e.select(F.lower("canonical_name").alias("name")).distinct()
+    got = R.entity_priors(names, e, e.select("entity_id", F.col("canonical_name").alias("claim_id")))
+    assert {(r.name, r.entity_id) for r in got.collect()} == {(f"name {i}", f"e{35 + i if i < 5 else 28 + i}") for i in range(7)}
+    index = [line for line in got._jdf.queryExecution().executedPlan().toString().splitlines() if "BroadcastHashJoin" in line and ("[_g#" in line or "[entity_id#" in line)]
+    assert not index
