@@ -5,7 +5,10 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from claimloom.operators import aggregates as A
+from claimloom.operators import clustering as C
 from claimloom.operators import overlap as O
+from claimloom.operators import similarity as M
 
 
 def sets_of(rng, n, name):
@@ -83,3 +86,79 @@ def test_hot_token_makes_no_pairs(spark):
     assert got.agg(F.sum("partners")).first()[0] == 30_000 * 29_999 // 2 and got.filter("last <> 29999").count() == 0
     best = {r.a: (r.b, r.shared) for r in O.top_overlaps(keys, keys, 1, distinct=True).collect()}
     assert best[0] == (29_999, 2) and best[1] == (0, 1) and len(best) == 30_000
+
+
+def test_judged_pairs(spark):
+    rng = random.Random(9)
+    sets = sets_of(rng, 70, "c-{}".format)
+    rows = spark.createDataFrame([(i, t, len(s)) for i, s in sets.items() for t in s], "id string, token string, n long")
+    jaccard = lambda x, y: len(x & y) / len(x | y)
+    want = {(a, b, len(s & o), round(jaccard(s, o), 9)) for a, s in sets.items() for b, o in sets.items() if a < b and s & o and jaccard(s, o) >= 0.4}
+    for cells in ({}, {"cell_rows": 7, "cell_members": 20}):
+        got = O.judged_pairs(rows, lambda k, x, y: k / (x["n"] + y["n"] - k), 0.4, **cells).collect()
+        assert len(got) == len(want) and {(r.a, r.b, r.shared, round(r.score, 9)) for r in got} == want
+
+
+def test_rows_that_share_a_frequent_token_stand_in_one_block(spark, monkeypatch):
+    """What moves are a token's ids to the blocks that ask for it: with rows dealt out by hash each block asked for each frequent token."""
+    rows = [(f"c{i}", t) for i in range(400) for t in (f"S{i % 8}", f"P{i}")]
+    keys = spark.createDataFrame(rows, "id string, token string")
+    seen, write = {}, O.cut_lineage
+    monkeypatch.setattr(O, "cut_lineage", lambda df, name="loop": seen.setdefault(name, write(df, name)))
+    O.overlaps(keys, keys, cell_rows=50).count()
+    asked = seen["overlap-wanted"].filter("token LIKE 'S%'").count()
+    assert seen["overlap-wanted"].select("block").distinct().count() >= 8 and asked <= 24
+
+
+def mentioned(spark):
+    rng = random.Random(11)
+    rows = [(f"c{i:03}", rng.randrange(25), e) for i in range(150) for e in {f"P{rng.randrange(30)}", f"S{rng.randrange(6)}"}]
+    return rows, spark.createDataFrame(rows, "claim_id string, event_id long, entity_id string")
+
+
+def test_frames_leave_as_sums(spark):
+    rows, mentions = mentioned(spark)
+    events, holders = {}, {}
+    for _, e, t in rows:
+        events.setdefault(e, set()).add(t)
+        holders.setdefault(t, set()).add(e)
+    want = {}
+    for t, es in holders.items():
+        apart = [1 - len(events[a] & events[b]) / len(events[a] | events[b]) for a in es for b in es if a < b]
+        if apart:
+            want[t] = (round(min(apart), 6), round(sum(apart) / len(apart), 6))
+    made = C.independent_frames(mentions, 0.5)
+    got = {r.entity_id: (r.least, r.mean, r.frame) for r in made.collect()}
+    assert got.keys() == want.keys()
+    assert all(abs(got[t][0] - lo) < 2e-6 and abs(got[t][1] - mean) < 2e-6 and got[t][2] == (got[t][1] > 0.5) for t, (lo, mean) in want.items())
+    assert "Join" not in made._jdf.queryExecution().optimizedPlan().toString().split("FlatMapCoGroupsInArrow")[0]
+
+
+def test_relations_are_counted_where_the_pairs_are(spark):
+    rows, mentions = mentioned(spark)
+    claims = sorted({c for c, *_ in rows})
+    facts = spark.createDataFrame([(c, i % 7 if i % 3 == 0 else None, i) for i, c in enumerate(claims)], "id string, number long, value long")
+    side = lambda k: facts.select(F.col("id").alias(k), F.col("number").alias(f"n{k}"), F.col("value").alias(f"v{k}"))
+    pairs = M.shared_specificity(mentions).join(side("a"), "a").join(side("b"), "b")
+    relation = M.relate(F.col("na"), F.col("nb"), F.pmod(F.col("va") * F.col("vb"), F.lit(10)) / 10, F.col("specificity"))
+    want = pairs.select("a", "b", relation.alias("relation")).groupBy("a", "relation").agg(F.count("*").alias("pairs"), F.max("b").alias("last"))
+    made = M.relation_counts(mentions, facts, lambda x, y: x["value"] * y["value"] % 10 / 10)
+    assert sorted(map(tuple, made.collect())) == sorted(map(tuple, want.collect()))
+    assert "Join" not in made._jdf.queryExecution().optimizedPlan().toString().split("FlatMapCoGroupsInArrow")[0]
+
+
+def test_merges_and_overlaps_are_judged_where_the_pairs_are(spark):
+    _, mentions = mentioned(spark)
+    members = mentions.select(F.col("event_id").alias("id"), F.col("entity_id").alias("member"))
+    plan = A.group_overlap(members, 0.2)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan.split("FlatMapCoGroupsInArrow")[0]
+    sets = {}
+    for i, t in members.collect():
+        sets.setdefault(i, set()).add(t)
+    near = [(a, b) for a in sets for b in sets if a < b and (k := len(sets[a] & sets[b])) and (k / len(sets[a] | sets[b]) >= 0.45 or k / min(len(sets[a]), len(sets[b])) >= 0.8)]
+    name = {i: i for i in sets}
+    for _ in sets:
+        for a, b in near:
+            name[a] = name[b] = min(name[a], name[b])
+    assert len(set(name.values())) < len(sets)
+    assert {tuple(r) for r in C.merged_clusters(members, 0.45, 0.8).collect()} == {(name[i], t) for i, s in sets.items() for t in s}
