@@ -5,6 +5,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from claimloom.operators import similarity as M
+from claimloom.plans import registry
+
+from conftest import DATA
 
 
 def rows_of(n, seed, name=int):
@@ -51,3 +54,11 @@ def test_no_pair_is_joined(spark):
     df = spark.createDataFrame(rows_of(20, 3), "k long, g long, v array<double>")
     plan = M.pairs_within(df, "k", "g", "v")._jdf.queryExecution().optimizedPlan().toString()
     assert "aggregate(zip_with" not in plan.split("FlatMapGroupsInArrow")[0] and "FlatMapGroupsInArrow" in plan
+
+
+def test_queries_keep_weak_pairs_in_their_cells(spark, monkeypatch):
+    asked, near = [], M.near_pairs
+    monkeypatch.setattr(M, "near_pairs", lambda df, key, vector, least, group: asked.append(least) or near(df, key, vector, least, group))
+    for name in ("q126_peer_candidates", "q217_alike_claims", "q219_related_but_distinct"):
+        registry.queries()[name](spark, DATA)
+    assert [round(x, 3) for x in asked] == [0.18, 0.2, 0.2]
