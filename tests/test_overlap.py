@@ -105,7 +105,7 @@ def test_rows_that_share_a_frequent_token_stand_in_one_block(spark, monkeypatch)
     keys = spark.createDataFrame(rows, "id string, token string")
     seen, write = {}, O.cut_lineage
     monkeypatch.setattr(O, "cut_lineage", lambda df, name="loop": seen.setdefault(name, write(df, name)))
-    O.overlaps(keys, keys, cell_rows=50).count()
+    O.overlaps(keys, keys, cell_rows=50, cell_members=700).count()
     asked = seen["overlap-wanted"].filter("token LIKE 'S%'").count()
     assert seen["overlap-wanted"].select("block").distinct().count() >= 8 and asked <= 24
 
