@@ -9,6 +9,7 @@ import pytest
 
 from claimloom.operators import aggregates as A
 from claimloom.operators import clustering as C
+from claimloom.operators import overlap as O
 from claimloom.plans import registry
 
 EVENT = "id long, claims long, vector array<double>"
@@ -180,3 +181,22 @@ def test_units_merge_by_hyperplanes_as_by_all_pairs(spark):
     # a class hangs on many pairs, so that a missed one seldom parts it
     assert sum(found[i] == exact[i] for i in exact) >= 0.98 * len(exact)
     assert {found[i] for i in (300, 301)} == {300, 301}
+
+
+def test_event_pairs_are_judged_with_vectors_in_their_cells(spark):
+    events, mentions = random_events(7, 45, 5, 0.8)
+    events += [(100, 3, [1.0, 2.0]), (101, 2, [0.0] * 5), (102, 2, [2.0, 1.0]), (103, 4, [])]
+    mentions += [(i, 2000 + i, "odd") for i in (100, 101, 102, 103)] + [(103, 5000, "odd")]
+    state, specific = start(events, mentions), specificity(mentions)
+    both = [(a, b) for a, b in itertools.combinations(sorted(state), 2) if state[a][2] & state[b][2]]
+    want = {p: s for p in both if (s := affinity(state[p[0]], state[p[1]], specific)) >= 0.3}
+    made = C.event_merges(spark.createDataFrame(events, EVENT), spark.createDataFrame(mentions, MENTION), 0.3)
+    assert {(r.a, r.b): r.score for r in made.collect()} == pytest.approx(want, abs=2e-6) and len(both) > len(want) > 20
+    # only what is over the threshold leaves, and no vector meets another after that
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert "FlatMapCoGroupsInArrow" in plan and "zip_with" not in plan.split("FlatMapCoGroupsInArrow")[0] and "Join" not in plan.split("FlatMapCoGroupsInArrow")[0]
+    vectors = spark.createDataFrame([(i, [float(x / np.linalg.norm(v)) for x in v] if any(v) else v) for i, _, v in events if v is not None], "id long, vector array<double>")
+    sets = spark.createDataFrame([(i, e, len(own), specific[e]) for i, (_, _, own) in state.items() for e in own], "id long, token string, n long, w double")
+    for rows, members in ((4, 10), (16, 10_000), (100, 10_000)):  # cells of few rows, parts of few members
+        got = O.affine_pairs(sets, sets, (vectors, vectors), 0.3, (0.6, 0.25, 0.15), cell_rows=rows, cell_members=members).collect()
+        assert {(r.a, r.b): r.score for r in got} == pytest.approx(want, abs=2e-6) and len(got) == len(want)
