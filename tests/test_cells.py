@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from claimloom.operators import planes as P
 from claimloom.operators import similarity as M
 from claimloom.plans import registry
 
@@ -62,3 +63,15 @@ def test_queries_keep_weak_pairs_in_their_cells(spark, monkeypatch):
     for name in ("q126_peer_candidates", "q217_alike_claims", "q219_related_but_distinct"):
         registry.queries()[name](spark, DATA)
     assert [round(x, 3) for x in asked] == [0.18, 0.2, 0.2]
+
+
+@pytest.mark.parametrize("piece_rows", [4_096, 9])
+def test_recall_in_cells_is_that_of_the_pairs(spark, piece_rows):
+    rng = np.random.default_rng(5)
+    rows = [(i, i % 3 if i % 11 else None, x) for i, x in enumerate(rng.normal(size=(120, 6)).tolist())] + [(200, 0, None), (201, 1, [1.0, 2.0]), (202, 1, [2.0, 4.0])]
+    df = spark.createDataFrame(rows, "k long, g long, v array<double>")
+    want = P.recall(P.pairs(df, "k", "v", 0.3, 6, "g", bits=4, tables=3), M.near_pairs(df, "k", "v", 0.3, ["g"])).first()
+    got = P.recall_within(df, "k", "v", 0.3, 6, "g", bits=4, tables=3, piece_rows=piece_rows)
+    assert tuple(got.first()) == tuple(want) and 0 < want.found < want.exact
+    assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString().split("FlatMapGroupsInArrow")[0]
+    assert tuple(P.recall_within(df.limit(0), "k", "v", 0.3, 6, "g").first()) == (0, 0, None)
