@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from claimloom.operators import clustering as C
 from claimloom.operators import planes as P
 from claimloom.operators import similarity as M
 from claimloom.plans import registry
@@ -75,3 +76,37 @@ def test_recall_in_cells_is_that_of_the_pairs(spark, piece_rows):
     assert tuple(got.first()) == tuple(want) and 0 < want.found < want.exact
     assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString().split("FlatMapGroupsInArrow")[0]
     assert tuple(P.recall_within(df.limit(0), "k", "v", 0.3, 6, "g").first()) == (0, 0, None)
+
+
+def seeds_of(order, near):
+    """One id after the other takes those of its neighbours that are free."""
+    free, to = set(order), {}
+    for i in order:
+        if i in free:
+            got = {i} | (near[i] & free)
+            free -= got
+            to |= {x: i for x in got if len(got) > 1}
+    return to
+
+
+def test_an_id_goes_to_the_best_of_all_its_seeds(spark):
+    # 3 is a seed at once, 2 only when 0 has taken 1; then 2 comes first and takes 5
+    pairs = spark.createDataFrame([(0, 1), (1, 2), (2, 5), (3, 5)], "a long, b long")
+    weights = spark.createDataFrame([(i, 1) for i in range(6)], "id long, weight long")
+    assert {r.id: r.seed for r in C.seed_clusters(pairs, weights).collect()} == {0: 0, 1: 0, 2: 2, 5: 2}
+
+
+@pytest.mark.parametrize("head_rows,piece_rows", [(512, 4_096), (3, 7)])
+def test_seeds_of_vectors_are_those_of_a_sorted_scan(spark, head_rows, piece_rows):
+    rows = [(i, g, x, i * 7 % 5) for i, g, x in rows_of(90, 4)]
+    known = {i: (g, x) for i, g, x, _ in rows if g is not None and x is not None}
+    near = {a: {b for b, (h, y) in known.items() if b != a and h == g and (c := cosine(x, y)) is not None and c > 0.5} for a, (g, x) in known.items()}
+    want = seeds_of(sorted(known, key=lambda i: (-(i * 7 % 5), i)), near)
+    df = spark.createDataFrame(rows, "k long, g long, v array<double>, w long")
+    got = C.vector_seed_clusters(df, "k", "v", "g", "w", 0.5, head_rows=head_rows, piece_rows=piece_rows).collect()
+    assert {r.id: r.seed for r in got} == want and len(got) == len(want) > 50 and len(set(want.values())) > 8
+
+
+def test_seed_clusters_of_vectors_make_no_pairs(spark, monkeypatch):
+    monkeypatch.setattr(M, "near_pairs", None)
+    assert registry.queries()["q217_seed_clusters"](spark, DATA).count() > 100
