@@ -6,6 +6,9 @@ from datetime import datetime
 from pyspark.sql import functions as F
 
 from claimloom.operators import scoring as S
+from claimloom.plans import registry
+
+from conftest import DATA
 
 
 def claims_of(spark):
@@ -85,3 +88,21 @@ def test_name_index_is_not_sent_to_all(spark, tmp_path):
     assert {(r.name, r.entity_id) for r in got.collect()} == {(f"name {i}", f"e{35 + i if i < 5 else 28 + i}") for i in range(7)}
     index = [line for line in got._jdf.queryExecution().executedPlan().toString().splitlines() if "BroadcastHashJoin" in line and ("[_g#" in line or "[entity_id#" in line)]
     assert not index
+
+
+def test_best_sub_events_of_a_block_are_those_of_its_pairs(spark):
+    rng = random.Random(6)
+    vector = lambda: rng.choice([None, [0.0, 0.0], [1.0], [rng.gauss(0, 1), rng.gauss(0, 1)], [rng.gauss(0, 1), rng.gauss(0, 1)]])
+    some = lambda n: sorted(rng.sample("ABCDEFG", rng.randrange(n)))
+    events = [(f"{e}:{t}", e, some(6), vector()) for e in range(8) for t in range(rng.randrange(1, 6))] + [("none", None, ["A"], None)]
+    claims = [(i, i % 9, f"{i % 9}:{i % 4}", some(3), vector()) for i in range(120)] + [(500, None, "x", ["A"], None)]
+    c = spark.createDataFrame(claims, "claim_id long, event_id long, own string, entities array<string>, vector array<double>")
+    s = spark.createDataFrame(events, "sub_event string, event_id long, entities array<string>, vector array<double>")
+    got = S.best_sub_events_within(c, s, "event_id", 0.2)
+    unfold = lambda df, k: df.select(k, F.explode("entities").alias("entity_id"))
+    pairs = c.join(s.select("sub_event", "event_id"), "event_id").filter("own <> sub_event")
+    want = S.best_sub_events(pairs, unfold(c, "claim_id"), unfold(s, "sub_event"), c.select("claim_id", "vector"), s.select("sub_event", "vector"), 0.2)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and 30 < want.count() < 110
+    # the query's pairs aren't joined with entities or vectors, and a claim's best is found without a window
+    plan = registry.queries()["q094_best_sub_events"](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and plan.count("Join") <= 3
