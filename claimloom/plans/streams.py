@@ -42,7 +42,8 @@ def _(s, d):
 
 @q("q197_actions", None)
 def _(s, d):
-    return K.actions(arr(s, d), K.ticks(arr(s, d)).select("event_id", "tick"))
+    n = X.parts(s, d, "events", 12)  # a user has far more hourly ticks than events
+    return K.actions(arr(s, d), K.ticks(arr(s, d), parts=n).select("event_id", "tick"), parts=n)
 
 
 @q("q198_tick_stream", """SELECT event_id, tick, idle_hours, idle_hours >= 24 AS hibernate, idle_hours < 6 AS active FROM (SELECT event_id, tick, round((epoch_us(tick) - epoch_us(last)) / 3.6e9, 6)::DOUBLE AS idle_hours FROM (

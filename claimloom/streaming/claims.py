@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from claimloom.operators.graph import shared_folder
+from claimloom.operators.relational import dealt
 
 # Rules of an event's upkeep.
 MIN_CLAIMS_FOR_TOPOLOGY = 5
@@ -82,7 +83,7 @@ def upkeep_stream(stream: DataFrame) -> DataFrame:
     return stream.groupBy("event_id").applyInPandasWithState(update, schema, "n long, good long, bad long", "append", "NoTimeout")
 
 
-def ticks(arrived: DataFrame, hours: int = 1) -> DataFrame:
+def ticks(arrived: DataFrame, hours: int = 1, parts: int | None = None) -> DataFrame:
     """#198, #199. At each hourly tick of an event's span: idle hours, hibernation (a day idle), activity (6 h)."""
     step = f"INTERVAL {hours} HOURS"
     span = arrived.groupBy("event_id").agg(F.date_trunc("hour", F.min("ts")).alias("lo"), F.max("ts").alias("hi"))
@@ -91,7 +92,7 @@ def ticks(arrived: DataFrame, hours: int = 1) -> DataFrame:
         arrived.select("event_id", F.col("ts").alias("at"), "ts", F.lit(0).alias("is_tick"))
     )
     w = Window.partitionBy("event_id").orderBy("at", "is_tick").rowsBetween(Window.unboundedPreceding, 0)
-    last = both.withColumn("last", F.max("ts").over(w)).filter("is_tick = 1")
+    last = dealt(both, parts, "event_id").withColumn("last", F.max("ts").over(w)).filter("is_tick = 1")
     idle = F.round((F.unix_micros("at") - F.unix_micros("last")) / 3.6e9, 6)
     return last.select("event_id", F.col("at").alias("tick"), idle.alias("idle_hours"), (idle >= HIBERNATE_HOURS).alias("hibernate"), (idle < ACTIVE_HOURS).alias("active"))
 
@@ -290,7 +291,7 @@ def online_clusters(stream: DataFrame, least: float = 10.0, merge: float = 5.0,
     return stream.groupBy("event_id").applyInPandasWithState(update, "event_id long, claim_id long, level int, cluster int, change string, size long", kept, "append", "NoTimeout")
 
 
-def actions(arrived: DataFrame, ticks: DataFrame, least: int = 3) -> DataFrame:
+def actions(arrived: DataFrame, ticks: DataFrame, least: int = 3, parts: int | None = None) -> DataFrame:
     """#197 with ticks. What each claim (event_id, claim_id, ts, kind) and tick (event_id, tick) asks for, by the first
     rule that holds: at the ``least``-th claim FULL_TOPOLOGY, after that INCREMENTAL_TOPOLOGY; at a tick
     REGENERATE_NARRATIVE if claims came since the last one, the newest within six hours, and that one, if
@@ -298,13 +299,14 @@ def actions(arrived: DataFrame, ticks: DataFrame, least: int = 3) -> DataFrame:
     else NO_OP.  At equal times claims come before ticks; claims before the ``least``-th give a thought or NO_OP.
 
     Whether a narrative is stale depends on the one before, so an event's rows go through one task in order, in
-    batches; the counts come from windows.
+    batches; the counts come from windows, over the same ``parts``.
     """
     a = arrived.select("event_id", "claim_id", F.col("ts").alias("at"), "kind")
     t = ticks.select("event_id", F.lit(None).cast("long").alias("claim_id"), F.col("tick").alias("at"), F.lit(None).cast("string").alias("kind"))
     w = Window.partitionBy("event_id").orderBy("at", F.col("claim_id").isNull(), "claim_id").rowsBetween(Window.unboundedPreceding, 0)
     n = lambda k: F.count(F.when(F.col("kind") == k, 1)).over(w)
-    rows = a.unionByName(t).withColumns({
+    both = a.unionByName(t)
+    rows = (dealt(both, parts, "event_id") if parts else both.repartition("event_id")).withColumns({
         "claims": F.count("claim_id").over(w), "corroborated": n("corroboration"), "contradicted": n("contradiction"), "newest": F.max(F.when(F.col("claim_id").isNotNull(), F.col("at"))).over(w),
     })
     rows = rows.withColumns({"hours": F.unix_micros("at") / 3.6e9, "idle": (F.unix_micros("at") - F.unix_micros("newest")) / 3.6e9})
@@ -313,7 +315,7 @@ def actions(arrived: DataFrame, ticks: DataFrame, least: int = 3) -> DataFrame:
     rest = F.when(tick & (F.col("idle") > HIBERNATE_HOURS), "HIBERNATE").when(share > CONTRADICTION_SHARE, "EMIT_THOUGHT").otherwise("NO_OP")
     action = F.when(F.col("claims") == 0, "NO_OP").when(~tick & (F.col("claims") > least), "INCREMENTAL_TOPOLOGY").when(~tick & (F.col("claims") == least), "FULL_TOPOLOGY").otherwise(rest)
     rows = rows.select("event_id", "claim_id", "at", "claims", "hours", (tick & (F.col("idle") < ACTIVE_HOURS)).alias("active"), action.alias("action"))
-    return rows.repartition("event_id").sortWithinPartitions("event_id", "at", F.col("claim_id").isNull(), "claim_id").mapInPandas(_narrated, "event_id long, claim_id long, at timestamp, action string")
+    return rows.sortWithinPartitions("event_id", "at", F.col("claim_id").isNull(), "claim_id").mapInPandas(_narrated, "event_id long, claim_id long, at timestamp, action string")
 
 
 def _narrated(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
