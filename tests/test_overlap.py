@@ -1,9 +1,13 @@
 """Set joins against all pairs."""
 
+import datetime
 import random
+import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from claimloom.operators import aggregates as A
 from claimloom.operators import clustering as C
@@ -110,6 +114,25 @@ def test_rows_that_share_a_frequent_token_stand_in_one_block(spark, monkeypatch)
     assert seen["overlap-wanted"].select("block").distinct().count() >= 8 and asked <= 24
 
 
+def test_postings_move_in_few_bytes(spark):
+    """A list of ids took 16 bytes an id and more, and each fact 8 beside it."""
+    ids = {"bigint": [-(2**40), 0, 2**62], "long": [*range(2**40, 2**40 + 600, 3)], "string": ["", "c-é", *(f"c-{i:06}" for i in range(300))], "date": [datetime.date(2020, 1, 1), datetime.date(2021, 2, 3)]}
+    for kind, of in ids.items():
+        facts = [[3, -1, 300, 70_000, 2**40][i % 5] for i in range(len(of))], [[0.5, 2.0, None, float("nan")][i % 4] for i in range(len(of))], [2.0] * len(of)
+        rows = spark.createDataFrame([("x", sorted(of), *facts), ("y", sorted(of)[:1], *(f[:1] for f in facts))], f"token string, ids array<{kind}>, n array<long>, w array<double>, v array<double>")
+        x, y = O._packed(rows, ["n", "w", "v"]).orderBy("token").collect()
+        back, sizes = O._unpacked_ids([bytes(x.ids), bytes(y.ids)], to_arrow_schema(rows.select(F.explode("ids").alias("id")).schema).field("id").type)
+        assert back.to_pylist() == [*sorted(of), sorted(of)[0]] and sizes.tolist() == [len(of), 1]
+        assert O._wide(x.n).tolist() == facts[0] and O._wide(x.n).dtype == np.int64
+        assert np.array_equal(O._wide(x.w), np.array(facts[1], float), equal_nan=True) and O._wide(x.v).tolist() == facts[2]
+        assert len(x.v) <= len(of) + 1 and (kind in ("bigint", "date") or len(x.ids) < 5 * len(of))
+    made = O.judged_pairs(spark.createDataFrame([(i, t, 2) for i in range(3_000) for t in (i % 50, 100 + i % 7)], "id long, token long, n long"), lambda k, x, y: k / (x["n"] + y["n"] - k), 0.9)
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    # few rows stand in several blocks, each a task's, whatever the session's number of partitions
+    assert "MapInArrow" in plan and re.search(r"RepartitionByExpression \[block#\d+L?, part#\d+L?\], [6-9]", plan)
+    assert made.count() == sum(1 for i in range(3_000) for j in range(i % 350, i, 350))
+
+
 def mentioned(spark):
     rng = random.Random(11)
     rows = [(f"c{i:03}", rng.randrange(25), e) for i in range(150) for e in {f"P{rng.randrange(30)}", f"S{rng.randrange(6)}"}]
