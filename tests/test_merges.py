@@ -10,7 +10,8 @@ import pytest
 from claimloom.operators import aggregates as A
 from claimloom.operators import clustering as C
 from claimloom.operators import overlap as O
-from claimloom.plans import registry
+from claimloom.operators import similarity as M
+from claimloom.plans import clusters, registry
 
 EVENT = "id long, claims long, vector array<double>"
 MENTION = "event_id long, claim_id long, entity_id string"
@@ -108,6 +109,32 @@ def test_events_without_common_entities_merge_by_vectors(spark):
     assert merged(spark, [], mentions, size=3) == {}
 
 
+def scanned_apart(events, mentions, least):
+    """As ``scanned``, whether they share an entity or not."""
+    state, specific, to = start(events, mentions), specificity(mentions), {}
+    for a in sorted(state):
+        for b in sorted(state):
+            if a not in to and b > a and b not in to and affinity(state[a], state[b], specific) >= least:
+                state[a] = joined(state[a], state[b])
+                to[b] = a
+    return {i: to.get(i, i) for i, _, _ in events}
+
+
+def test_no_pair_of_events_without_common_entities_is_missed(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    left, right = ([(i, [float(x) for x in rng.normal(size=4)]) for i in ids] for ids in (range(60), range(20, 90)))
+    frames = [spark.createDataFrame(x, "id long, vector array<double>") for x in (left, right)]
+    want = {(i, j) for i, x in left for j, y in right if i < j and np.dot(x, y) / np.linalg.norm(x) / np.linalg.norm(y) >= 0.7}
+    assert {(r.a, r.b) for r in M.near_later(*frames, 0.7, 17).collect() if r.cosine >= 0.7} == want and len(want) > 200
+    # the query merges them, too
+    events = [(1, 2, [1.0, 0.0]), (2, 2, [0.9, 0.1]), (3, 2, [0.0, 1.0]), (4, 2, None), (5, 2, []), (6, 3, [0.6, 0.55]), (7, 2, [0.0, 0.0])]
+    mentions = [(1, 1, "A"), (2, 2, "B"), (3, 3, "B"), (4, 4, "A")]
+    monkeypatch.setattr(clusters, "_event_vectors", lambda s, d: s.createDataFrame(events, EVENT))
+    monkeypatch.setattr(clusters.X, "kg_mentions", lambda s, d: s.createDataFrame(mentions, MENTION))
+    got = {r.id: r.event for r in registry.queries()["q120_merged_events"](spark, "").collect()}
+    assert got == scanned_apart(events, mentions, 0.35) and got[6] == 1
+
+
 def test_coherence_and_masses_of_merged_units(spark, monkeypatch):
     from tests.test_functions import energies, page_units_of
 
