@@ -170,6 +170,19 @@ def test_relations_are_counted_where_the_pairs_are(spark):
     assert "Join" not in made._jdf.queryExecution().optimizedPlan().toString().split("FlatMapCoGroupsInArrow")[0]
 
 
+def test_gravity_leaves_as_sums(spark):
+    """Each pair left the join with its entities, and met two further tables."""
+    _, mentions = mentioned(spark)
+    sizes = mentions.groupBy(F.col("claim_id").alias("id")).agg(F.countDistinct("entity_id").alias("n"))
+    pairs = M.gravity(M.shared_specificity(mentions).withColumn("cosine", F.lit(0.2)), sizes)
+    want = {r.a: (r.pairs, r.g, r.b) for r in pairs.groupBy("a").agg(F.count("*").alias("pairs"), F.max("gravity").alias("g"), F.max("boosted").alias("b")).collect()}
+    made = M.gravity_sums(mentions, 0.2)
+    got = {r.a: (r.pairs, r.gravity, r.boosted) for r in made.collect()}
+    assert got.keys() == want.keys() and all(got[a][0] == want[a][0] and got[a][1:] == pytest.approx(want[a][1:], abs=2e-6) for a in want)
+    assert len({r[1] for r in want.values()}) > 5
+    assert "Join" not in made._jdf.queryExecution().optimizedPlan().toString().split("FlatMapCoGroupsInArrow")[0]
+
+
 def test_merges_and_overlaps_are_judged_where_the_pairs_are(spark):
     _, mentions = mentioned(spark)
     members = mentions.select(F.col("event_id").alias("id"), F.col("entity_id").alias("member"))
