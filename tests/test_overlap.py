@@ -69,6 +69,13 @@ def test_dots(spark, cells):
     assert len(got) == len(want) and set(got) == want
 
 
+def test_all_pairs_of_a_token_are_dealt_out_over_cells(spark):
+    """One task made all pairs of up to 16,384 rows."""
+    made = O.dots(*[spark.createDataFrame([(i, "hot", 1) for i in range(900)], "id long, token string, n long")] * 2)
+    assert re.search(r"RepartitionByExpression \[block#\d+L?, part#\d+L?\], 8", made._jdf.queryExecution().optimizedPlan().toString())
+    assert made.count() == 900 * 899
+
+
 @pytest.mark.parametrize("kind,name", [("long", int), ("string", "c-{:02d}".format)])
 def test_partner_counts_and_pairs_that_share_two(spark, kind, name):
     sets = sets_of(random.Random(6), 80, name)
